@@ -31,15 +31,13 @@ def weight_smooth(
 
 def polarization(shares: Column, alpha: float = 1.3, size: int = STARS) -> Column:
     """Esteban-Ray polarization of a distribution over 1..size; NULL in, NULL out."""
-    total = F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x)
-    p = [F.try_divide(F.get(shares, F.lit(i)).cast("double"), total) for i in range(size)]
-    terms = [
-        F.pow(p[i], F.lit(1 + alpha)) * p[j] * float(abs(i - j)) for i in range(size) for j in range(size) if i != j
-    ]
-    index = terms[0]
-    for term in terms[1:]:
-        index = index + term
-    return index
+    n = [F.get(shares, F.lit(i)).cast("double") for i in range(size)]
+    p = [F.try_divide(x, sum(n[1:], n[0])) for x in n]
+    terms = []
+    for i in range(size):
+        distances = [p[j] * float(abs(i - j)) for j in range(size) if i != j]
+        terms.append(F.pow(p[i], F.lit(1 + alpha)) * sum(distances[1:], distances[0]))
+    return sum(terms[1:], terms[0])
 
 
 def percent_distribution(dist: Column, size: int = STARS) -> Column:

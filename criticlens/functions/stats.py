@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -58,6 +59,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     return math.exp(log_front) * fraction / a
 
 
+@functools.cache
 def exact_critical_value(nu: int, alpha: float = ALPHA) -> float:
     """The t whose two-sided p equals ``alpha``, by bisection."""
     lo, hi = 0.0, 1e6

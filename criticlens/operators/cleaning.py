@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from criticlens.functions.scores import helpfulness_index
-from criticlens.functions.text import clean_text, drop_words, tokenize
+from criticlens.functions.text import drop_words, with_tokens
 from criticlens.functions.words import STOP_WORDS
 
 REQUIRED = ("text", "score", "product_id")
@@ -32,14 +33,15 @@ def keep_first(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]
 
 
 def drop_incomplete(df: DataFrame, subset: Sequence[str] = REQUIRED) -> DataFrame:
-    return df.dropna(subset=list(subset))
+    """Rows with a value in every listed column; single conditions, which a Parquet scan can use."""
+    return df.where(functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in subset]))
 
 
 def add_text_columns(df: DataFrame, text_col: str = "text", stop_words: Iterable[str] | None = None) -> DataFrame:
     """``text_cleaned`` and ``keywords`` of a text column."""
     words = STOP_WORDS if stop_words is None else stop_words
-    cleaned = df.withColumn("text_cleaned", clean_text(F.col(text_col)))
-    return cleaned.withColumn("keywords", drop_words(tokenize(F.col("text_cleaned")), words))
+    tokenized = with_tokens(df, text_col, "text_cleaned", "_tokens")
+    return tokenized.withColumn("keywords", drop_words(F.col("_tokens"), words)).drop("_tokens")
 
 
 def replace_votes(df: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from criticlens.functions import stats, text
 from criticlens.functions.words import MARKETING_WORDS, MISLEADING_ITEMS
-from criticlens.operators.bins import cut, cut_counts
+from criticlens.operators.bins import cut, cut_counts, histograms
+from criticlens.operators.cleaning import drop_incomplete
 from criticlens.operators.joins import SALTS, lookup_join
 from criticlens.operators.ranks import average_ranks
 from criticlens.session import stage
@@ -35,8 +36,8 @@ def with_conclusion(df: DataFrame, with_p_value: bool = False) -> DataFrame:
 
 def complete_tuples(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct combinations of the columns without missing values, with their row count ``n``."""
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    return numbers.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return drop_incomplete(numbers, columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _tuple_counts(tuples: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -119,16 +120,18 @@ def score_bins(df: DataFrame, column: str = "score", bins: int | None = None, mi
 
 
 def _described(df: DataFrame, min_ratings: int) -> DataFrame:
-    rated = df.where(F.col("num_ratings") > min_ratings).select(*TARGETS, "product_description").dropna()
+    rated = df.where(F.col("num_ratings") > min_ratings).select(*TARGETS, "product_description")
+    rated = drop_incomplete(rated, rated.columns)
     length = text.description_length(F.col("product_description"))
-    return rated.select(*TARGETS, length.alias("count_desc_length"))
+    return text.add_once(rated, {"count_desc_length": length}).drop("product_description")
 
 
 def length_bins(
     df: DataFrame, bins: int = 15, good_score: float = 4.5, low_polarity: float = 0.25, min_ratings: int = 10
 ) -> DataFrame:
     """Products, share of good scores and share of low polarization by description length."""
-    rows, table = cut(_described(df, min_ratings), "count_desc_length", bins)
+    described = stage(_described(df, min_ratings))  # the range and the counts are two passes
+    rows, table = cut(described, "count_desc_length", bins)
     measures = rows.groupBy("bin").agg(*_quality(*TARGETS, good_score, low_polarity))
     joined = table.join(measures, "bin", "left")
     return joined.withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
@@ -151,35 +154,34 @@ def image_correlation(df: DataFrame, with_p_value: bool = False) -> DataFrame:
     return with_conclusion(spearman(df, [("count_alt_images", t) for t in TARGETS]), with_p_value)
 
 
-def with_marketing_tone(df: DataFrame, words: Sequence[str] = MARKETING_WORDS) -> DataFrame:
-    tone = text.marketing_tone(F.col("product_description"), words)
-    return df.withColumn("marketing_tone_score", tone)
-
-
 def marketing_correlation(
     df: DataFrame, words: Sequence[str] = MARKETING_WORDS, with_p_value: bool = False
 ) -> DataFrame:
     """Correlation table of marketing tone and, where present, description sentiment."""
     features = ["sentiment_score"] if "sentiment_score" in df.columns else []
-    kept = df.select(*TARGETS, *features, "product_description").dropna()
+    kept = df.select(*TARGETS, *features, "product_description")
+    kept = drop_incomplete(kept, kept.columns)
     features = [*features, "marketing_tone_score"]
     pairs = [(f, t) for t in TARGETS for f in features]
-    table = with_conclusion(spearman(with_marketing_tone(kept, words), pairs), with_p_value)
+    table = with_conclusion(spearman(text.marketing_tone(kept, "product_description", words), pairs), with_p_value)
     return table.withColumnRenamed("feature", "sentiment_type").orderBy("sentiment_type", "compare_with", "corr")
 
 
-def reading_ease(df: DataFrame, column: str = "product_description") -> DataFrame:
-    """Add the three readability measures of a text column."""
-    counts = text.reading_counts(F.col(column))
-    counted = df.withColumns(counts)
-    measures = text.reading_measures(*[F.col(name) for name in counts])
-    return counted.withColumns(measures).drop(*counts)
+def readable(df: DataFrame, *keep: str) -> DataFrame:
+    """Complete products whose reading ease could be computed, with the measures and ``keep``."""
+    kept = drop_incomplete(df, [*TARGETS, "product_description"]).select(*TARGETS, "product_description", *keep)
+    measured = text.reading_ease(kept, "product_description")
+    return measured.where(F.col("flesch_reading_ease") != 0).drop("product_description")
 
 
-def readable(df: DataFrame) -> DataFrame:
-    """Complete products whose reading ease could be computed."""
-    kept = df.select(*TARGETS, "product_description").dropna()
-    return reading_ease(kept).where(F.col("flesch_reading_ease") != 0)
+def feature_histograms(df: DataFrame, words: Sequence[str] = MARKETING_WORDS, n_bins: int = 25) -> DataFrame:
+    """Distribution of the reading measures and of the marketing tone.
+
+    The measures are staged, since their ranges and their counts are two passes.
+    """
+    toned = text.marketing_tone(df, "product_description", words)
+    features = [*READING_MEASURES, "marketing_tone_score"]
+    return histograms(stage(readable(toned, "marketing_tone_score").select(*features)), features, n_bins)
 
 
 def reading_correlation(df: DataFrame, with_p_value: bool = False) -> DataFrame:
@@ -223,7 +225,7 @@ def item_correlation(
     items it has, never the ones it lacks.
     """
     items = compared_items(stage(item_counts(products)), min_count, exclude)
-    complete = products.dropna(subset=TARGETS)
+    complete = drop_incomplete(products, TARGETS)
     pairs = F.array(
         *[F.struct(F.lit(t).alias("variable"), F.col(t).cast("double").alias("value")) for t in TARGETS]
     )

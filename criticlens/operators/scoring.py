@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from criticlens.functions.scores import weight_simple, weight_smooth
+from criticlens.operators.cleaning import drop_incomplete
 from criticlens.operators.ranks import exact_medians
 from criticlens.session import stage
 
@@ -133,7 +134,7 @@ def merge_scores(products: DataFrame, scores: DataFrame) -> DataFrame:
 def score_sample(scores: DataFrame, n: int = 300, seed: int = 42, min_reviews: int = 5) -> DataFrame:
     """Repeatable sample of products with enough reviews and all metrics, at most ``n`` rows."""
     required = ["num_reviews", "mean_score", "weighted_mean_smooth", "bayesian_mean_smooth"]
-    kept = scores.dropna(subset=required).where(F.col("num_reviews") >= min_reviews)
+    kept = drop_incomplete(scores, required).where(F.col("num_reviews") >= min_reviews)
     draw = F.md5(F.concat_ws("#", F.col("product_id"), F.lit(str(seed))))
     return kept.orderBy(draw, "product_id").limit(n)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -11,17 +9,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from criticlens.functions.text import clean_text, tokenize
-from criticlens.functions.text import lexicon_sentiment as lexicon_expression
+from criticlens.functions.text import lexicon_sentiment, with_tokens
+
+__all__ = [
+    "gap_stats", "lexicon_sentiment", "outlier_sample", "score_sentiment", "sentiment_gap", "sentiment_outliers",
+    "train_sentiment",
+]
 
 
 def train_sentiment(
     df: DataFrame, text_col: str, label_col: str, n_features: int = 1 << 16, max_iter: int = 20
 ) -> PipelineModel:
     """Logistic regression on hashed words, trained on a labelled table (1 is positive)."""
-    prepared = df.select(
-        tokenize(clean_text(F.col(text_col))).alias("_tokens"), F.col(label_col).cast("double").alias("_label")
-    ).dropna()
+    labelled = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    prepared = with_tokens(labelled, text_col).select("_tokens", F.col(label_col).cast("double").alias("_label"))
     stages = [
         HashingTF(numFeatures=n_features, inputCol="_tokens", outputCol="_tf"),
         IDF(inputCol="_tf", outputCol="_features"),
@@ -34,17 +35,11 @@ def train_sentiment(
 
 def score_sentiment(df: DataFrame, text_col: str, model: PipelineModel) -> DataFrame:
     """Add ``sentiment_score``: probability that the whole text is positive."""
-    prepared = df.withColumn("_tokens", tokenize(clean_text(F.col(text_col))))
+    prepared = with_tokens(df, text_col).drop("_cleaned")
     scored = model.transform(prepared).withColumn("sentiment_score", vector_to_array("_probability").getItem(1))
     return scored.select(*df.columns, "sentiment_score")
 
 
-def lexicon_sentiment(df: DataFrame, text_col: str, polarity: Mapping[str, int]) -> DataFrame:
-    """Add ``sentiment_score`` from a word table: no training, the same result every time."""
-    tokens = tokenize(clean_text(F.col(text_col)))
-    return df.withColumn("sentiment_score", lexicon_expression(tokens, polarity))
-
-
 def sentiment_gap(df: DataFrame) -> DataFrame:
     """Add the sentiment on the rating scale and the rating minus it."""
     scaled = df.withColumn("sentiment_score_scaled", F.col("sentiment_score") * 5)

@@ -51,7 +51,7 @@ SPOKEN_RATINGS = _ratings(
 
 # Reviews with long texts; some texts are missing, times have gaps, keys repeat.
 TEXT_REVIEWS = """
-SELECT doc_id AS id, source AS product_id, CAST(doc_id % 97 AS STRING) AS user_id,
+SELECT doc_id AS id, source AS product_id, concat(lang, '-', CAST(n_chars % 7 AS STRING)) AS user_id,
        CAST(doc_id % 7 AS INT) AS helpfulness_numerator,
        CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END AS helpfulness_denominator,
        CAST(1 + (doc_id * 7 + n_chars) % 5 AS INT) AS score,

@@ -146,8 +146,7 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = text_functions.tokenize(text_functions.clean_text(F.col("text")))
-    split = text_reviews(spark, sf).select("id", tokens.alias("tokens"))
+    split = text_functions.with_tokens(text_reviews(spark, sf), "text", tokens_col="tokens").select("id", "tokens")
     return joined(split.withColumn("n_tokens", F.size("tokens")), "tokens")
 
 
@@ -184,12 +183,12 @@ def score_distribution_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marketing_tone(spark: SparkSession, sf: str) -> DataFrame:
-    tone = text_functions.marketing_tone(F.col("text"), TONE_WORDS)
-    return rounded(text_reviews(spark, sf).select("id", tone.alias("marketing_tone_score")), "marketing_tone_score")
+    toned = text_functions.marketing_tone(text_reviews(spark, sf), "text", TONE_WORDS)
+    return rounded(toned.select("id", "marketing_tone_score"), "marketing_tone_score")
 
 
 def reading_ease(spark: SparkSession, sf: str) -> DataFrame:
-    measured = correlation.reading_ease(text_reviews(spark, sf), "text")
+    measured = text_functions.reading_ease(text_reviews(spark, sf), "text")
     return rounded(measured.select("id", *correlation.READING_MEASURES), *correlation.READING_MEASURES)
 
 
@@ -403,10 +402,7 @@ def correlated_item_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_histograms(spark: SparkSession, sf: str) -> DataFrame:
-    measured = correlation.readable(views.product_info(spark, sf))
-    toned = correlation.with_marketing_tone(measured, TONE_WORDS)
-    columns = [*correlation.READING_MEASURES, "marketing_tone_score"]
-    return rounded(histograms(toned.select(*columns), columns, 25), "bin_lo", "bin_hi")
+    return rounded(correlation.feature_histograms(views.product_info(spark, sf), TONE_WORDS), "bin_lo", "bin_hi")
 
 
 def score_density(spark: SparkSession, sf: str) -> DataFrame:
