@@ -66,7 +66,8 @@ def add_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     A filter on a computed column is normally moved below the projection and computes it again,
     which doubles the work where the column comes from whole texts.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    kept = [F.col(f"`{name}`") for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def lexicon_sentiment(df: DataFrame, text_col: str, polarity: Mapping[str, int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from criticlens.functions.text import lexicon_sentiment, with_tokens
+from criticlens.session import shuffle_width, stage
 
 __all__ = [
     "gap_stats", "lexicon_sentiment", "outlier_sample", "score_sentiment", "sentiment_gap", "sentiment_outliers",
@@ -22,15 +23,15 @@ def train_sentiment(
 ) -> PipelineModel:
     """Logistic regression on hashed words, trained on a labelled table (1 is positive)."""
     labelled = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    prepared = with_tokens(labelled, text_col).select("_tokens", F.col(label_col).cast("double").alias("_label"))
-    stages = [
-        HashingTF(numFeatures=n_features, inputCol="_tokens", outputCol="_tf"),
-        IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(
-            featuresCol="_features", labelCol="_label", probabilityCol="_probability", regParam=0.1, maxIter=max_iter
-        ),
-    ]
-    return Pipeline(stages=stages).fit(prepared)
+    words = with_tokens(labelled, text_col).select("_tokens", F.col(label_col).cast("double").alias("_label"))
+    hashing = HashingTF(numFeatures=n_features, inputCol="_tokens", outputCol="_tf")
+    # The counts are staged, since both fits read them, and spread evenly for the iterations.
+    counted = stage(hashing.transform(words).select("_tf", "_label").repartition(shuffle_width(df.sparkSession)))
+    weighting = IDF(inputCol="_tf", outputCol="_features").fit(counted)
+    classifier = LogisticRegression(
+        featuresCol="_features", labelCol="_label", probabilityCol="_probability", regParam=0.1, maxIter=max_iter
+    ).fit(weighting.transform(counted))
+    return PipelineModel([hashing, weighting, classifier])
 
 
 def score_sentiment(df: DataFrame, text_col: str, model: PipelineModel) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from criticlens.functions.scores import polarization
 from criticlens.schemas import COMMENT
-from criticlens.session import ensure_settings
+from criticlens.session import ensure_settings, shuffle_width
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -61,9 +61,9 @@ SELECT doc_id AS id, source AS product_id, concat(lang, '-', CAST(n_chars % 7 AS
        CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS sentiment_score
 FROM documents"""
 
-# Products: parts with their star counts and a document as description.
-PRODUCT_INFO = f"""
-SELECT product_id, product_title, byline_info, p_type, p_size, text AS product_description,
+# Products: parts with their star counts and the document that describes them.
+PRODUCT_ROWS = f"""
+SELECT product_id, product_title, byline_info, p_type, p_size, doc_key,
        p_size % 8 AS count_alt_images, num_ratings, score, n1, n2, n3, n4, n5
 FROM (SELECT CAST(p_partkey AS STRING) AS product_id, p_name AS product_title, p_brand AS byline_info, p_type, p_size,
              p_partkey % (SELECT count(*) FROM documents) AS doc_key FROM part) p
@@ -71,8 +71,12 @@ JOIN (SELECT product_id AS pid, count(score) AS num_ratings, avg(score) AS score
              count(CASE WHEN score = 1 THEN 1 END) AS n1, count(CASE WHEN score = 2 THEN 1 END) AS n2,
              count(CASE WHEN score = 3 THEN 1 END) AS n3, count(CASE WHEN score = 4 THEN 1 END) AS n4,
              count(CASE WHEN score = 5 THEN 1 END) AS n5
-      FROM ({RATINGS}) r GROUP BY product_id) h ON pid = product_id
-LEFT JOIN documents ON doc_id = doc_key"""
+      FROM ({RATINGS}) r GROUP BY product_id) h ON pid = product_id"""
+
+# The same with the description itself.
+PRODUCT_INFO = f"""
+SELECT p.* EXCLUDE (doc_key), text AS product_description
+FROM ({PRODUCT_ROWS}) p LEFT JOIN documents ON doc_id = doc_key"""
 
 _VOTES = "num_ratings * 97"
 _VOTES_TEXT = f"""CASE WHEN {_VOTES} >= 1000
@@ -122,10 +126,24 @@ def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products without their descriptions."""
     shares = F.array(*[F.col(f"n{i}").cast("double") for i in range(1, 6)])
-    info = load(spark, sf_dir, PRODUCT_INFO)
-    return info.withColumn("score_polarization_index", F.round(polarization(shares), 9))
+    index = F.round(polarization(shares), 9)
+    return load(spark, sf_dir, PRODUCT_ROWS).withColumn("score_polarization_index", index)
+
+
+def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with their descriptions.
+
+    The product rows are few bytes each, so after their aggregation they sit in few partitions.
+    They are spread before the texts join them, since the work on the texts is the costly part.
+    """
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("doc_key"), F.col("text").alias("product_description")
+    )
+    rows = product_rows(spark, sf_dir).repartition(shuffle_width(spark), "doc_key")
+    return rows.join(texts, "doc_key", "left").drop("doc_key")
 
 
 def with_item_maps(info: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def product_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_polarization(spark: SparkSession, sf: str) -> DataFrame:
-    info = views.load(spark, sf, views.PRODUCT_INFO)
+    info = views.load(spark, sf, views.PRODUCT_ROWS)
     shares = F.array(*[F.col(f"n{i}").cast("double") for i in range(1, 6)])
     return rounded(info.select("product_id", polarization(shares).alias("polarization")), "polarization")
 
@@ -246,7 +246,7 @@ def impossible_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def product_score_merge(spark: SparkSession, sf: str) -> DataFrame:
-    info = views.load(spark, sf, views.PRODUCT_INFO).select("product_id", "product_title", "num_ratings")
+    info = views.load(spark, sf, views.PRODUCT_ROWS).select("product_id", "product_title", "num_ratings")
     merged = scoring.merge_scores(info, scoring.product_scores(ratings(spark, sf)))
     return rounded(merged, *_SCORES, "diff_smooth_vs_simple", "diff_bayes_vs_mean")
 
@@ -352,11 +352,11 @@ def average_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def description_item_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return correlation.item_counts(views.with_item_maps(views.product_info(spark, sf)))
+    return correlation.item_counts(views.with_item_maps(views.product_rows(spark, sf)))
 
 
 def score_bins(spark: SparkSession, sf: str) -> DataFrame:
-    info = stage(views.product_info(spark, sf).select("num_ratings", *correlation.TARGETS))
+    info = stage(views.product_rows(spark, sf).select("num_ratings", *correlation.TARGETS))
     score = correlation.score_bins(info).withColumn("variable", F.lit("score"))
     index = correlation.score_bins(info, "score_polarization_index", 50).withColumn("variable", F.lit("polarization"))
     return rounded(score.unionByName(index), "bin_lo", "bin_hi", "bin_mid")
@@ -368,12 +368,12 @@ def description_length_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image_count_quality(spark: SparkSession, sf: str) -> DataFrame:
-    quality = correlation.image_count_quality(views.product_info(spark, sf), good_score=GOOD_SCORE)
+    quality = correlation.image_count_quality(views.product_rows(spark, sf), good_score=GOOD_SCORE)
     return rounded(quality, "good_score_proportion", "low_polarity_proportion")
 
 
 def spearman_images(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(correlation.image_correlation(views.product_info(spark, sf)), "corr", "t")
+    return rounded(correlation.image_correlation(views.product_rows(spark, sf)), "corr", "t")
 
 
 def spearman_description_length(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,8 +389,14 @@ def spearman_reading_ease(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.reading_correlation(views.product_info(spark, sf)), "corr", "t")
 
 
+def _described_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratings and description maps of the products, staged because several passes read them."""
+    rows = views.with_item_maps(views.product_rows(spark, sf))
+    return stage(rows.select(*correlation.TARGETS, "product_detail", "important_information"))
+
+
 def _item_table(spark: SparkSession, sf: str) -> DataFrame:
-    return correlation.item_correlation(views.with_item_maps(views.product_info(spark, sf)))
+    return correlation.item_correlation(_described_items(spark, sf))
 
 
 def spearman_description_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,7 +412,7 @@ def feature_histograms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_density(spark: SparkSession, sf: str) -> DataFrame:
-    described = views.with_item_maps(views.product_info(spark, sf))
+    described = _described_items(spark, sf)
     items = ["Best Sellers Rank", "Directions", "Item model number", "Safety Information"]
     return rounded(correlation.score_density(described, items), "x", "density")
 
