@@ -10,16 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from criticlens.functions.text import add_once
 from criticlens.schemas import TEXT_MAP
 
-# The entities decoded in flat fields, "&amp;" last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# The entities decoded in flat fields, "&amp;" last. Those HTML knows without the
+# semicolon are also found where a text was cut off inside one.
+ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;": "'", "&apos;": "'", "&nbsp;?": " ", "&amp;?": "&"}
 
 # Prefix and suffix of a product image address.
 IMAGE_PREFIX = "https://m.media-amazon.com/images/I/"
 IMAGE_SUFFIX = "jpg"
 
-# Where each part of a product page is found.
+# Where each part of a product page is found (tag, attribute, value). Without an
+# attribute the first such tag is meant.
 PRODUCT = {
     "title": ("span", "id", "productTitle"),
     "byline": ("a", "id", "bylineInfo"),
@@ -61,7 +64,7 @@ def plain_text(fragment: Column) -> Column:
     """Tags removed, common entities decoded, trimmed."""
     text = F.regexp_replace(fragment, r"<[^>]*>", "")
     for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
+        text = F.regexp_replace(text, entity, character)
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
@@ -69,9 +72,9 @@ def page_fields(
     df: DataFrame, html_col: str = "html", fields: Mapping[str, str] = PAGE_FIELDS, required: str = "title"
 ) -> DataFrame:
     """Add flat text fields, '' when absent; a page without the required one is dropped."""
-    html = visible_html(F.col(html_col))
-    found = {name: plain_text(F.regexp_extract(html, pattern, 1)) for name, pattern in fields.items()}
-    return df.withColumns(found).where(F.col(required) != "")
+    found = {name: plain_text(F.regexp_extract("_visible", pattern, 1)) for name, pattern in fields.items()}
+    visible = df.withColumn("_visible", visible_html(F.col(html_col)))
+    return add_once(visible, found).drop("_visible").where(F.col(required) != "")
 
 
 def page_links(df: DataFrame, html_col: str = "html", pattern: str = LINK) -> DataFrame:
@@ -88,10 +91,9 @@ def page_key_values(df: DataFrame, html_col: str = "html") -> DataFrame:
 
 def page_fill_rate(df: DataFrame, html_col: str = "html", fields: Mapping[str, str] = PAGE_FIELDS) -> DataFrame:
     """One row: number of pages and the share of them with each field and with links."""
-    html = visible_html(F.col(html_col))
-    shares = {name: plain_text(F.regexp_extract(html, pattern, 1)) != "" for name, pattern in fields.items()}
-    shares["links"] = F.regexp_count(html, F.lit(LINK)) > 0
-    return df.agg(
+    shares = {name: plain_text(F.regexp_extract("_visible", pattern, 1)) != "" for name, pattern in fields.items()}
+    shares["links"] = F.regexp_count("_visible", F.lit(LINK)) > 0
+    return df.select(visible_html(F.col(html_col)).alias("_visible")).agg(
         F.count(F.lit(1)).alias("n_pages"), *[F.avg(c.cast("int")).alias(f"share_{n}") for n, c in shares.items()]
     )
 
@@ -277,7 +279,7 @@ def extract_pages(df: DataFrame, html_col: str = "html", selectors: Mapping[str,
     others = [f for f in df.schema if f.name != html_col]
     schema = StructType([*others, StructField("_s", StructType([StructField(n, t) for n, t in _SECTIONS.items()]))])
     title = selectors["title"][2]
-    candidates = df.where(F.col(html_col).contains(title))
+    candidates = df if title is None else df.where(F.col(html_col).contains(title))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

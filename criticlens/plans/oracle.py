@@ -296,7 +296,7 @@ _VISIBLE = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\
 def plain(fragment: str) -> str:
     text = f"regexp_replace({fragment}, '<[^>]*>', '', 'g')"
     for entity, character in ENTITIES.items():
-        text = f"replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+        text = f"regexp_replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}', 'g')"
     return rf"regexp_replace({text}, '^[\s\x0b\p{{Z}}]+|[\s\x0b\p{{Z}}]+$', '', 'g')"
 
 
@@ -422,6 +422,11 @@ FROM (SELECT page_id, regexp_extract_all({_VISIBLE}, '{_LINK}', 1) AS links FROM
     SELECT page_id, unnest(items) AS item, unnest(range(len(items))) AS pos FROM (
       SELECT page_id, regexp_extract_all({_VISIBLE}, '(?is)<li[^>]*>(.*?)</li>', 1) AS items FROM pages)))
 GROUP BY page_id, label""",
+    "page_sections": f"""SELECT page_id, {plain("regexp_extract(v, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS product_title,
+  {plain("regexp_extract(v, '(?s)<article[^>]*>(.*)</article>', 1)")} AS product_description,
+  CAST(len(list_distinct(list_transform(regexp_extract_all(v, '(?s)<li[^>]*>(.*?)</li>', 1), lambda i: {plain('i')}))) AS INT)
+    AS n_detail, 0 AS n_comments
+FROM (SELECT page_id, {_VISIBLE} AS v FROM pages)""",
     "page_fill_rate": chain(
         FIELDS,
         final="SELECT count(*) AS n_pages, " + ", ".join(

@@ -119,6 +119,23 @@ def page_fill_rate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pages.page_fill_rate(_pages(spark, sf)), "share_title", "share_heading", "share_lang", "share_links")
 
 
+# Where the shared pages keep what a product page has; the rest does not occur in them.
+SHARED_PAGES = {name: ("table", None, None) for name in pages.PRODUCT} | {
+    "title": ("h1", None, None),
+    "description": ("article", None, None),
+    "bullets": ("nav", None, None),
+}
+
+
+def page_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested sections of the pages through the page parser."""
+    parsed = pages.extract_pages(_pages(spark, sf).select("page_id", "html"), selectors=SHARED_PAGES)
+    return parsed.select(
+        "page_id", "product_title", "product_description", F.size("product_detail").alias("n_detail"),
+        F.size("top_comments").alias("n_comments"),
+    )
+
+
 # --- scalar columns ------------------------------------------------------------------------
 
 
@@ -463,7 +480,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bayesian_product_scores, bayesian_offer_scores, product_weight_sums, weighted_product_scores, review_weights,
         impossible_votes, product_score_merge, score_sample, single_review_product, best_reviewed_product,
         reviews_csv_roundtrip, read_cleaned_reviews, product_json_load, pending_products,
-        page_fields, page_links, page_key_values, page_fill_rate,
+        page_fields, page_links, page_key_values, page_fill_rate, page_sections,
         product_features, score_polarization, clean_text, tokenize, keywords,
         sentiment_model_score, sentiment_lexicon_score, review_time_parts, score_distribution_columns,
         marketing_tone, reading_ease, clean_reviews, cleaning_report, table_profile, merge_reviews,
