@@ -103,7 +103,7 @@ def split_key_values(bullets: Column) -> Column:
     spaced = F.transform(bullets, lambda b: F.trim(F.regexp_replace(b, r"[\s\p{Z}\p{C}]+", " ")))
 
     def entry(bullet: Column) -> Column:
-        parts = F.transform(F.split(bullet, ":", -1), F.trim)
+        parts = F.transform(F.split(bullet, ":", -1), lambda p: F.trim(p))
         return F.struct(F.get(parts, F.lit(0)), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ":"))
 
     return F.map_from_entries(F.transform(spaced, entry))
