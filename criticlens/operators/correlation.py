@@ -154,34 +154,41 @@ def image_correlation(df: DataFrame, with_p_value: bool = False) -> DataFrame:
     return with_conclusion(spearman(df, [("count_alt_images", t) for t in TARGETS]), with_p_value)
 
 
+def marketed(df: DataFrame, words: Sequence[str] = MARKETING_WORDS) -> tuple[DataFrame, list[str]]:
+    """Complete products with their marketing tone, and the names of the features present."""
+    features = ["sentiment_score"] if "sentiment_score" in df.columns else []
+    kept = df.select(*TARGETS, *features, "product_description")
+    kept = drop_incomplete(kept, kept.columns)
+    toned = text.marketing_tone(kept, "product_description", words).drop("product_description")
+    return toned, [*features, "marketing_tone_score"]
+
+
 def marketing_correlation(
     df: DataFrame, words: Sequence[str] = MARKETING_WORDS, with_p_value: bool = False
 ) -> DataFrame:
     """Correlation table of marketing tone and, where present, description sentiment."""
-    features = ["sentiment_score"] if "sentiment_score" in df.columns else []
-    kept = df.select(*TARGETS, *features, "product_description")
-    kept = drop_incomplete(kept, kept.columns)
-    features = [*features, "marketing_tone_score"]
+    toned, features = marketed(df, words)
     pairs = [(f, t) for t in TARGETS for f in features]
-    table = with_conclusion(spearman(text.marketing_tone(kept, "product_description", words), pairs), with_p_value)
+    table = with_conclusion(spearman(toned, pairs), with_p_value)
     return table.withColumnRenamed("feature", "sentiment_type").orderBy("sentiment_type", "compare_with", "corr")
 
 
-def readable(df: DataFrame, *keep: str) -> DataFrame:
-    """Complete products whose reading ease could be computed, with the measures and ``keep``."""
-    kept = drop_incomplete(df, [*TARGETS, "product_description"]).select(*TARGETS, "product_description", *keep)
+def marketing_histograms(df: DataFrame, words: Sequence[str] = MARKETING_WORDS, n_bins: int = 25) -> DataFrame:
+    """Distribution of the marketing features; staged, since ranges and counts are two passes."""
+    toned, features = marketed(df, words)
+    return histograms(stage(toned.select(*features)), features, n_bins)
+
+
+def readable(df: DataFrame) -> DataFrame:
+    """Complete products whose reading ease could be computed, with the measures."""
+    kept = drop_incomplete(df, [*TARGETS, "product_description"]).select(*TARGETS, "product_description")
     measured = text.reading_ease(kept, "product_description")
     return measured.where(F.col("flesch_reading_ease") != 0).drop("product_description")
 
 
-def feature_histograms(df: DataFrame, words: Sequence[str] = MARKETING_WORDS, n_bins: int = 25) -> DataFrame:
-    """Distribution of the reading measures and of the marketing tone.
-
-    The measures are staged, since their ranges and their counts are two passes.
-    """
-    toned = text.marketing_tone(df, "product_description", words)
-    features = [*READING_MEASURES, "marketing_tone_score"]
-    return histograms(stage(readable(toned, "marketing_tone_score").select(*features)), features, n_bins)
+def reading_histograms(df: DataFrame, n_bins: int = 25) -> DataFrame:
+    """Distribution of the reading measures; staged, since ranges and counts are two passes."""
+    return histograms(stage(readable(df).select(*READING_MEASURES)), READING_MEASURES, n_bins)
 
 
 def reading_correlation(df: DataFrame, with_p_value: bool = False) -> DataFrame:

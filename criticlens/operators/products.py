@@ -49,12 +49,13 @@ def distribution_columns(df: DataFrame, column: str = "score_distribution") -> D
 def product_comments(df: DataFrame) -> DataFrame:
     """One review row per comment of each product document."""
     exploded = df.select("product_id", F.explode("top_comments").alias("c"))
-    written = F.to_date(F.when(F.col("c.date").rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"), F.col("c.date")), "MMMM d, yyyy")
+    formats = ("MMMM d, yyyy", "d MMMM yyyy")
+    written = F.coalesce(*[F.try_to_timestamp(F.col("c.date"), F.lit(f)) for f in formats])
     return exploded.select(
         "product_id",
         vote_count(F.col("c.helpfulness")).alias("helpfulness_numerator"),
-        first_number(F.col("c.score")).cast("int").alias("score"),
-        written.cast("timestamp").alias("review_time"),
+        first_number(F.col("c.score")).try_cast("int").alias("score"),
+        written.alias("review_time"),
         F.col("c.title").alias("summary"),
         F.col("c.text").alias("text"),
     )

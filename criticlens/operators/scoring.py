@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from criticlens.functions.scores import weight_simple, weight_smooth
@@ -48,29 +48,27 @@ def review_weights(df: DataFrame, a: float = 1.0, b: float = 1.0, lo: float = 0.
     )
 
 
-def weight_sums(weighted: DataFrame, with_score_sums: bool = False) -> DataFrame:
-    """Per product: mean score, rows, and the four sums; a sum of nothing is 0."""
-
-    def total(name: str):
+def _sums(weighted: DataFrame, *extra: Column) -> DataFrame:
+    def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0.0)).alias(f"sum_{name}")
 
-    extra = [F.sum("score").alias("_score_sum"), F.count("score").alias("_score_n")] if with_score_sums else []
-    return (
-        weighted.where(F.col("product_id").isNotNull())
-        .groupBy("product_id")
-        .agg(
-            F.avg("score").alias("mean_score"),
-            F.count(F.lit(1)).alias("num_reviews"),
-            *[total(n) for n in ("weight_simple", "wscore_simple", "weight_smooth", "wscore_smooth")],
-            *extra,
-        )
+    return weighted.groupBy("product_id").agg(
+        F.avg("score").alias("mean_score"),
+        F.count(F.lit(1)).alias("num_reviews"),
+        *[total(n) for n in ("weight_simple", "wscore_simple", "weight_smooth", "wscore_smooth")],
+        *extra,
     )
 
 
+def weight_sums(weighted: DataFrame) -> DataFrame:
+    """Per product: mean score, rows, and the four sums; a sum of nothing is 0."""
+    return _sums(weighted.where(F.col("product_id").isNotNull()))
+
+
 def with_weighted_means(sums: DataFrame) -> DataFrame:
     """Weighted means; NULL where the weights sum to nothing."""
 
-    def mean(kind: str):
+    def mean(kind: str) -> Column:
         weight = F.col(f"sum_weight_{kind}")
         return F.when(weight > 0, F.try_divide(F.col(f"sum_wscore_{kind}"), weight))
 
@@ -81,14 +79,16 @@ def product_scores(df: DataFrame, drop_impossible: bool = False, **weight_option
     """One row per product with the mean, weighted and Bayesian scores.
 
     The reviews are read once into product sums. The prior (mean score over all reviews, median
-    weight over all products) comes from those sums as a one-row subquery.
+    weight over all products) comes from those sums as a one-row subquery. Reviews without a
+    product count for the mean score only.
     """
     reviews = drop_impossible_votes(df) if drop_impossible else df
-    sums = stage(weight_sums(review_weights(reviews, **weight_options), with_score_sums=True))
-    prior = product_prior(sums).select(F.struct("*")).scalar()
-    scored = with_weighted_means(sums)
+    score_sums = F.sum("score").cast("double").alias("_score_sum"), F.count("score").alias("_score_n")
+    everything = stage(_sums(review_weights(reviews, **weight_options), *score_sums))
+    prior = _prior(everything).select(F.struct("*")).scalar()
+    scored = with_weighted_means(everything.where(F.col("product_id").isNotNull()))
 
-    def bayesian(kind: str):
+    def bayesian(kind: str) -> Column:
         m, mean = prior.getField(f"prior_{kind}"), prior.getField("global_mean")
         weight = F.col(f"sum_weight_{kind}")
         return (m * mean + F.col(f"weighted_mean_{kind}") * weight) / (m + weight)
@@ -98,20 +98,17 @@ def product_scores(df: DataFrame, drop_impossible: bool = False, **weight_option
     )
 
 
-def product_prior(sums: DataFrame) -> DataFrame:
+def _prior(sums: DataFrame) -> DataFrame:
     """One row: global_mean, prior_simple, prior_smooth."""
-    medians = exact_medians(sums, ["sum_weight_simple", "sum_weight_smooth"])
-    by_kind = medians.agg(
-        *[
-            F.greatest(
-                F.coalesce(F.max(F.when(F.col("variable") == f"sum_weight_{k}", F.col("median"))), F.lit(0.0)),
-                F.lit(_SMALLEST_PRIOR),
-            ).alias(f"prior_{k}")
-            for k in ("simple", "smooth")
-        ]
-    )
-    mean = sums.agg(F.try_divide(F.sum("_score_sum").cast("double"), F.sum("_score_n"))).scalar()
-    return by_kind.withColumn("global_mean", mean)
+    weights = ["sum_weight_simple", "sum_weight_smooth"]
+    medians = exact_medians(sums.where(F.col("product_id").isNotNull()), weights)
+
+    def median(kind: str) -> Column:
+        value = F.max(F.when(F.col("variable") == f"sum_weight_{kind}", F.col("median")))
+        return F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(_SMALLEST_PRIOR)).alias(f"prior_{kind}")
+
+    mean = sums.agg(F.try_divide(F.sum("_score_sum"), F.sum("_score_n"))).scalar()
+    return medians.agg(median("simple"), median("smooth")).withColumn("global_mean", mean)
 
 
 def score_table(scores: DataFrame) -> DataFrame:

@@ -42,19 +42,21 @@ def negative_report(
     top_n_products: int = 10,
     mapping: Mapping[str, Sequence[str]] = REASON_CATEGORIES,
 ) -> dict[str, DataFrame]:
-    """Keyword table with categories, category shares, and issues per product."""
+    """Keyword table with categories, category shares, issues per product and all their keywords."""
     words = stage(negative.clean_keywords(negative.negative_reviews(reviews).select("product_id", "score", "keywords")))
     keywords = stage(negative.categorize(negative.top_keywords(words, top_n), mapping))
+    issues = stage(negative.product_issues(words, top_n_products))
     return {
         "keywords": keywords,
         "categories": negative.category_share(keywords),
-        "products": negative.product_issues(words, top_n_products),
+        "products": issues,
+        "product_keywords": negative.product_keywords(words, issues),
     }
 
 
 def run_negative_analysis(spark: SparkSession, cleaned_path: str, out_dir: str) -> dict[str, DataFrame]:
     report = negative_report(read_cleaned(spark, cleaned_path))
-    write_analysis(report["keywords"], report["products"], out_dir)
+    write_analysis(report["keywords"], report["products"], out_dir, report["product_keywords"])
     return report
 
 

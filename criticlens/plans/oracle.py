@@ -127,7 +127,7 @@ SCORES = (
   (mp * c + weighted_mean_simple * sum_weight_simple) / (mp + sum_weight_simple) AS bayesian_mean_simple
 FROM means, (SELECT greatest(coalesce(median(sum_weight_smooth), 0), 1e-6) AS ms,
                     greatest(coalesce(median(sum_weight_simple), 0), 1e-6) AS mp FROM means),
-     (SELECT avg(score) AS c FROM ratings WHERE product_id IS NOT NULL)""",
+     (SELECT avg(score) AS c FROM ratings)""",
 )
 SCORING = (WEIGHTS, SUMS, MEANS, SCORES)
 _SCORE_COLUMNS = ["mean_score", "weighted_mean_simple", "weighted_mean_smooth", "bayesian_mean_smooth", "bayesian_mean_simple"]
@@ -339,7 +339,7 @@ _DOC_TERMS = " + ".join(
     f"power(p{i} / ptotal, 2.3e0) * (p{j} / ptotal) * {abs(i - j)}e0" for i in range(1, 6) for j in range(1, 6) if i != j
 )
 _DENSITY_ITEMS = ["Best Sellers Rank", "Directions", "Item model number", "Safety Information"]
-_HIST_COLUMNS = ["flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "marketing_tone_score"]
+READING = ["flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog"]
 _COMPLETE = "score IS NOT NULL AND score_polarization_index IS NOT NULL AND product_description IS NOT NULL"
 
 ORACLE: dict[str, str] = {
@@ -479,7 +479,7 @@ FROM (SELECT id, {keywords_of('text')} AS w FROM text_reviews)""",
     "marketing_tone": chain(TEXT_REVIEWS, final=f"SELECT id, {r6(tone('text'), 'marketing_tone_score')} FROM text_reviews"),
     "reading_ease": chain(
         TEXT_REVIEWS, *reading_steps("text_reviews", "text", "id"),
-        final="SELECT id, " + ", ".join(r6(c, c) for c in _HIST_COLUMNS[:3]) + " FROM measured",
+        final="SELECT id, " + ", ".join(r6(c, c) for c in READING) + " FROM measured",
     ),
     "clean_reviews": chain(
         TEXT_REVIEWS,
@@ -655,7 +655,7 @@ FROM product_info WHERE {_COMPLETE}""",
         *INFO,
         ("described", f"SELECT * FROM product_info WHERE {_COMPLETE}"),
         *reading_steps("described", "product_description", "score, score_polarization_index"),
-        *spearman("measured", [(m, t) for m in _HIST_COLUMNS[:3] for t in TARGETS], "ease_index", "flesch_reading_ease <> 0"),
+        *spearman("measured", [(m, t) for m in READING for t in TARGETS], "ease_index", "flesch_reading_ease <> 0"),
         final=concluded("correlated", "ease_index, compare_with"),
     ),
     "spearman_description_items": chain(
@@ -669,10 +669,15 @@ FROM product_info WHERE {_COMPLETE}""",
     ),
     "feature_histograms": chain(
         *INFO,
-        ("described", f"SELECT *, {tone('product_description')} AS marketing_tone_score FROM product_info WHERE {_COMPLETE}"),
-        *reading_steps("described", "product_description", "marketing_tone_score"),
+        (
+            "described",
+            f"""SELECT *, {tone('product_description')} AS marketing_tone_score, {lexicon('product_description')} AS sentiment_score
+FROM product_info WHERE {_COMPLETE}""",
+        ),
+        *reading_steps("described", "product_description", "product_id"),
         ("readable", "SELECT * FROM measured WHERE flesch_reading_ease <> 0"),
-        final=histogram("readable", _HIST_COLUMNS, 25),
+        final=histogram("readable", READING, 25) + "\nUNION ALL "
+        + histogram("described", ["marketing_tone_score", "sentiment_score"], 25),
     ),
     "score_density": chain(
         *INFO, ITEMS,

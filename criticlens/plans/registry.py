@@ -425,7 +425,10 @@ def correlated_item_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_histograms(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(correlation.feature_histograms(views.product_info(spark, sf), TONE_WORDS), "bin_lo", "bin_hi")
+    described = views.product_info(spark, sf)
+    scored = sentiment.lexicon_sentiment(described, "product_description", POLARITY)
+    tables = correlation.reading_histograms(described).unionByName(correlation.marketing_histograms(scored, TONE_WORDS))
+    return rounded(tables, "bin_lo", "bin_hi")
 
 
 def score_density(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    "spark.checkpoint.compress": "true",
 }
 
 
@@ -38,8 +38,8 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local master may fall back to a temporary folder; on a cluster that would lose data
-    with the machine, so a missing setting is an error there.
+    Only a local master may fall back to a temporary folder, removed when Python ends; on a cluster
+    that would lose data with the machine, so a missing setting is an error there.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
@@ -47,24 +47,35 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="criticlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, for tables written between stages."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one folder per application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/criticlens/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and return a reader of the result.
+    """Write ``df`` once as a table in the shared folder and return a reader of it.
 
-    Used where two later branches need the same aggregate: it saves the second pass over the
-    big input, and lost executors only cost a re-read.
+    Used where several later branches need the same rows: it saves the second pass over the big
+    input, lost executors only cost a re-read, and each branch reads only the columns it needs.
+    The table stays as long as results derived from it may be computed; :func:`release` drops it.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Remove everything this application staged. Call it when no lazy result is needed any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/criticlens/{context.applicationId}")
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -84,9 +84,14 @@ def write_cleaned(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
 
 
-def write_analysis(keywords: DataFrame, insights: DataFrame, out_dir: str) -> None:
-    """The two report tables as CSV, nested columns as JSON text."""
-    for name, table in (("negative_keywords_categorized", keywords), ("top_negative_products", insights)):
+def write_analysis(
+    keywords: DataFrame, insights: DataFrame, out_dir: str, product_keywords: DataFrame | None = None
+) -> None:
+    """The report tables as CSV, nested columns as JSON text."""
+    tables = {"negative_keywords_categorized": keywords, "top_negative_products": insights}
+    if product_keywords is not None:
+        tables["top_negative_product_keywords"] = product_keywords
+    for name, table in tables.items():
         flat = [
             F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.col(f.name)
             for f in table.schema

@@ -49,13 +49,15 @@ def test_merge_prefers_reviews(spark):
     comments = [
         ("August 27, 2025", "Good", "4.0 out of 5 stars", "copy", "One"),
         ("August 27, 2025", "Bad", "1.0 out of 5 stars", "new", "1,234"),
-        ("someday", None, None, "odd", "0"),
+        ("Augustus 27, 2025", None, None, "odd", "0"),
+        ("2 May 2024", "UK", "3.0 out of 5 stars", "british", "2"),
     ]
     documents = spark.createDataFrame([("x", comments), ("y", comments[:2]), ("z", [])], f"product_id string, top_comments array<{comment}>")
     merged = {r["text"]: r for r in products.merge_reviews(reviews, products.product_comments(documents)).collect()}
-    assert set(merged) == {"original", "new", "odd"}
+    assert set(merged) == {"original", "new", "odd", "british"}
     assert merged["original"]["id"] == 8 and merged["new"]["user_id"] is None
     assert merged["new"]["product_id"] == "x" and merged["new"]["helpfulness_numerator"] == 1234
+    assert merged["british"]["review_time"] == datetime.datetime(2024, 5, 2)
     assert merged["odd"]["review_time"] is None and merged["odd"]["score"] is None
 
 

@@ -96,6 +96,15 @@ def test_product_scores_do_not_depend_on_partitions(spark):
     pd.testing.assert_frame_equal(one, many, rtol=1e-12)
 
 
+def test_reviews_without_product_count_for_the_mean_only(spark, slide):
+    nameless = spark.createDataFrame([(None, 1, 0, 0)] * 11, slide.schema)
+    alone = scoring.product_scores(slide).first()
+    both = scoring.product_scores(slide.unionByName(nameless)).collect()
+    assert len(both) == 1 and both[0]["mean_score"] == alone["mean_score"]
+    # one product: its weight is the prior, so the score is halfway to the mean of all reviews
+    assert both[0]["bayesian_mean_simple"] == pytest.approx((62 / 22 + both[0]["weighted_mean_simple"]) / 2)
+
+
 def test_merge_replaces_metric_columns(spark, slide):
     table = spark.createDataFrame([("p", 9.0), ("q", 9.0)], "product_id string, mean_score double")
     rows = {r["product_id"]: r for r in scoring.merge_scores(table, scoring.product_scores(slide)).collect()}

@@ -57,6 +57,7 @@ def test_cleaning_job_and_negative_report(spark, csv_path, tmp_path):
     assert issues["P1"]["top_issues"][0] == "box" and issues["P1"]["negative_review_count"] == 1
     written = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "report" / "top_negative_products"))
     assert json.loads(written.where("product_id = 'P1'").first()["top_issues"])[0] == "box"
+    assert {r["keyword"]: r["frequency"] for r in report["product_keywords"].where("product_id = 'P1'").collect()}["box"] == 3
     with pytest.raises(ValueError):
         jobs.run_cleaning(spark, csv_path, out)
 
