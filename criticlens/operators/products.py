@@ -64,7 +64,7 @@ def product_comments(df: DataFrame) -> DataFrame:
 def merge_reviews(
     reviews: DataFrame,
     comments: DataFrame,
-    order_cols: Sequence[str] = ("id", "product_id", "text"),
+    order_cols: Sequence[str] = ("id", "product_id", "text", "helpfulness_numerator"),
     key_cols: Sequence[str] = ("score", "review_time", "summary"),
 ) -> DataFrame:
     """Reviews and comments together, one row per score, time and summary, across products.

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from criticlens.functions.text import lexicon_sentiment, with_tokens
 from criticlens.session import shuffle_width, stage
 
 __all__ = [
-    "gap_stats", "lexicon_sentiment", "outlier_sample", "score_sentiment", "sentiment_gap", "sentiment_outliers",
-    "train_sentiment",
+    "gap_stats", "lexicon_sentiment", "outlier_sample", "score_sentiment", "score_with_model", "sentiment_gap",
+    "sentiment_outliers", "train_sentiment",
 ]
 
 
@@ -41,6 +45,18 @@ def score_sentiment(df: DataFrame, text_col: str, model: PipelineModel) -> DataF
     return scored.select(*df.columns, "sentiment_score")
 
 
+def score_with_model(
+    df: DataFrame, text_col: str, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 64
+) -> DataFrame:
+    """Add ``sentiment_score`` from a model of the user's own.
+
+    ``make_predict`` runs once per Python worker, loads the model and returns a function from an
+    array of texts to an array of probabilities. Texts come in Arrow batches.
+    """
+    predict = predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size)
+    return df.withColumn("sentiment_score", predict(F.col(text_col)))
+
+
 def sentiment_gap(df: DataFrame) -> DataFrame:
     """Add the sentiment on the rating scale and the rating minus it."""
     scaled = df.withColumn("sentiment_score_scaled", F.col("sentiment_score") * 5)

@@ -65,9 +65,9 @@ def load_products(spark: SparkSession, path: str, one_per_file: bool = True) ->
     return products.product_features(read_products(spark, path, one_per_file))
 
 
-def enrich_reviews(reviews: DataFrame, product_table: DataFrame, order_cols: Sequence[str] = ("id", "product_id", "text")) -> DataFrame:
+def enrich_reviews(reviews: DataFrame, product_table: DataFrame) -> DataFrame:
     """Reviews together with the comments found on the product pages."""
-    return products.merge_reviews(reviews, products.product_comments(product_table), order_cols)
+    return products.merge_reviews(reviews, products.product_comments(product_table))
 
 
 def scored_products(reviews: DataFrame, product_table: DataFrame) -> DataFrame:

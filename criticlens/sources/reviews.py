@@ -42,8 +42,12 @@ def write_reviews_csv(df: DataFrame, path: str, mode: str = "errorifexists") ->
 def parse_listed(text: Column) -> Column:
     """"['a', "it's"]" -> array of its elements; [] when missing. Nothing is evaluated."""
     quoted = F.regexp_extract_all(text, F.lit(_LISTED), F.lit(0))
-    bare = F.transform(quoted, lambda q: F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"))
-    return F.coalesce(bare, F.array().cast("array<string>"))
+
+    def bare(element: Column) -> Column:
+        inside = F.substring(element, F.lit(2), F.length(element) - 2)
+        return F.when(element.contains("\\"), F.regexp_replace(inside, r"\\(.)", "$1")).otherwise(inside)
+
+    return F.coalesce(F.transform(quoted, bare), F.array().cast("array<string>"))
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
