@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -45,27 +47,35 @@ PRODUCT = {
     "review_votes": ("span", "class", "cr-vote-text"),
 }
 
-# Default flat fields of a page: name -> pattern with one group.
+# Default flat fields of a page: name -> pattern with one group. Every pattern here is linear in
+# the page: an open tag ends at the next bracket, and an element that is never closed runs to the
+# end of the page at once instead of being tried again from each start.
 PAGE_FIELDS = {
-    "title": r"(?is)<title[^>]*>(.*?)</title>",
-    "heading": r"(?is)<h1[^>]*>(.*?)</h1>",
-    "lang": r'(?is)<html[^>]*?\blang="([^"]*)"',
+    "title": r"(?is)<title[^<>]*>(.*?)(?:</title|\z)",
+    "heading": r"(?is)<h1[^<>]*>(.*?)(?:</h1|\z)",
+    "lang": r'(?is)<html[^<>]*?\blang="([^"]*)"',
 }
-LINK = r'(?is)<a\s[^>]*?href="([^"]*)"'
-LIST_ITEM = r"(?is)<li[^>]*>(.*?)</li>"
+LINK = r'(?is)<a\s[^<>]*?href="([^"]*)"'
+# The content of a list item ends at the next item or the end of its list; its end tag is optional.
+LIST_ITEM = r"(?is)<li(?:\s[^<>]*)?>([^<]*+(?:<(?!/?li\b|/ul\b|/ol\b)[^<]*+)*+)"
+_INVISIBLE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<[!?][^>]*(?:>|\z)"
 
 
 def visible_html(html: Column) -> Column:
-    """The page without comments, scripts and styles."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
+    """The page without comments, declarations, scripts and styles."""
+    return F.regexp_replace(html, _INVISIBLE, "")
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
 
 
 def plain_text(fragment: Column) -> Column:
     """Tags removed, common entities decoded, trimmed."""
-    text = F.regexp_replace(fragment, r"<[^>]*>", "")
+    text = F.regexp_replace(fragment, r"<[^<>]*>", "")
     for entity, character in ENTITIES.items():
         text = F.regexp_replace(text, entity, character)
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return _strip(text)
 
 
 def page_fields(
@@ -168,20 +178,29 @@ class _PageParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Element("", {})
         self.open = [self.root]
+        self.counts = Counter()
 
     def handle_starttag(self, tag, attrs):
+        if tag == "li" and self.counts["li"]:
+            innermost = next(e.tag for e in reversed(self.open) if e.tag in ("li", "ul", "ol"))
+            if innermost == "li":  # the end tag of a list item is optional
+                self.handle_endtag("li")
         element = _Element(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(element)
         if tag not in self.VOID:
             self.open.append(element)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].children.append(_Element(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
+        if not self.counts[tag]:
+            return
+        while True:
+            closed = self.open.pop().tag
+            self.counts[closed] -= 1
+            if closed == tag:
                 return
 
     def handle_data(self, data):
@@ -189,9 +208,12 @@ class _PageParser(HTMLParser):
 
 
 def _parse(html: str) -> _Element:
+    """The element tree. What follows the last closing bracket holds no tag and is not searched for one."""
+    end = html.rfind(">") + 1
     parser = _PageParser()
-    parser.feed(html)
+    parser.feed(html[:end])
     parser.close()
+    parser.handle_data(unescape(html[end:].split("<", 1)[0]))
     return parser.root
 
 
@@ -266,20 +288,17 @@ def _sections(html: str, at: Mapping[str, tuple]) -> dict:
     }
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-
-
 def extract_pages(df: DataFrame, html_col: str = "html", selectors: Mapping[str, tuple] = PRODUCT) -> DataFrame:
     """Product documents from raw pages; the other columns of ``df`` are kept.
 
-    Pages without a product title are dropped before Python sees them. The parser only cuts the
+    Comments, scripts and pages without a product title are dropped before Python sees them. The parser only cuts the
     page into its sections; every rule on their content is an expression.
     """
     others = [f for f in df.schema if f.name != html_col]
     schema = StructType([*others, StructField("_s", StructType([StructField(n, t) for n, t in _SECTIONS.items()]))])
     title = selectors["title"][2]
-    candidates = df if title is None else df.where(F.col(html_col).contains(title))
+    visible = df.withColumn(html_col, visible_html(F.col(html_col)))
+    candidates = visible if title is None else visible.where(F.col(html_col).contains(title))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

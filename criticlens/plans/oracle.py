@@ -290,22 +290,23 @@ CATEGORY = "CASE " + " ".join(
 
 # --- pages ---------------------------------------------------------------------------------
 
-_VISIBLE = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g')"
+_INVISIBLE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<[!?][^>]*(?:>|\z)"
+_VISIBLE = f"regexp_replace(html, '{_INVISIBLE}', '', 'g')"
 
 
 def plain(fragment: str) -> str:
-    text = f"regexp_replace({fragment}, '<[^>]*>', '', 'g')"
+    text = f"regexp_replace({fragment}, '<[^<>]*>', '', 'g')"
     for entity, character in ENTITIES.items():
         text = f"regexp_replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}', 'g')"
     return rf"regexp_replace({text}, '^[\s\x0b\p{{Z}}]+|[\s\x0b\p{{Z}}]+$', '', 'g')"
 
 
 _FIELD = {
-    "title": "(?is)<title[^>]*>(.*?)</title>",
-    "heading": "(?is)<h1[^>]*>(.*?)</h1>",
-    "lang": '(?is)<html[^>]*?\\blang="([^"]*)"',
+    "title": r"(?is)<title[^<>]*>(.*?)(?:</title|\z)",
+    "heading": r"(?is)<h1[^<>]*>(.*?)(?:</h1|\z)",
+    "lang": r'(?is)<html[^<>]*?\blang="([^"]*)"',
 }
-_LINK = '(?is)<a\\s[^>]*?href="([^"]*)"'
+_LINK = r'(?is)<a\s[^<>]*?href="([^"]*)"'
 FIELDS = (
     "fields",
     f"SELECT page_id, v, {', '.join(plain(f'regexp_extract(v, {chr(39)}{p}{chr(39)}, 1)') + f' AS {n}' for n, p in _FIELD.items())} "

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,49 @@ def test_deeply_nested_page_does_not_overflow(spark):
     html = "<div>" * 5000 + '<span id="productTitle">Deep</span>' + "</div>" * 5000
     df = spark.createDataFrame([("d", html)], "product_id string, html string")
     assert pages.extract_pages(df).select(F.col("product_title")).first()[0] == "Deep"
+
+
+AWKWARD = {
+    "open items": "<title>t</title>" + "<li>x" * 60_000,
+    "open comments": "<title>t</title>" + "<!-- " * 60_000,
+    "open scripts": "<title>t</title>" + "<script>" * 40_000,
+    "open links": "<title>t</title>" + "<a " * 100_000,
+    "open titles": "<title>" * 60_000,
+    "brackets": "<title>t</title><li>" + "<" * 300_000,
+    "spaces": "<title>" + " " * 300_000 + "x" + " " * 300_000 + "y</title>",
+    "one word": "<title>" + "b" * 500_000 + "</title>",
+    "deep": "<title>t</title>" + "<div>" * 60_000 + "</p>" * 60_000,
+}
+
+
+def test_awkward_pages_take_linear_time(spark):
+    """Broken markup of several hundred kilobytes; quadratic patterns would take minutes each."""
+    rows = [(name, html + " productTitle") for name, html in AWKWARD.items()]
+    df = spark.createDataFrame(rows, "name string, html string")
+    start = time.perf_counter()
+    fields = {r["name"]: r["title"] for r in pages.page_fields(df).select("name", "title").collect()}
+    items = {r["name"]: r["n"] for r in pages.page_key_values(df).select("name", F.size("key_values").alias("n")).collect()}
+    links = pages.page_links(df).where(F.size("links") > 0).count()
+    parsed = pages.extract_pages(df).count()
+    assert time.perf_counter() - start < 60
+    assert fields["open items"] == "t" and fields["spaces"].endswith("y")
+    assert items["open items"] == 2 and items["open comments"] == 0
+    assert links == 0 and parsed == 0
+
+
+def test_list_items_without_end_tags(spark):
+    html = PLAIN.replace("</body>", '<div id="detailBullets_feature_div"><ul>' + "".join(f"<li><b>k{i}:</b> v" for i in range(20_000)) + "</ul></div></body>")
+    df = spark.createDataFrame([("p", html)], "product_id string, html string")
+    detail = pages.extract_pages(df).select(F.size("product_detail"), F.col("product_detail")["k7"]).first()
+    assert tuple(detail) == (20_000, "v")
+
+
+def test_texts_without_spaces_take_linear_time(spark):
+    from criticlens.functions import text
+
+    rows = [("b" * 400_000,), ("ab" * 200_000,), ("é" * 300_000,), (" " * 500_000,), ("." * 400_000,), ("a. " * 150_000,)]
+    df = spark.createDataFrame(rows, "text string")
+    start = time.perf_counter()
+    measured = text.reading_ease(text.marketing_tone(text.lexicon_sentiment(df, "text", {"a": 1}), "text"), "text")
+    assert measured.where(F.col("gunning_fog").isNotNull()).count() == len(rows)
+    assert time.perf_counter() - start < 60
