@@ -198,12 +198,18 @@ def reading_correlation(df: DataFrame, with_p_value: bool = False) -> DataFrame:
 
 
 def description_items(products: DataFrame, *keep: str) -> DataFrame:
-    """(section, item, value, ...): one row per entry of the two description maps."""
-    parts = [
-        products.select(F.lit(section).alias("section"), F.explode(section).alias("item", "value"), *keep)
-        for section in ("product_detail", "important_information")
-    ]
-    return parts[0].unionByName(parts[1]).where(~F.col("item").startswith("#"))
+    """(section, item, value, ...): one row per entry of the two description maps, in one pass."""
+    nothing = F.array().cast("array<struct<section:string,item:string,value:string>>")
+
+    def entries(section: str) -> Column:
+        labelled = F.transform(
+            F.map_entries(section),
+            lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("item"), e["value"].alias("value")),
+        )
+        return F.coalesce(labelled, nothing)
+
+    both = F.inline(F.concat(entries("product_detail"), entries("important_information")))
+    return products.select(*keep, both).where(~F.col("item").startswith("#"))
 
 
 def item_counts(products: DataFrame) -> DataFrame:

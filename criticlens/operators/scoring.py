@@ -128,6 +128,11 @@ def merge_scores(products: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def score_preview(products: DataFrame, n: int = 10) -> DataFrame:
+    """The first products by id."""
+    return products.orderBy("product_id").limit(n)
+
+
 def score_sample(scores: DataFrame, n: int = 300, seed: int = 42, min_reviews: int = 5) -> DataFrame:
     """Repeatable sample of products with enough reviews and all metrics, at most ``n`` rows."""
     required = ["num_reviews", "mean_score", "weighted_mean_smooth", "bayesian_mean_smooth"]

@@ -374,6 +374,7 @@ WHERE helpfulness_numerator > helpfulness_denominator""",
   {r6('bayesian_mean_smooth - mean_score', 'diff_bayes_vs_mean')}
 FROM info_rows i LEFT JOIN scores s ON s.product_id = i.product_id""",
     ),
+    "score_preview": chain(RATINGS, *SCORING, final=f"SELECT {TABLE} FROM scores ORDER BY scores.product_id LIMIT 10"),
     "score_sample": chain(
         RATINGS, *SCORING,
         final=f"""SELECT {TABLE} FROM scores WHERE num_reviews >= 5 AND mean_score IS NOT NULL

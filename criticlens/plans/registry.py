@@ -268,6 +268,10 @@ def product_score_merge(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(merged, *_SCORES, "diff_smooth_vs_simple", "diff_bayes_vs_mean")
 
 
+def score_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scoring.score_preview(scoring.score_table(scoring.product_scores(ratings(spark, sf)))), *_SCORES)
+
+
 def score_sample(spark: SparkSession, sf: str) -> DataFrame:
     sample = scoring.score_sample(scoring.product_scores(ratings(spark, sf)))
     return rounded(scoring.score_table(sample), *_SCORES)
@@ -481,7 +485,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bayesian_product_scores, bayesian_offer_scores, product_weight_sums, weighted_product_scores, review_weights,
-        impossible_votes, product_score_merge, score_sample, single_review_product, best_reviewed_product,
+        impossible_votes, product_score_merge, score_preview, score_sample, single_review_product, best_reviewed_product,
         reviews_csv_roundtrip, read_cleaned_reviews, product_json_load, pending_products,
         page_fields, page_links, page_key_values, page_fill_rate, page_sections,
         product_features, score_polarization, clean_text, tokenize, keywords,
