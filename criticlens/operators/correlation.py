@@ -36,7 +36,8 @@ def with_conclusion(df: DataFrame, with_p_value: bool = False) -> DataFrame:
 
 def complete_tuples(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct combinations of the columns without missing values, with their row count ``n``."""
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    missing = F.lit(None).cast("double")
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), missing).alias(c) for c in columns])
     return drop_incomplete(numbers, columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
