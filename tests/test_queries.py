@@ -9,11 +9,13 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry_point
+from criticlens.plans.oracle import ORACLE
+from criticlens.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="shared tables are not here")
 
-NAMES = sorted(entry_point.queries())
+NAMES = sorted(QUERIES)
 WITHOUT_TWIN = {"sentiment_model_score"}
 
 
@@ -23,8 +25,8 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert set(NAMES) - set(entry_point.oracle_sql()) == WITHOUT_TWIN
-    assert set(entry_point.oracle_sql()) <= set(NAMES)
+    assert set(NAMES) - set(ORACLE) == WITHOUT_TWIN
+    assert set(ORACLE) <= set(NAMES)
 
 
 def test_entry(spark):
@@ -33,7 +35,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, connection, name):
-    df = entry_point.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert unwanted not in plan
@@ -45,12 +47,12 @@ def test_query(spark, connection, name):
         scores = [r["sentiment_score"] for r in df.collect()]
         assert scores and all(0 <= s <= 1 for s in scores)
     else:
-        assert differences(df, entry_point.oracle_sql()[name], connection) == []
+        assert differences(df, ORACLE[name], connection) == []
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_row_selection_by_id(name):
     """The SQL twins read whole tables: no sampling and no modulo filter on an id."""
-    sql = entry_point.oracle_sql().get(name, "")
+    sql = ORACLE.get(name, "")
     assert "SAMPLE" not in sql.upper().split()
     assert not re.search(r"WHERE[^)]*key % ", sql)
