@@ -33,6 +33,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 DEFAULT = "allow"
+SALTS = 32
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Sorts after every character of a key.
 _LAST = "\U0010ffff"
@@ -124,7 +125,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
             "verdict",
         ).alias("payload"),
     )
-    reached = places.join(over, "host").withColumn("key", path_key)
+    # A host may hold a third of all paths: its few rules are repeated, its paths spread.
+    salted = places.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    over = over.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    reached = salted.join(over, ["host", "_salt"]).drop("_salt").withColumn("key", path_key)
     held = sweep(reached, path_rules).join(reached, "key").select("host", "path", F.array_max("stack").alias("best"))
     best = held.groupBy("host", "path").agg(F.max("best").alias("best"))
     return urls.join(best, ["host", "path"], "left").select(
