@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from criticlens.llm import decontaminate, mixing, pii, quality, toxicity, urls
+from criticlens.llm import decontaminate, mixing, pages, pii, quality, toxicity, urls
 from criticlens.session import ensure_settings
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -38,6 +42,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_page_text": op1_page_text,
     "op2_url_filter": op2_url_filter,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_toxicity": op4_toxicity,
