@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from criticlens.llm import decontaminate, mixing, pages, pii, quality, toxicity, urls
+from criticlens.llm import decontaminate, mixing, pages, pii, quality, substrings, toxicity, urls
 from criticlens.session import ensure_settings
 
 
@@ -37,6 +37,10 @@ def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op7_source_mix": op7_source_mix,
     "op8_adaptive_quality": op8_adaptive_quality,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_personal_data": op10_personal_data,
 }
 
