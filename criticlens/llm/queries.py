@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from criticlens.llm import decontaminate, mixing, pages, pii, quality, substrings, suffixes, toxicity, urls
+from criticlens.llm import decontaminate, mixing, neardup, pages, pii, quality, substrings, suffixes, toxicity, urls
 from criticlens.session import ensure_settings
 
 
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find_repeats(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_toxicity": op4_toxicity,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_repeated_spans": op6_repeated_spans,
     "op7_source_mix": op7_source_mix,
     "op8_adaptive_quality": op8_adaptive_quality,
