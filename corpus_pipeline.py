@@ -3,25 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from criticlens.llm import mixing
+from criticlens.llm import decontaminate, mixing, neardup, pii, toxicity
 from criticlens.session import ensure_settings, stage
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ensure_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar, fitted to their labels, rejects go."""
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the one with the smallest id."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; n_chars follows."""
+    clean = pii.redact_pii(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Source mix: every kept document with the words that the mix takes of it."""
-    return mixing.mix(docs)
+    """The documents of which the mix takes words, with the number of words it takes."""
+    return mixing.mixed_documents(docs)
 
 
-STAGES = [("source mix", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("personal data", redact_personal_data),
+    ("source mix", mix_sources),
+]
 
-#: Scoring and the other learned stages cannot be written in SQL.
+#: Scoring and the other learned stages cannot be written in SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; each result is written and read by the next."""
-    docs = ensure_settings(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for k, (_, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -79,11 +79,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return weighted.select("source", "source_size", wanted.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of (doc_id, text, source)."""
-    sized = stage(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), slot(F.col("doc_id")).alias("slot"))
-    )
+def source_shares(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """Per source and slot of (source, slot, size) rows: source_size, target, whole repetitions, and the
+    part of one more."""
     slots = sized.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap).select(
@@ -96,12 +94,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     run = slots.select("source", "slot", "slot_size", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("run"))
     rest = F.col("target") - F.col("whole") * F.col("source_size") - F.col("run")
     part = F.when(F.col("slot_size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), rest / F.col("slot_size"))))
-    shares = run.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "_source", F.col("slot").alias("_slot"), "source_size", "target", "whole", F.coalesce(part, F.lit(0.0)).alias("part")
+    return run.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "_source",
+        F.col("slot").alias("_slot"),
+        F.col("source_size").cast("long").alias("_source_size"),
+        F.col("target").alias("_target"),
+        F.col("whole").alias("_whole"),
+        F.coalesce(part, F.lit(0.0)).alias("_part"),
     )
-    joined = sized.join(
-        shares, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slot") == F.col("_slot"))
+
+
+def _taken(rows: DataFrame, shares: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` of the rows with (source, _size, _own_slot), and what the mix takes of them."""
+    joined = rows.join(shares, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own_slot") == F.col("_slot")))
+    extra = F.floor(F.col("_size") * F.col("_part") + F.lit(0.5))
+    return joined.select(
+        *keep,
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_whole") * F.col("_size") + extra).cast("long").alias("taken"),
     )
-    extra = F.floor(F.col("size") * F.col("part") + F.lit(0.5))
-    taken = (F.col("whole") * F.col("size") + extra).cast("long")
-    return joined.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), slot(F.col("doc_id")).alias("_own_slot")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row of (doc_id, text, source)."""
+    sized = _sized(docs)
+    shares = source_shares(sized.select("source", F.col("_own_slot").alias("slot"), F.col("_size").alias("size")), weights, share, cap)
+    return _taken(sized, shares, ["doc_id"])
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of ``docs`` of which the mix takes words, with size, source_size, target and taken.
+
+    Columns of ``docs`` with one of these four names are replaced.
+    """
+    sized = _sized(docs)
+    shares = source_shares(sized.select("source", F.col("_own_slot").alias("slot"), F.col("_size").alias("size")), weights, share, cap)
+    rows = docs.withColumns({"_size": n_words(F.col("text")), "_own_slot": slot(F.col("doc_id"))})
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return _taken(rows, shares, keep).where("taken > 0")
