@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from criticlens.llm.words import ship
 from criticlens.session import stage
 
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 #: Hash bits kept within a bucket; the bucket itself adds more.
 BITS = 40
 _MASK = np.uint64((1 << BITS) - 1)

@@ -93,6 +93,7 @@ def _ask(buckets: int):
                     (b, row["pack"], encode_sorted(kept_bits(keys[s])), encode_bits(many[s]), encode_bits(anchors[s]))
                     for b, s in by_bucket(keys)
                 ]
+                del keys, docs, many, anchors
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
                     names=["bucket", "pack", "keys", "many", "anchors"],
@@ -256,7 +257,7 @@ _STEP_ARROW = pa.schema(
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of ``docs``."""
-    buckets = shuffle_width(docs.sparkSession)
+    buckets = 2 * shuffle_width(docs.sparkSession)
     packs = pack_documents(docs)
     told = packs.mapInArrow(_ask(buckets), _ASK).groupBy("bucket").applyInArrow(_tell, _TELL)
     step = stage(packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_extend(buckets), _STEP))

@@ -253,7 +253,7 @@ def neighbour_matches(suffixes: DataFrame, keys: list) -> DataFrame:
 def find_repeats(docs: DataFrame) -> DataFrame:
     """Spans of documents that another document has too: doc_id, start_word, end_word (exclusive), n_words,
     and one document that shares the beginning of the span, with its place there."""
-    buckets = shuffle_width(docs.sparkSession)
+    buckets = 2 * shuffle_width(docs.sparkSession)
     packs = pack_documents(docs)
     told = packs.mapInArrow(_ask(buckets), _ASK).groupBy("bucket").applyInArrow(_tell, _TELL)
     suffixes = stage(packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_suffixes(buckets), _SUFFIX))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark import cloudpickle
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
