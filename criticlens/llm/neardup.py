@@ -41,7 +41,7 @@ COMMON = 0.005
 BANDS = 12
 ROWS = 5
 SMALL = 8
-#: Draws that must agree (of all) for a candidate to be verified: 0.8 less four standard deviations.
+#: Share of draws that must agree, by their last byte, for a candidate to be verified: 0.8 less four standard deviations.
 AGREE = 0.58
 SEED = 20
 _TABLE_BITS = 16
@@ -178,7 +178,8 @@ def _sign(idf: Idf):
                 counts = np.diff(np.append(starts, len(docs)))
                 for k, row in zip(docs[starts].tolist(), sampler.draw(starts, counts, values, idf.weigh(values, frequency))):
                     signed[a + k] = row.astype("<u4").tobytes()
-            yield pa.record_batch([*batch.columns[:-1], pa.array(signed, pa.binary())], names=["doc", "text1", "text2", "draws"])
+            brief = [None if d is None else np.frombuffer(d, np.uint8)[::4].tobytes() for d in signed]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(signed, pa.binary()), pa.array(brief, pa.binary())], names=["doc", "text1", "text2", "draws", "brief"])
 
     return sign
 
@@ -221,9 +222,8 @@ def _members(signed: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
 
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose draws agree often enough to be worth a look at the texts."""
-    brief = signed.select("doc", F.col("draws"))
-    left = pairs.join(brief.select(F.col("doc").alias("a"), F.col("draws").alias("left")), "a")
-    both = left.join(brief.select(F.col("doc").alias("b"), F.col("draws").alias("right")), "b")
+    left = pairs.join(signed.select(F.col("doc").alias("a"), F.col("brief").alias("left")), "a")
+    both = left.join(signed.select(F.col("doc").alias("b"), F.col("brief").alias("right")), "b")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,15 +296,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text1"), F.xxhash64(F.lit(1), "text").alias("text2"), "text"
     )
     idf = learn_idf(rows)
-    every = stage(rows.mapInArrow(_sign(idf), "doc long, text1 long, text2 long, draws binary"))
+    every = stage(rows.mapInArrow(_sign(idf), "doc long, text1 long, text2 long, draws binary, brief binary"))
     compared = every.where("doc IS NOT NULL AND draws IS NOT NULL")
-    signed = stage(compared.groupBy("text1", "text2").agg(F.min("doc").alias("doc"), F.any_value("draws").alias("draws")))
-    signed_draws = signed.select("doc", "draws")
+    signed = stage(compared.groupBy("text1", "text2").agg(F.min("doc").alias("doc"), F.any_value("draws").alias("draws"), F.any_value("brief").alias("brief")))
+    signed_draws = signed.select("doc", "draws", "brief")
 
     members = _members(signed_draws, [(k,) for k in range(BANDS)])
     pairs = stage(_likely(_meetings(members), signed_draws))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_doc")).distinct()
-    texts = rows.join(wanted, F.col("doc") == F.col("_doc"), "left_semi").select("doc", "text").dropDuplicates(["doc"])
+    texts = rows.join(wanted.hint("merge"), F.col("doc") == F.col("_doc"), "left_semi").select("doc", "text").dropDuplicates(["doc"])
     sets = stage(texts.mapInArrow(_sets(idf), "doc long, keys binary, weights binary"))
     links = stage(_links(pairs, sets))
 
