@@ -135,6 +135,8 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     """
     sized = _sized(docs)
     shares = source_shares(sized.select("source", F.col("_own_slot").alias("slot"), F.col("_size").alias("size")), weights, share, cap)
-    rows = docs.withColumns({"_size": n_words(F.col("text")), "_own_slot": slot(F.col("doc_id"))})
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return _taken(rows, shares, keep).where("taken > 0")
+    # The columns travel as one struct, so that their names cannot clash with those of the shares.
+    row = F.struct(*keep).alias("_row")
+    rows = docs.select(row, "source", n_words(F.col("text")).alias("_size"), slot(F.col("doc_id")).alias("_own_slot"))
+    return _taken(rows, shares, ["_row"]).where("taken > 0").select("_row.*", "size", "source_size", "target", "taken")
