@@ -219,14 +219,8 @@ def item_counts(products: DataFrame) -> DataFrame:
 
 
 def compared_items(counts: DataFrame, min_count: int = 10, exclude: Sequence[str] = MISLEADING_ITEMS) -> DataFrame:
-    """Items to correlate: frequent details, and as many information items as there are such details."""
-    details = counts.where((F.col("section") == "product_detail") & (F.col("num_samples") > min_count))
-    information = (
-        counts.where(F.col("section") == "important_information")
-        .orderBy(F.desc("num_samples"), "item")
-        .limit(details.count())
-    )
-    return details.unionByName(information).where(~F.col("item").isin(list(exclude)))
+    """Items to correlate: all of both sections that more than ``min_count`` products have."""
+    return counts.where((F.col("num_samples") > min_count) & ~F.col("item").isin(list(exclude)))
 
 
 def item_correlation(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from html import unescape
@@ -207,13 +208,16 @@ class _PageParser(HTMLParser):
         self.open[-1].children.append(data)
 
 
+_OPEN_TAG = re.compile(r"<[A-Za-z/!?]")
+
+
 def _parse(html: str) -> _Element:
-    """The element tree. What follows the last closing bracket holds no tag and is not searched for one."""
+    """The element tree. What follows the last closing bracket is text up to a tag that never ends."""
     end = html.rfind(">") + 1
     parser = _PageParser()
     parser.feed(html[:end])
     parser.close()
-    parser.handle_data(unescape(html[end:].split("<", 1)[0]))
+    parser.handle_data(unescape(_OPEN_TAG.split(html[end:], maxsplit=1)[0]))
     return parser.root
 
 

@@ -49,17 +49,21 @@ SPOKEN_RATINGS = _ratings(
     " JOIN part ON l_partkey = p_partkey",
 )
 
-# Reviews with long texts; some texts are missing, times have gaps, keys repeat.
+# Reviews with long texts, and one without a text per label; times have gaps, keys repeat.
 TEXT_REVIEWS = """
 SELECT doc_id AS id, source AS product_id, concat(lang, '-', CAST(n_chars % 7 AS STRING)) AS user_id,
        CAST(doc_id % 7 AS INT) AS helpfulness_numerator,
        CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END AS helpfulness_denominator,
        CAST(1 + (doc_id * 7 + n_chars) % 5 AS INT) AS score,
-       CASE WHEN doc_id % 41 = 0 THEN NULL ELSE text END AS text,
+       text,
        split_part(text, chr(10), 1) AS summary,
        1104537600 + n_chars * 43200 AS time,
        CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS sentiment_score
-FROM documents"""
+FROM documents
+UNION ALL
+SELECT -1 - doc_id, concat('label-', CAST(toxic AS STRING)), 'reader', 0, NULL, CAST(1 + doc_id % 5 AS INT), NULL, 'no text',
+       1104537600 + doc_id * 43200, 0.5E0
+FROM labels"""
 
 # Products: parts with their star counts and the document that describes them.
 PRODUCT_ROWS = f"""

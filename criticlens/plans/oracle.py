@@ -177,17 +177,7 @@ ITEM_STEPS = (
     *INFO,
     ITEMS,
     ("key_counts", "SELECT section, item, count(*) AS num_samples FROM items GROUP BY section, item"),
-    ("detail", "SELECT * FROM key_counts WHERE section = 'product_detail' AND num_samples > 10"),
-    (
-        "information",
-        """SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (ORDER BY num_samples DESC, item) AS place
-FROM key_counts WHERE section = 'important_information') WHERE place <= (SELECT count(*) FROM detail)""",
-    ),
-    (
-        "chosen",
-        f"""SELECT * FROM (SELECT * FROM detail UNION ALL SELECT * FROM information)
-WHERE item NOT IN ({text_list(MISLEADING_ITEMS)})""",
-    ),
+    ("chosen", f"SELECT * FROM key_counts WHERE num_samples > 10 AND item NOT IN ({text_list(MISLEADING_ITEMS)})"),
     (
         "complete",
         f"""SELECT product_id, {', '.join(f'{rank_of(t)} AS r_{t}' for t in TARGETS)} FROM product_info
@@ -411,11 +401,8 @@ FROM text_reviews WHERE text IS NOT NULL""",
   CASE WHEN num_ratings > 0 THEN concat(CAST(p5 AS STRING), '%') END AS five_star
 FROM document d""",
     ),
-    "pending_products": chain(
-        RATINGS,
-        final="""SELECT DISTINCT product_id FROM ratings
-WHERE product_id NOT IN (SELECT CAST(p_partkey AS STRING) FROM part WHERE p_type <> 'PROMO')""",
-    ),
+    "pending_products": """SELECT DISTINCT CAST(o_orderkey AS STRING) AS product_id FROM orders
+WHERE o_orderkey NOT IN (SELECT p_partkey FROM part)""",
     "page_fields": chain(FIELDS, final="SELECT page_id, title, heading, lang FROM fields WHERE title <> ''"),
     "page_links": f"""SELECT page_id, CAST(len(links) AS INT) AS n_links, array_to_string(links, '|') AS links
 FROM (SELECT page_id, regexp_extract_all({_VISIBLE}, '{_LINK}', 1) AS links FROM pages)""",

@@ -94,9 +94,10 @@ def product_json_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pending_products(spark: SparkSession, sf: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf}/part.parquet").where(F.col("p_type") != "PROMO")
-    existing = parts.select(F.col("p_partkey").cast("string").alias("product_id"))
-    return product_files.pending_products(ratings(spark, sf), existing)
+    """Order keys stand for reviewed products: the small ones are known parts, the others are not."""
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("product_id"))
+    reviewed = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("product_id"))
+    return product_files.pending_products(reviewed, parts)
 
 
 # --- pages ---------------------------------------------------------------------------------

@@ -143,3 +143,13 @@ def test_texts_without_spaces_take_linear_time(spark):
     measured = text.reading_ease(text.marketing_tone(text.lexicon_sentiment(df, "text", {"a": 1}), "text"), "text")
     assert measured.where(F.col("gunning_fog").isNotNull()).count() == len(rows)
     assert time.perf_counter() - start < 60
+
+
+def test_text_after_the_last_tag_is_kept():
+    from criticlens.operators.pages import _parse
+
+    def text(node):
+        return node if isinstance(node, str) else "".join(text(c) for c in node.children)
+
+    assert text(_parse("<p>price a < b dollars and more")) == "price a < b dollars and more"
+    assert text(_parse("<p>kept <b broken")) == "kept "

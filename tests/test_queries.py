@@ -56,3 +56,11 @@ def test_no_row_selection_by_id(name):
     sql = ORACLE.get(name, "")
     assert "SAMPLE" not in sql.upper().split()
     assert not re.search(r"WHERE[^)]*key % ", sql)
+
+
+def test_views_keep_every_text():
+    from criticlens.plans import adapters
+
+    for name, view in vars(adapters).items():
+        if isinstance(view, str) and name.isupper():
+            assert not re.search(r"CASE WHEN [^']*% \d+ = \d+ THEN NULL ELSE (text|html)", view), name
