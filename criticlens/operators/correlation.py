@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from criticlens.functions import stats, text
 from criticlens.functions.words import MARKETING_WORDS, MISLEADING_ITEMS
 from criticlens.operators.bins import cut, cut_counts, histograms
 from criticlens.operators.cleaning import drop_incomplete
-from criticlens.operators.joins import SALTS, lookup_join
+from criticlens.operators.joins import hot_keys, lookup_join
 from criticlens.operators.ranks import average_ranks
 from criticlens.session import stage
 
@@ -25,13 +26,15 @@ def _bounded(corr: Column) -> Column:
 
 
 def with_conclusion(df: DataFrame, with_p_value: bool = False) -> DataFrame:
-    """Add t and the label of each correlation (columns ``corr`` and ``n``); optionally the exact p."""
+    """Add t and the label of each correlation (columns ``corr`` and ``n``); optionally the p behind the label.
+
+    A perfect correlation has no finite t; its p is 0.
+    """
+    perfect = F.coalesce(F.abs("corr") >= 1.0, F.lit(False))
     tested = df.withColumn("t", stats.t_statistic(F.col("corr"), F.col("n")))
-    if with_p_value:
-        exact = stats.p_value(F.col("t"), F.col("n").cast("double"))
-        perfect = F.coalesce(F.abs("corr") >= 1.0, F.lit(False))
-        tested = tested.withColumn("p_value", F.when(perfect, 0.0).when(F.col("t").isNotNull(), exact))
-    return tested.withColumn("conclusion", stats.conclusion(F.col("corr"), F.col("t"), F.col("n")))
+    tested = tested.withColumn("p_value", F.when(perfect, 0.0).otherwise(stats.p_value(F.col("t"), F.col("n"))))
+    labelled = tested.withColumn("conclusion", stats.conclusion(F.col("corr"), F.col("p_value")))
+    return labelled if with_p_value else labelled.drop("p_value")
 
 
 def complete_tuples(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,13 +53,10 @@ def _tuple_counts(tuples: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _hot_values(counts: DataFrame, tuples: DataFrame) -> dict[str, list[float]]:
-    """Per column, the values found in more than 1/SALTS of the tuples: fewer than SALTS each."""
-    total = tuples.agg(F.count(F.lit(1))).scalar()
-    hot: dict[str, list[float]] = {}
-    for row in counts.where(F.col("n_tuples") * SALTS > total).select("variable", "value").collect():
-        hot.setdefault(row["variable"], []).append(row["value"])
-    return hot
+def _hot_values(counts: DataFrame) -> dict[str, list[tuple[float, int]]]:
+    """Per variable, its hot values in ``counts`` (variable, value, n) and their parts."""
+    names = [row[0] for row in counts.select("variable").distinct().collect()]
+    return {name: hot_keys(counts.where(F.col("variable") == name), "value") for name in names}
 
 
 def _centred(ranks: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     tuples = stage(complete_tuples(df, columns))
     counts = stage(_tuple_counts(tuples, columns))
     ranks = _centred(average_ranks(counts))
-    hot = _hot_values(counts, tuples)
+    hot = _hot_values(counts.select("variable", "value", F.col("n_tuples").alias("n")))
     ranked = tuples
     for c in columns:
         table = ranks.where(F.col("variable") == c).select(
@@ -230,9 +230,9 @@ def item_correlation(
 
     Ratings are ranked once. Having an item is yes or no, so its correlation needs only the
     number of products with it and the sum of their centred ranks: each product contributes the
-    items it has, never the ones it lacks.
+    compared items it has, never the ones it lacks, and frequent ratings are spread.
     """
-    items = compared_items(stage(item_counts(products)), min_count, exclude)
+    items = stage(compared_items(item_counts(products), min_count, exclude))
     complete = drop_incomplete(products, TARGETS)
     pairs = F.array(
         *[F.struct(F.lit(t).alias("variable"), F.col(t).cast("double").alias("value")) for t in TARGETS]
@@ -241,15 +241,26 @@ def item_correlation(
         complete.select(F.inline(pairs)).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     ranks = _centred(average_ranks(counts))
-    present = (
+    present = stage(
         description_items(complete, *TARGETS)
         .where(F.col("value") != "")
+        .join(items.select("section", "item"), ["section", "item"], "left_semi")
         .select("section", "item", F.inline(pairs))
         .groupBy("section", "item", "variable", "value")
         .agg(F.count(F.lit(1)).alias("k"))
     )
+    hot = _hot_values(present.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")))
+    ranked = [
+        lookup_join(
+            present.where(F.col("variable") == t),
+            ranks.where(F.col("variable") == t).select("value", "centred"),
+            "value",
+            hot.get(t, []),
+        )
+        for t in TARGETS
+    ]
     sums = (
-        present.join(ranks.select("variable", "value", "centred"), ["variable", "value"])
+        functools.reduce(DataFrame.unionByName, ranked)
         .groupBy("section", "item", "variable")
         .agg(F.sum("k").alias("n_with"), F.sum(F.col("k") * F.col("centred")).alias("rank_sum"))
     )

@@ -39,6 +39,10 @@ def _base_forms(word: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*forms), lambda f: f.isNotNull() & (f != "") & (f != word)))
 
 
+def _has_ending(word: Column) -> Column:
+    return F.size(_base_forms(word)) > 0
+
+
 def vocabulary(df: DataFrame, keywords_col: str = "keywords") -> DataFrame:
     """(word, n): distinct lower-case words and the number of rows with them."""
     words = F.array_distinct(F.transform(F.col(keywords_col), F.lower))
@@ -66,23 +70,27 @@ def clean_keywords(
     """Add ``cleaned_keywords``: base forms without stop words and short words, in order.
 
     The input is staged with a row number, since the vocabulary, the lookup and the result all
-    read it. Only words with a noun ending are looked up, once per row, with frequent words
-    spread over several tasks.
+    read it. Only words with a noun ending are looked up, by position and with frequent words
+    spread over several tasks; sorting the positions of a row puts both kinds together again.
     """
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()))
     words = stage(vocabulary(rows, keywords_col))
-    inflected = words.where(F.size(_base_forms(F.col("word"))) > 0)
-    lowered = F.transform(F.col(keywords_col), F.lower)
-    wanted = F.filter(F.array_distinct(lowered), lambda w: F.size(_base_forms(w)) > 0)
-    asked = rows.select("_row", F.explode(wanted).alias("word"))
-    found = lookup_join(asked, lemma_table(words), "word", hot_keys(inflected, "word"))
-    lemmas = found.groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemmas")
-    )
+    inflected = words.where(_has_ending(F.col("word")))
+    lemmas = inflected.join(lemma_table(words), "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"))
     stop = sorted(set(STOP_WORDS) | set(extra_stop_words))
-    based = F.transform(lowered, lambda w: F.coalesce(F.try_element_at(F.col("_lemmas"), w), w))
-    kept = F.filter(based, lambda w: ~w.isin(stop) & (F.length(w) >= min_len))
-    return rows.join(lemmas, "_row", "left").withColumn("cleaned_keywords", kept).drop("_row", "_lemmas")
+
+    def stays(word: Column) -> Column:
+        return ~word.isin(stop) & (F.length(word) >= min_len)
+
+    lowered = F.transform(F.col(keywords_col), F.lower)
+    asked = rows.select("_row", F.posexplode(lowered).alias("pos", "word")).where(_has_ending(F.col("word")))
+    found = lookup_join(asked, lemmas, "word", hot_keys(inflected, "word")).where(stays(F.col("lemma")))
+    based = found.groupBy("_row").agg(F.collect_list(F.struct("pos", F.col("lemma").alias("word"))).alias("_based"))
+    placed = F.transform(lowered, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    plain = F.filter(placed, lambda p: ~_has_ending(p["word"]) & stays(p["word"]))
+    both = F.when(F.col("_based").isNull(), plain).otherwise(F.concat(plain, F.col("_based")))
+    kept = F.transform(F.sort_array(both), lambda p: p["word"])
+    return rows.join(based, "_row", "left").withColumn("cleaned_keywords", kept).drop("_row", "_based")
 
 
 def keyword_counts(df: DataFrame, keywords_col: str = "cleaned_keywords") -> DataFrame:

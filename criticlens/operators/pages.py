@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -16,6 +18,9 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from criticlens.functions.text import add_once
 from criticlens.schemas import TEXT_MAP
 
+# The page parser goes to the executors by value, so that they need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The entities decoded in flat fields, "&amp;" last. Those HTML knows without the
 # semicolon are also found where a text was cut off inside one.
 ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;": "'", "&apos;": "'", "&nbsp;?": " ", "&amp;?": "&"}

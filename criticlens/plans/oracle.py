@@ -5,7 +5,7 @@ Each entry starts from the same views as its Spark query and then says the resul
 
 from __future__ import annotations
 
-from criticlens.functions.stats import ALPHA, NOT_SIGNIFICANT, STRENGTH, exact_critical_value
+from criticlens.functions.stats import ALPHA, NOT_SIGNIFICANT, STRENGTH
 from criticlens.functions.words import DOMAIN_STOP_WORDS, MISLEADING_ITEMS, REASON_CATEGORIES, STOP_WORDS
 from criticlens.operators.negative import NOUN_ENDINGS
 from criticlens.operators.pages import ENTITIES
@@ -135,24 +135,24 @@ TABLE = "product_id, num_reviews, " + ", ".join(r6(c, c) for c in _SCORE_COLUMNS
 
 # --- correlations --------------------------------------------------------------------------
 
-_Z = 3.2905267314919255
+# Two-sided p of Student's t for whole degrees of freedom: its finite trigonometric sums, one for even and one for odd.
+_ANGLE = "atan(abs(t) / sqrt(n - 2))"
+_EVEN = f"""1 - sin({_ANGLE}) * list_sum([exp(lgamma(k + 0.5e0) - lgamma(k + 1)) * power(cos({_ANGLE}), 2 * k)
+  FOR k IN range(CAST((n - 2) // 2 AS BIGINT))]) / sqrt(pi())"""
+_ODD = f"""1 - 2 / pi() * ({_ANGLE} + sin({_ANGLE}) * coalesce(list_sum([exp(lgamma(k + 1) - lgamma(k + 1.5e0))
+  * power(cos({_ANGLE}), 2 * k + 1) FOR k IN range(CAST((n - 3) // 2 AS BIGINT))]), 0) * sqrt(pi()) / 2)"""
+P_VALUE = f"""CASE WHEN abs(corr) >= 1 THEN 0 WHEN n < 3 OR t IS NULL THEN NULL
+  WHEN n % 2 = 0 THEN {_EVEN} ELSE {_ODD} END"""
 
 
-def _critical() -> str:
-    z = _Z
-    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
-    expansion = f"{z!r}e0 + " + " + ".join(f"{t!r}e0 / power(n - 2, {i + 1})" for i, t in enumerate(terms))
-    exact = " ".join(f"WHEN n - 2 = {k} THEN {exact_critical_value(k, ALPHA)!r}e0" for k in range(1, 20))
-    return f"CASE WHEN n < 3 THEN NULL {exact} ELSE {expansion} END"
-
-
-def concluded(source: str, columns: str) -> str:
-    """Final select over (…, n, corr): t and the label."""
+def concluded(source: str, columns: str, with_p_value: bool = False) -> str:
+    """Final select over (…, n, corr): t, the label and, if asked, its p."""
     labels = " ".join(f"WHEN abs(corr) > {b}e0 THEN '{name}'" for b, name in STRENGTH)
-    return f"""SELECT {columns}, n, {r6('corr', 'corr')}, {r6('t', 't')},
-  CASE WHEN NOT coalesce(abs(t) >= {_critical()}, false) AND NOT coalesce(abs(corr) >= 1, false) THEN '{NOT_SIGNIFICANT}'
-       {labels} ELSE '{NOT_SIGNIFICANT}' END AS conclusion
-FROM (SELECT *, corr * sqrt((n - 2) / nullif(1 - corr * corr, 0)) AS t FROM {source})"""
+    shown = f"{r6('p', 'p_value')}, " if with_p_value else ""
+    return f"""SELECT {columns}, n, {r6('corr', 'corr')}, {r6('t', 't')}, {shown}
+  CASE WHEN NOT coalesce(p <= {ALPHA}, false) THEN '{NOT_SIGNIFICANT}' {labels} ELSE '{NOT_SIGNIFICANT}' END AS conclusion
+FROM (SELECT *, {P_VALUE} AS p
+  FROM (SELECT *, corr * sqrt((n - 2) / nullif(1 - corr * corr, 0)) AS t FROM {source}))"""
 
 
 def rank_of(column: str) -> str:
@@ -581,6 +581,12 @@ FROM kept JOIN low ON low.id = kept.id GROUP BY product_id, keyword""",
         final="""SELECT t.product_id, any_value(negative_review_count) AS negative_review_count,
   coalesce(string_agg(keyword, '|' ORDER BY place), '') AS top_issues
 FROM top_products t LEFT JOIN ranked r ON r.product_id = t.product_id AND place <= 5 GROUP BY t.product_id""",
+    ),
+    "product_keyword_counts": chain(
+        *SPOKEN_NEGATIVE, *lemma_steps("low"),
+        final=f"""SELECT product_id, keyword, count(*) AS frequency FROM kept JOIN low ON low.id = kept.id
+WHERE product_id IN (SELECT product_id FROM spoken WHERE {_LOW} GROUP BY product_id
+  ORDER BY count(score) DESC, product_id LIMIT 10) GROUP BY product_id, keyword""",
     ),
     "average_rank": """SELECT CAST(l_extendedprice AS DOUBLE) AS value, count(*) AS n, avg(k) AS rank
 FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) AS k FROM lineitem) GROUP BY l_extendedprice""",
@@ -620,6 +626,10 @@ FROM (SELECT count_alt_images, {quality()} FROM product_info WHERE num_ratings >
         *INFO, *spearman("product_info", [("count_alt_images", t) for t in TARGETS]),
         final=concluded("correlated", "feature, compare_with"),
     ),
+    "correlation_p_values": chain(
+        *INFO, *spearman("product_info", [("count_alt_images", t) for t in TARGETS]),
+        final=concluded("correlated", "feature, compare_with", with_p_value=True),
+    ),
     "spearman_description_length": chain(
         *INFO,
         (

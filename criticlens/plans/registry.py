@@ -366,6 +366,12 @@ def product_top_issues(spark: SparkSession, sf: str) -> DataFrame:
     return joined(negative.product_issues(stage(_spoken_negative(spark, sf))), "top_issues")
 
 
+def product_keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every keyword of the ten products with the most negative reviews."""
+    low = stage(_spoken_negative(spark, sf))
+    return negative.product_keywords(low, negative.top_products(low))
+
+
 # --- description features ------------------------------------------------------------------
 
 
@@ -398,6 +404,11 @@ def spearman_images(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.image_correlation(views.product_rows(spark, sf)), "corr", "t")
 
 
+def correlation_p_values(spark: SparkSession, sf: str) -> DataFrame:
+    table = correlation.image_correlation(views.product_rows(spark, sf), with_p_value=True)
+    return rounded(table, "corr", "t", "p_value")
+
+
 def spearman_description_length(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.length_correlation(views.product_info(spark, sf)), "corr", "t")
 
@@ -495,9 +506,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentiment_outliers, sentiment_gap_stats, outlier_sample, sentiment_gap_histogram,
         monthly_review_volume, yearly_review_count, rating_heatmap,
         negative_reviews, negative_keywords_clean, negative_keyword_top, negative_text_keyword_top,
-        negative_reason_categories, negative_category_share, product_top_issues,
+        negative_reason_categories, negative_category_share, product_top_issues, product_keyword_counts,
         average_rank, description_item_counts, score_bins, description_length_bins, image_count_quality,
-        spearman_images, spearman_description_length, spearman_marketing, spearman_reading_ease,
+        correlation_p_values, spearman_images, spearman_description_length, spearman_marketing, spearman_reading_ease,
         spearman_description_items, correlated_item_summary, feature_histograms, score_density,
         event_volume_stream, deduplicated_stream, incremental_product_scores,
     )

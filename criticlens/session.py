@@ -35,22 +35,26 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
     Only a local master may fall back to a temporary folder, removed when Python ends; on a cluster
-    that would lose data with the machine, so a missing setting is an error there.
+    that would lose data with the machine, so a missing setting is an error there. The context's own
+    checkpoint directory is left as it is.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="criticlens-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="criticlens-")
+            atexit.register(shutil.rmtree, _LOCAL_FOLDERS[context.applicationId], ignore_errors=True)
+        folder = _LOCAL_FOLDERS[context.applicationId]
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -75,30 +76,67 @@ def test_perfect_correlation(spark):
     assert row["corr"] == pytest.approx(1.0) and row["p_value"] < 1e-12 and row["conclusion"] == "Highly correlated"
 
 
-def test_p_values():
-    def p(r, n):
-        return stats.two_sided_p(r * ((n - 2) / (1 - r * r)) ** 0.5, n - 2)
+def p_values(spark, pairs):
+    df = spark.createDataFrame(pairs, "t double, n bigint")
+    return [r[0] for r in df.select(stats.p_value(F.col("t"), F.col("n"))).collect()]
 
-    assert p(0.0588, 3354) == pytest.approx(0.000657, rel=5e-3)
-    assert p(-0.0469, 3354) == pytest.approx(0.00659, rel=5e-3)
-    assert p(0.3809, 3354) == pytest.approx(2.89e-116, rel=2e-2)
-    assert stats.two_sided_p(0.0, 10) == 1.0
-    assert stats.two_sided_p(12.706204736, 1) == pytest.approx(0.05, rel=1e-6)
 
+def finite_sum_p(t, nu):
+    """The finite trigonometric sum of Student's t for whole degrees of freedom."""
+    angle = math.atan(abs(t) / math.sqrt(nu))
+    term, total = 1.0, 0.0
+    if nu % 2 == 0:
+        for k in range(nu // 2):
+            total += term
+            term *= (2 * k + 1) / (2 * k + 2) * math.cos(angle) ** 2
+        return 1 - math.sin(angle) * total
+    term = math.cos(angle)
+    for k in range((nu - 1) // 2):
+        total += term
+        term *= (2 * k + 2) / (2 * k + 3) * math.cos(angle) ** 2
+    return 1 - 2 / math.pi * (angle + math.sin(angle) * total)
 
-def test_critical_value(spark):
-    nus = [1, 5, 19, 20, 50, 2000, 10**6]
-    df = spark.createDataFrame([(float(v),) for v in nus], "nu double")
-    values = [r[0] for r in df.select(stats.critical_value(F.col("nu"))).collect()]
-    for nu, c in zip(nus, values):
-        assert stats.two_sided_p(c, nu) == pytest.approx(0.001, rel=2e-3)
+
+def test_p_values(spark):
+    def t(r, n):
+        return r * ((n - 2) / (1 - r * r)) ** 0.5, n
+
+    given = p_values(spark, [t(0.0588, 3354), t(-0.0469, 3354), t(0.3809, 3354)])
+    assert given[0] == pytest.approx(0.000657, rel=5e-3)
+    assert given[1] == pytest.approx(0.00659, rel=5e-3)
+    assert given[2] == pytest.approx(2.89e-116, rel=2e-2)
+    assert p_values(spark, [(0.0, 12), (12.706204736, 3)]) == pytest.approx([1.0, 0.05], rel=1e-6)
+    assert p_values(spark, [(1.0, 2), (None, 50)]) == [None, None]
+
+
+def test_p_values_match_the_finite_sum(spark):
+    pairs = [(t, nu + 2) for nu in (1, 2, 3, 4, 19, 20, 21, 50, 2001) for t in (0.0, 1e-9, 0.3, 1.0, 1.7, 3.29, -4.0)]
+    for (t, n), p in zip(pairs, p_values(spark, pairs)):
+        assert p == pytest.approx(finite_sum_p(t, n - 2), rel=1e-7, abs=1e-10), (t, n)
+
+
+def test_the_label_follows_p_around_the_threshold(spark):
+    """At 20 degrees of freedom p is 0.001 at t = 3.84952."""
+    rows = [(t / math.sqrt(20 + t * t), 22) for t in (3.8494, 3.8497)]
+    df = correlation.with_conclusion(spark.createDataFrame(rows, "corr double, n bigint"), with_p_value=True)
+    below, above = df.orderBy("corr").collect()
+    assert below["p_value"] > stats.ALPHA and below["conclusion"] == stats.NOT_SIGNIFICANT
+    assert above["p_value"] <= stats.ALPHA and above["conclusion"] == "Highly correlated"
+
+
+def test_hot_keys_follow_the_width(spark):
+    """With 60 % and 2 % of the rows on two keys, no part is larger than one of the partitions."""
+    counts = spark.createDataFrame([(1, 600), (2, 20)] + [(k, 1) for k in range(3, 383)], "k int, n bigint")
+    hot = dict(hot_keys(counts, "k", width=200))
+    assert set(hot) == {1, 2}
+    assert all(n / hot[k] <= 1000 / 200 for k, n in ((1, 600), (2, 20)))
 
 
 def test_lookup_join_with_hot_key(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     table = rows.select("k").distinct().withColumn("label", F.concat(F.lit("l"), "k"))
     hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k")
-    assert hot == [-1]
+    assert [k for k, _ in hot] == [-1] and hot[0][1] >= 2
     joined = lookup_join(rows, table, "k", hot)
     assert joined.count() == 3000
     assert joined.where(F.col("label") != F.concat(F.lit("l"), "k")).count() == 0
@@ -128,8 +166,8 @@ def items_frame(spark):
 def test_item_correlation_matches_brute_force(spark):
     df, rows = items_frame(spark)
     result = correlation.item_correlation(df, with_p_value=True).collect()
-    # three details are frequent enough (one of them excluded), so three information items are kept
-    assert {r["item"] for r in result} == {"Rank", "Weight", "A", "B", "C"}
+    # every item of both sections that is frequent enough and not excluded
+    assert {r["item"] for r in result} == {"Rank", "Weight", "A", "B", "C", "D"}
     complete = pd.DataFrame([r for r in rows if r[0] is not None], columns=["score", "index", "product_detail", "important_information"])
     for r in result:
         section = "product_detail" if r["category"] == "detail" else "important_information"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,26 @@ def test_clean_keywords_with_one_word_everywhere(spark):
     assert cleaned.where(F.get("cleaned_keywords", F.lit(0)) == "box").count() == 2001
 
 
+def test_clean_keywords_is_linear_in_the_row(spark):
+    """One very long row: the time of a word does not grow with the words of its row."""
+
+    def seconds(n):
+        words = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n // 2)), lambda i: F.array(
+            F.concat(F.lit("word"), F.translate(i.cast("string"), "0123456789", "abcdefghij"), F.lit("s")),
+            F.concat(F.lit("word"), F.translate(i.cast("string"), "0123456789", "abcdefghij")),
+        )))
+        df = spark.range(1).select("id", words.alias("keywords"))
+        begin = time.perf_counter()
+        row = negative.clean_keywords(df).select(F.array_distinct("cleaned_keywords").alias("w"), "cleaned_keywords").first()
+        assert len(row["cleaned_keywords"]) == n // 2 * 2
+        assert len(row["w"]) < n
+        return time.perf_counter() - begin
+
+    seconds(4000)
+    short, long = seconds(4000), seconds(64000)
+    assert long < 16 * max(short, 1.0)
+
+
 def test_top_keywords_break_ties_by_name(spark):
     df = spark.createDataFrame([(["b", "a", "c", "c"],)], "cleaned_keywords array<string>")
     assert [tuple(r) for r in negative.top_keywords(df, 2).collect()] == [("c", 2), ("a", 1)]
