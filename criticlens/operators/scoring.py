@@ -86,16 +86,24 @@ def product_scores(df: DataFrame, drop_impossible: bool = False, **weight_option
     score_sums = F.sum("score").cast("double").alias("_score_sum"), F.count("score").alias("_score_n")
     everything = stage(_sums(review_weights(reviews, **weight_options), *score_sums))
     prior = _prior(everything).select(F.struct("*")).scalar()
-    scored = with_weighted_means(everything.where(F.col("product_id").isNotNull()))
+    return with_bayesian_means(everything.where(F.col("product_id").isNotNull()), prior).drop("_score_sum", "_score_n")
+
+
+def with_bayesian_means(sums: DataFrame, prior: Column) -> DataFrame:
+    """Weighted and Bayesian means under a prior: a struct of global_mean, prior_simple and prior_smooth."""
 
     def bayesian(kind: str) -> Column:
         m, mean = prior.getField(f"prior_{kind}"), prior.getField("global_mean")
         weight = F.col(f"sum_weight_{kind}")
         return (m * mean + F.col(f"weighted_mean_{kind}") * weight) / (m + weight)
 
-    return scored.withColumns({f"bayesian_mean_{k}": bayesian(k) for k in ("smooth", "simple")}).drop(
-        "_score_sum", "_score_n"
-    )
+    return with_weighted_means(sums).withColumns({f"bayesian_mean_{k}": bayesian(k) for k in ("smooth", "simple")})
+
+
+def score_prior(df: DataFrame, **weight_options: float) -> DataFrame:
+    """One row: global_mean, prior_simple, prior_smooth of a review table, for sums kept elsewhere."""
+    score_sums = F.sum("score").cast("double").alias("_score_sum"), F.count("score").alias("_score_n")
+    return _prior(stage(_sums(review_weights(df, **weight_options), *score_sums)))
 
 
 def _prior(sums: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from criticlens.functions.text import lexicon_sentiment, with_tokens
+from criticlens.operators.joins import hot_keys, lookup_join
 from criticlens.session import shuffle_width, stage
 
 __all__ = [
-    "gap_stats", "lexicon_sentiment", "outlier_sample", "score_sentiment", "score_with_model", "sentiment_gap",
-    "sentiment_outliers", "train_sentiment",
+    "gap_stats", "lexicon_sentiment", "outlier_sample", "score_sentiment", "score_with_model", "score_word_odds",
+    "sentiment_gap", "sentiment_outliers", "train_sentiment", "train_word_odds",
 ]
 
 
@@ -45,6 +46,41 @@ def score_sentiment(df: DataFrame, text_col: str, model: PipelineModel) -> DataF
     return scored.select(*df.columns, "sentiment_score")
 
 
+def train_word_odds(df: DataFrame, text_col: str, label_col: str, smoothing: float = 1.0) -> DataFrame:
+    """(word, log_odds): multinomial log-odds of every word of a labelled table (1 is positive, 0 negative).
+
+    Counts are aggregated before the shuffle; the totals are a one-row subquery. Rows without a text or a label are left out.
+    """
+    labelled = df.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
+    words = with_tokens(labelled, text_col).select(F.explode("_tokens").alias("word"), F.col(label_col).alias("_label"))
+    counts = stage(words.groupBy("word").agg(F.count_if(F.col("_label") == 1).alias("pos"), F.count_if(F.col("_label") == 0).alias("neg")))
+    sums = F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("words"))
+    total = counts.agg(sums).scalar()
+
+    def log_share(kind: str) -> Column:
+        return F.log((F.col(kind) + smoothing) / (total.getField(kind) + smoothing * total.getField("words")))
+
+    return counts.select("word", (log_share("pos") - log_share("neg")).alias("log_odds"))
+
+
+def score_word_odds(df: DataFrame, id_col: str, text_col: str, odds: DataFrame) -> DataFrame:
+    """``id_col``, ``log_odds`` (sum over the words of the text, unknown words 0) and ``sentiment_score``, per distinct id.
+
+    A word counts once per text and meets its odds with its frequency; words in very many texts are
+    spread over parts. A text without known words has odds 0 and the score 0.5; rows without an id are left out.
+    """
+    rows = df.where(F.col(id_col).isNotNull())
+    words = with_tokens(rows, text_col).select(F.col(id_col), F.explode("_tokens").alias("word"))
+    counts = stage(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")))
+    hot = hot_keys(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+    parts = lookup_join(counts, odds, "word", hot)
+    sums = parts.groupBy(id_col).agg(F.sum(F.col("n") * F.col("log_odds")).alias("log_odds"))
+    scored = rows.select(id_col).distinct().join(sums, id_col, "left")
+    total = F.coalesce("log_odds", F.lit(0.0))
+    clipped = F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0))
+    return scored.select(id_col, total.alias("log_odds"), (1 / (1 + F.exp(-clipped))).alias("sentiment_score"))
+
+
 def score_with_model(
     df: DataFrame, text_col: str, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 64
 ) -> DataFrame:

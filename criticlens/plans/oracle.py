@@ -364,6 +364,13 @@ WHERE helpfulness_numerator > helpfulness_denominator""",
   {r6('bayesian_mean_smooth - mean_score', 'diff_bayes_vs_mean')}
 FROM info_rows i LEFT JOIN scores s ON s.product_id = i.product_id""",
     ),
+    "scored_products": chain(
+        RATINGS, *SCORING, *INFO, _DOCUMENT,
+        final="SELECT d.product_id, CASE WHEN num_ratings > 0 THEN CAST(" + views._VOTES + """ AS BIGINT)
+  ELSE CAST(-1 AS BIGINT) END AS num_ratings, num_reviews, """ + ", ".join(r6(c, c) for c in _SCORE_COLUMNS) + ", "
+        + ", ".join(f"coalesce(p{i}, 0) AS count_{i}star" for i in range(1, 6))
+        + " FROM document d LEFT JOIN scores s ON s.product_id = d.product_id",
+    ),
     "score_preview": chain(RATINGS, *SCORING, final=f"SELECT {TABLE} FROM scores ORDER BY scores.product_id LIMIT 10"),
     "score_sample": chain(
         RATINGS, *SCORING,
@@ -452,6 +459,21 @@ FROM (SELECT id, {words_of(cleaned('text'))} AS w FROM text_reviews)""",
         TEXT_REVIEWS,
         final=f"""SELECT id, array_to_string(w, '|') AS keywords, CAST(len(w) AS INT) AS n_keywords
 FROM (SELECT id, {keywords_of('text')} AS w FROM text_reviews)""",
+    ),
+    "sentiment_word_model": chain(
+        ("words", f"SELECT doc_id, unnest({words_of(cleaned('text'))}) AS word FROM documents"),
+        ("counted", "SELECT doc_id, word, count(*) AS n FROM words GROUP BY doc_id, word"),
+        (
+            "learned",
+            """SELECT word, coalesce(sum(n) FILTER (WHERE quality = 1), 0) AS pos, coalesce(sum(n) FILTER (WHERE quality = 0), 0) AS neg
+FROM counted JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY word""",
+        ),
+        ("totals", "SELECT sum(pos) AS p, sum(neg) AS q, count(*) AS v FROM learned"),
+        ("odds", "SELECT word, ln((pos + 1e0) / (p + 1e0 * v)) - ln((neg + 1e0) / (q + 1e0 * v)) AS odds FROM learned, totals"),
+        ("summed", "SELECT doc_id, sum(n * odds) AS odds FROM counted JOIN odds USING (word) GROUP BY doc_id"),
+        final=f"""SELECT doc_id, {r6('coalesce(odds, 0e0)', 'log_odds')},
+  {r6('1 / (1 + exp(-greatest(least(coalesce(odds, 0e0), 500e0), -500e0)))', 'sentiment_score')}
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN summed USING (doc_id)""",
     ),
     "sentiment_lexicon_score": chain(
         TEXT_REVIEWS, final=f"SELECT id, {r6(lexicon('text'), 'sentiment_score')} FROM text_reviews"
@@ -587,6 +609,13 @@ FROM top_products t LEFT JOIN ranked r ON r.product_id = t.product_id AND place
         final=f"""SELECT product_id, keyword, count(*) AS frequency FROM kept JOIN low ON low.id = kept.id
 WHERE product_id IN (SELECT product_id FROM spoken WHERE {_LOW} GROUP BY product_id
   ORDER BY count(score) DESC, product_id LIMIT 10) GROUP BY product_id, keyword""",
+    ),
+    "negative_report_csv": chain(
+        *SPOKEN_NEGATIVE, *lemma_steps("low"),
+        final=f"""SELECT product_id, keyword, count(*) AS frequency, NULL AS category FROM kept JOIN low ON low.id = kept.id
+WHERE product_id IN (SELECT product_id FROM spoken WHERE {_LOW} GROUP BY product_id
+  ORDER BY count(score) DESC, product_id LIMIT 10) GROUP BY product_id, keyword
+UNION ALL SELECT NULL, keyword, frequency, {CATEGORY} FROM ({TOP})""",
     ),
     "average_rank": """SELECT CAST(l_extendedprice AS DOUBLE) AS value, count(*) AS n, avg(k) AS rank
 FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) AS k FROM lineitem) GROUP BY l_extendedprice""",
@@ -699,14 +728,9 @@ FROM (SELECT *, unnest(range(0, 200)) AS point FROM shapes)""",
   {r6('sum(exp(-0.5e0 * power((x - score) / h, 2))) / any_value(n * h * sqrt(2 * pi()))', 'density')}
 FROM grid g JOIN curves c ON c.item = g.item GROUP BY g.item, point""",
     ),
-    "event_volume_stream": """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
-  time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM events GROUP BY 1, 2""",
-    "deduplicated_stream": "SELECT DISTINCT user_id, event_type FROM events",
-    "incremental_product_scores": chain(
-        RATINGS, WEIGHTS, SUMS, MEANS,
-        final="SELECT product_id, num_reviews, " + ", ".join(r6(c, c) for c in _SCORE_COLUMNS[:3]) + f""",
-  {r6('(20e0 * 3e0 + weighted_mean_smooth * sum_weight_smooth) / (20e0 + sum_weight_smooth)', 'bayesian_mean_smooth')},
-  {r6('(100e0 * 3e0 + weighted_mean_simple * sum_weight_simple) / (100e0 + sum_weight_simple)', 'bayesian_mean_simple')}
-FROM means""",
-    ),
+    "event_volume_stream": """SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n
+FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1)
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "deduplicated_stream": "SELECT event_id, user_id, event_type FROM events",
+    "incremental_product_scores": chain(RATINGS, *SCORING, final=f"SELECT {TABLE} FROM scores"),
 }

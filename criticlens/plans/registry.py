@@ -12,6 +12,7 @@ from criticlens.functions.scores import helpfulness_index, polarization
 from criticlens.operators import cleaning, correlation, negative, pages, products, ranks, scoring, sentiment, timeseries
 from criticlens.operators.bins import histograms
 from criticlens.plans import adapters as views
+from criticlens.plans import jobs
 from criticlens.session import ensure_settings, scratch_path, stage
 from criticlens.sources import products as product_files
 from criticlens.sources import reviews as review_files
@@ -180,6 +181,13 @@ def sentiment_model_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sentiment.score_sentiment(documents, "text", model).drop("text"), "sentiment_score")
 
 
+def sentiment_word_model(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    odds = sentiment.train_word_odds(documents.join(labels, "doc_id"), "text", "quality")
+    return rounded(sentiment.score_word_odds(documents, "doc_id", "text", odds), "log_odds", "sentiment_score")
+
+
 def sentiment_lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     scored = sentiment.lexicon_sentiment(text_reviews(spark, sf), "text", POLARITY)
     return rounded(scored.select("id", "sentiment_score"), "sentiment_score")
@@ -269,6 +277,13 @@ def product_score_merge(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(merged, *_SCORES, "diff_smooth_vs_simple", "diff_bayes_vs_mean")
 
 
+def scored_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Product documents with their derived columns, scores and star counts, by the end-to-end job."""
+    featured = products.product_features(views.product_documents(spark, sf))
+    scored = jobs.scored_products(ratings(spark, sf), featured)
+    return rounded(scored.select("product_id", "num_ratings", "num_reviews", *_SCORES, *[f"count_{i}star" for i in range(1, 6)]), *_SCORES)
+
+
 def score_preview(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.score_preview(scoring.score_table(scoring.product_scores(ratings(spark, sf)))), *_SCORES)
 
@@ -372,6 +387,18 @@ def product_keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
     return negative.product_keywords(low, negative.top_products(low))
 
 
+def negative_report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The report written as CSV and read back: top keywords (no product) and those of the top products."""
+    spoken = cleaning.add_text_columns(views.load(spark, sf, views.SPOKEN_RATINGS))
+    path = scratch_path(spark, "report")
+    report = jobs.negative_report(spoken)
+    review_files.write_analysis(report["keywords"], report["products"], path, report["product_keywords"])
+    read = lambda name, schema: spark.read.schema(schema).csv(f"{path}/{name}", header=True, quote='"', escape='"')
+    overall = read("negative_keywords_categorized", "keyword string, frequency long, category string")
+    own = read("top_negative_product_keywords", "product_id string, keyword string, frequency long")
+    return own.unionByName(overall, allowMissingColumns=True)
+
+
 # --- description features ------------------------------------------------------------------
 
 
@@ -456,40 +483,48 @@ def score_density(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    ensure_settings(spark)
-    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+def _deliver(rows: DataFrame, folder: str) -> None:
+    """Put a table into the folder a stream reads, as several files."""
+    rows.repartition(4).write.mode("append").parquet(folder)
+
 
+def _drain(spark: SparkSession, result: DataFrame, mode: str, target: str) -> None:
+    streams.run_available(result, f"{target}-state", mode, streams.batch_folders(target))
 
-def _drain(spark: SparkSession, result: DataFrame, mode: str, name: str, write_mode: str = "overwrite") -> DataFrame:
-    target = scratch_path(spark, name)
-    state = scratch_path(spark, f"{name}-state")
-    streams.run_available(result, state, mode, lambda batch, _: batch.write.mode(write_mode).parquet(target))
-    return spark.read.parquet(target)
+
+def _delivered_twice(spark: SparkSession, sf: str, name: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append results of the events, which arrive a second time when the watermark has passed nearly all of them."""
+    ensure_settings(spark)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    source, target = scratch_path(spark, f"{name}-in"), scratch_path(spark, name)
+    for _ in range(2):
+        _deliver(events, source)
+        result = transform(spark.readStream.schema(events.schema).parquet(source))
+        _drain(spark, result, "append", target)
+    return spark.read.schema(result.schema).parquet(target).drop("batch")
 
 
 def event_volume_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _drain(spark, streams.windowed_volume(_stream(spark, sf, "events"), "ts"), "complete", "volume")
+    """Windows that are final; the second delivery comes too late for them."""
+    return _delivered_twice(spark, sf, "volume", lambda s: streams.windowed_volume(s, "ts"))
 
 
 def deduplicated_stream(spark: SparkSession, sf: str) -> DataFrame:
-    unique = streams.deduplicate(_stream(spark, sf, "events"), ["user_id", "event_type"], "ts", "60 days")
-    return _drain(spark, unique.select("user_id", "event_type"), "append", "unique", "append")
+    """Every event once, with one day of state: older repeats are late, newer ones are known."""
+    columns = ["event_id", "user_id", "event_type"]
+    return _delivered_twice(spark, sf, "unique", lambda s: streams.deduplicate(s, ["event_id"], "ts", "1 day").select(*columns))
 
 
 def incremental_product_scores(spark: SparkSession, sf: str) -> DataFrame:
-    items = _stream(spark, sf, "lineitem")
-    reviews = items.select(
-        F.col("l_partkey").cast("string").alias("product_id"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("helpfulness_numerator"),
-        F.when(F.col("l_returnflag") != "N", F.round(F.col("l_tax") * 100).cast("int") * F.col("l_linenumber")).alias(
-            "helpfulness_denominator"
-        ),
-        F.when(F.col("l_suppkey") % 50 != 0, 1 + F.floor((F.col("l_quantity") - 1) / 10).cast("int")).alias("score"),
-    )
-    sums = _drain(spark, streams.incremental_weight_sums(reviews), "complete", "sums")
-    scored = streams.with_prior(sums, global_mean=3.0, prior_simple=100.0, prior_smooth=20.0)
+    """Sums updated file by file, scored under the prior of the batch table."""
+    reviews = ratings(spark, sf).select("product_id", "helpfulness_numerator", "helpfulness_denominator", "score")
+    source, target = scratch_path(spark, "sums-in"), scratch_path(spark, "sums")
+    _deliver(reviews, source)
+    arriving = spark.readStream.schema(reviews.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sums = streams.incremental_weight_sums(arriving)
+    _drain(spark, sums, "update", target)
+    updates = spark.read.schema(sums.schema.add("batch", "long")).parquet(target)
+    scored = streams.with_prior(streams.latest(updates, "product_id"), scoring.score_prior(reviews))
     return rounded(scored.select("product_id", "num_reviews", *_SCORES), *_SCORES)
 
 
@@ -507,6 +542,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         monthly_review_volume, yearly_review_count, rating_heatmap,
         negative_reviews, negative_keywords_clean, negative_keyword_top, negative_text_keyword_top,
         negative_reason_categories, negative_category_share, product_top_issues, product_keyword_counts,
+        negative_report_csv, scored_products, sentiment_word_model,
         average_rank, description_item_counts, score_bins, description_length_bins, image_count_quality,
         correlation_p_values, spearman_images, spearman_description_length, spearman_marketing, spearman_reading_ease,
         spearman_description_items, correlated_item_summary, feature_histograms, score_density,

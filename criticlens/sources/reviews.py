@@ -13,7 +13,7 @@ from criticlens.schemas import CLEANED_REQUIRED, REVIEW_CSV, REVIEW_HEADER
 _CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 _KEEP_SPACES = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 # A quoted element of a list written as text, in either kind of quotes.
-_LISTED = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+_LISTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 
 
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from criticlens.operators.scoring import review_weights, weight_sums, with_weighted_means
+from criticlens.operators.scoring import review_weights, weight_sums, with_bayesian_means
 
 
 def _timed(stream: DataFrame, time_col: str) -> DataFrame:
@@ -36,19 +36,20 @@ def incremental_weight_sums(stream: DataFrame) -> DataFrame:
     return weight_sums(review_weights(stream))
 
 
-def with_prior(sums: DataFrame, global_mean: float, prior_simple: float, prior_smooth: float) -> DataFrame:
-    """Weighted and Bayesian means of product sums under a prior taken from an earlier batch."""
+def with_prior(sums: DataFrame, prior: DataFrame) -> DataFrame:
+    """Weighted and Bayesian means of product sums under a prior, the one row of ``scoring.score_prior``."""
+    return with_bayesian_means(sums, prior.select(F.struct("*")).scalar())
 
-    def bayesian(kind: str, prior: float) -> Column:
-        weight = F.col(f"sum_weight_{kind}")
-        return (F.lit(prior) * global_mean + F.col(f"weighted_mean_{kind}") * weight) / (F.lit(prior) + weight)
 
-    return with_weighted_means(sums).withColumns(
-        {
-            "bayesian_mean_smooth": bayesian("smooth", prior_smooth),
-            "bayesian_mean_simple": bayesian("simple", prior_simple),
-        }
-    )
+def latest(updates: DataFrame, key: str, batch_col: str = "batch") -> DataFrame:
+    """The last update of each key: what the update mode has emitted up to now, as one table."""
+    last = updates.groupBy(key).agg(F.max(batch_col).alias(batch_col))
+    return updates.join(last, [key, batch_col]).drop(batch_col)
+
+
+def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """Writer of one folder per batch id, so that a batch run again replaces its rows instead of doubling them."""
+    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def run_available(

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from criticlens.operators import sentiment
@@ -24,3 +27,16 @@ def test_own_model_in_batches(spark):
     df = spark.range(500).select("id", F.repeat(F.lit("x"), (F.col("id") % 20).cast("int")).alias("text"))
     scored = sentiment.score_with_model(df, "text", make_predict, batch_size=16)
     assert scored.where(F.abs(F.col("sentiment_score") - F.least(F.lit(1.0), F.length("text") / 10)) > 1e-9).count() == 0
+
+
+def test_word_odds_by_hand(spark):
+    rows = [(1, "good good fine", 1), (2, "bad fine", 0), (3, None, 1), (4, "", 0), (5, "good", None)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    odds = {r["word"]: r["log_odds"] for r in sentiment.train_word_odds(df, "text", "label").collect()}
+    share = {"good": (3 / 6, 1 / 5), "fine": (2 / 6, 2 / 5), "bad": (1 / 6, 2 / 5)}
+    assert odds == {w: pytest.approx(math.log(p) - math.log(q)) for w, (p, q) in share.items()}
+    scored = {r["id"]: r for r in sentiment.score_word_odds(df, "id", "text", sentiment.train_word_odds(df, "text", "label")).collect()}
+    assert scored[1]["log_odds"] == pytest.approx(2 * odds["good"] + odds["fine"])
+    assert scored[1]["sentiment_score"] == pytest.approx(1 / (1 + math.exp(-scored[1]["log_odds"])))
+    assert [scored[k]["sentiment_score"] for k in (3, 4)] == [0.5, 0.5] and scored[2]["sentiment_score"] < 0.5
+    assert sentiment.train_word_odds(df.where("id > 9"), "text", "label").count() == 0

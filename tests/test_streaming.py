@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from criticlens.operators import scoring
 from criticlens.operators.scoring import review_weights, weight_sums
 from criticlens.session import scratch_path
 from criticlens.streaming import reviews as streams
@@ -79,11 +80,19 @@ def test_incremental_sums_equal_batch(spark, tmp_path):
         return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in table.collect())
 
     assert rows(streamed) == rows(batch)
-    scored = streams.with_prior(streamed, 3.0, 10.0, 5.0).collect()
-    assert [r["product_id"] for r in scored if r["weighted_mean_smooth"] is None] != []
-    for r in scored:
-        if r["weighted_mean_smooth"] is None:
-            assert r["bayesian_mean_smooth"] is None
-            continue
-        lo, hi = sorted((3.0, r["weighted_mean_smooth"]))
-        assert lo <= r["bayesian_mean_smooth"] <= hi
+    prior = scoring.score_prior(df)
+    scored = {r["product_id"]: r for r in streams.with_prior(streamed, prior).collect()}
+    for r in scoring.product_scores(df).collect():
+        for kind in ("smooth", "simple"):
+            mine, other = scored[r["product_id"]][f"bayesian_mean_{kind}"], r[f"bayesian_mean_{kind}"]
+            assert mine == other or mine == pytest.approx(other)
+
+
+def test_a_batch_run_again_replaces_its_rows_and_the_last_update_wins(spark, tmp_path):
+    write = streams.batch_folders(str(tmp_path / "out"))
+    first, second = (spark.createDataFrame(rows, "k string, v int") for rows in ([("a", 1), ("b", 1)], [("a", 2)]))
+    for batch, number in ((first, 0), (first, 0), (second, 1), (second, 1)):
+        write(batch, number)
+    updates = spark.read.parquet(str(tmp_path / "out"))
+    assert updates.count() == 3
+    assert sorted(tuple(r) for r in streams.latest(updates, "k").select("k", "v").collect()) == [("a", 2), ("b", 1)]
