@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from criticlens.functions.text import lexicon_sentiment, with_tokens
+from criticlens.functions.text import add_once, clean_text, lexicon_sentiment, tokenize, with_tokens
 from criticlens.operators.joins import hot_keys, lookup_join
 from criticlens.session import shuffle_width, stage
 
@@ -46,13 +46,19 @@ def score_sentiment(df: DataFrame, text_col: str, model: PipelineModel) -> DataF
     return scored.select(*df.columns, "sentiment_score")
 
 
+def _word_rows(df: DataFrame, text_col: str, keep: str) -> DataFrame:
+    """``keep`` and ``word``, one row per word; the words of a text are split once, whatever the explode filters on."""
+    cleaned = df.select(F.col(keep), clean_text(F.col(text_col)).alias("_cleaned"))
+    return add_once(cleaned, {"_tokens": tokenize(F.col("_cleaned"))}).select(F.col(keep), F.explode("_tokens").alias("word"))
+
+
 def train_word_odds(df: DataFrame, text_col: str, label_col: str, smoothing: float = 1.0) -> DataFrame:
     """(word, log_odds): multinomial log-odds of every word of a labelled table (1 is positive, 0 negative).
 
     Counts are aggregated before the shuffle; the totals are a one-row subquery. Rows without a text or a label are left out.
     """
     labelled = df.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    words = with_tokens(labelled, text_col).select(F.explode("_tokens").alias("word"), F.col(label_col).alias("_label"))
+    words = _word_rows(labelled, text_col, label_col).withColumnRenamed(label_col, "_label")
     counts = stage(words.groupBy("word").agg(F.count_if(F.col("_label") == 1).alias("pos"), F.count_if(F.col("_label") == 0).alias("neg")))
     sums = F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("words"))
     total = counts.agg(sums).scalar()
@@ -70,7 +76,7 @@ def score_word_odds(df: DataFrame, id_col: str, text_col: str, odds: DataFrame)
     spread over parts. A text without known words has odds 0 and the score 0.5; rows without an id are left out.
     """
     rows = df.where(F.col(id_col).isNotNull())
-    words = with_tokens(rows, text_col).select(F.col(id_col), F.explode("_tokens").alias("word"))
+    words = _word_rows(rows, text_col, id_col)
     counts = stage(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")))
     hot = hot_keys(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
     parts = lookup_join(counts, odds, "word", hot)
