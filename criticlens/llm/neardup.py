@@ -5,14 +5,17 @@ frequency. Exact document frequencies are counted for all shingles; those in mor
 of the documents get their own weight, all rarer ones share the highest (so the weights fit into
 a table of at most mean shingles per text / ``COMMON`` entries). Improved consistent weighted sampling
 draws ``BANDS * ROWS`` shingles per text, so that two texts draw alike with the probability of their
-weighted Jaccard similarity. Texts that agree in a band meet in a bucket.
+weighted Jaccard similarity. As many plain draws follow, alike with the probability of the plain Jaccard
+similarity of the distinct shingles: weights fall with the size of a group of near copies, so by weight alone
+the copies of a large group would be less alike than those of a small one. Frequencies count different texts,
+not rows. Texts that agree in a band of either kind meet in a bucket.
 
 Equal texts are one representative from the start. In a bucket of up to ``SMALL`` texts all pairs are
 candidates. In a larger one, a text meets the bucket's hub (the text with the fullest buckets)
 and its successor in the order of the next band; buckets that still hold texts of several classes
 afterwards are split by a second band and go through the same again. So candidates grow with the
 texts, not with the square of a group. Every candidate that the signatures do not rule out is verified on its
-whole weighted shingle sets at ``SIMILARITY``; classes are the components of the verified links.
+whole shingle sets: a link has a weighted or a plain Jaccard similarity of ``SIMILARITY``; classes are the components of the verified links.
 
 Defined results: texts without a term (NULL, empty) are each their own class; a text of fewer terms than a shingle is one
 shingle; equal texts and repeated rows share a class; a NULL doc_id has no class; an empty table
@@ -41,7 +44,7 @@ COMMON = 0.005
 BANDS = 12
 ROWS = 5
 SMALL = 8
-#: Share of draws that must agree, by their last byte, for a candidate to be verified: 0.8 less four standard deviations.
+#: Share of the draws of one kind that must agree, by their last byte, for a candidate to be verified: 0.8 less four standard deviations.
 AGREE = 0.58
 SEED = 20
 _TABLE_BITS = 16
@@ -128,10 +131,10 @@ class Idf:
 
 
 def learn_idf(texts: DataFrame) -> Idf:
-    """Exact document frequencies of all shingles; only those of the common ones come back."""
+    """Exact frequencies of all shingles over the different texts; only those of the common ones come back."""
     buckets = shuffle_width(texts.sparkSession)
-    n_docs = texts.count()
-    asked = texts.select("text").mapInArrow(_ask(buckets), "bucket int, keys binary, counts binary")
+    n_docs = texts.select("text1", "text2").distinct().count()
+    asked = texts.dropDuplicates(["text1", "text2"]).select("text").mapInArrow(_ask(buckets), "bucket int, keys binary, counts binary")
     rows = asked.groupBy("bucket").applyInArrow(_common(COMMON * n_docs), "key long, df long").toPandas()
     return Idf(rows["key"].to_numpy(np.int64).astype(np.uint64), rows["df"].to_numpy(np.int64), max(n_docs, 1), buckets)
 
@@ -165,6 +168,13 @@ class Sampler:
             out[:, k] = (mixed(values[first] ^ (step[first].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(32)).astype(np.uint32)
         return out
 
+    def draw_plain(self, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The same without weights: the smallest hash per set and draw."""
+        out = np.zeros((len(starts), len(self.odd)), np.uint32)
+        for k, (salt, odd) in enumerate(zip(self.salts, self.odd)):
+            out[:, k] = (mixed(np.minimum.reduceat((values ^ salt) * odd, starts)) >> np.uint64(32)).astype(np.uint32)
+        return out
+
 
 def _sign(idf: Idf):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +186,8 @@ def _sign(idf: Idf):
                     continue
                 starts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
                 counts = np.diff(np.append(starts, len(docs)))
-                for k, row in zip(docs[starts].tolist(), sampler.draw(starts, counts, values, idf.weigh(values, frequency))):
+                weighted = sampler.draw(starts, counts, values, idf.weigh(values, frequency))
+                for k, row in zip(docs[starts].tolist(), np.hstack((weighted, sampler.draw_plain(starts, values)))):
                     signed[a + k] = row.astype("<u4").tobytes()
             brief = [None if d is None else np.frombuffer(d, np.uint8)[::4].tobytes() for d in signed]
             yield pa.record_batch([*batch.columns[:-1], pa.array(signed, pa.binary()), pa.array(brief, pa.binary())], names=["doc", "text1", "text2", "draws", "brief"])
@@ -185,7 +196,7 @@ def _sign(idf: Idf):
 
 
 def band(k: Column | int) -> Column:
-    """The bucket of band ``k`` as a number."""
+    """The bucket of band ``k`` as a number; plain bands follow the ``BANDS`` weighted ones."""
     k = F.lit(k) if isinstance(k, int) else k
     return F.xxhash64(k, F.substring(F.col("draws"), k * (4 * ROWS) + 1, F.lit(4 * ROWS)))
 
@@ -215,8 +226,9 @@ def _meetings(members: DataFrame) -> DataFrame:
 
 
 def _members(signed: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """(key, doc, turn) per set of bands; ``turn`` is the band after the first of the set."""
-    rows = [F.struct(F.xxhash64(F.lit(str(s)), *[band(k) for k in s]).alias("key"), band((s[0] + 1) % BANDS).alias("turn")) for s in sets]
+    """(key, doc, turn) per set of bands of one kind; ``turn`` is the next band of that kind."""
+    turn = lambda s: s[0] - s[0] % BANDS + (s[0] + 1) % BANDS
+    rows = [F.struct(F.xxhash64(F.lit(str(s)), *[band(k) for k in s]).alias("key"), band(turn(s)).alias("turn")) for s in sets]
     return signed.select("doc", F.explode(F.array(*rows)).alias("m")).select("m.key", "doc", "m.turn")
 
 
@@ -228,8 +240,8 @@ def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("left", "right"))
-                batch = batch.filter(pa.array((x == y).mean(axis=1) >= AGREE))
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, 2, -1) for c in ("left", "right"))
+                batch = batch.filter(pa.array((x == y).mean(axis=2).max(axis=1) >= AGREE))
             yield batch.select(["a", "b"])
 
     return both.select("a", "b", "left", "right").mapInArrow(look, "a long, b long")
@@ -262,12 +274,17 @@ def _sets(idf: Idf):
 
 def weighted_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
     """Sum of the smaller over sum of the larger weights; keys ascend."""
+    return _similarities(x, wx, y, wy)[0]
+
+
+def _similarities(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> tuple[float, float]:
+    """Weighted and plain Jaccard similarity."""
     place = np.searchsorted(y, x)
     place[place == len(y)] = 0
     same = y[place] == x if len(y) else np.zeros(len(x), bool)
-    both = float(np.minimum(wx[same], wy[place[same]]).sum(dtype=np.float64))
-    total = float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64)) - both
-    return both / total if total else 0.0
+    both, n_both = float(np.minimum(wx[same], wy[place[same]]).sum(dtype=np.float64)), int(same.sum())
+    total, n_total = float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64)) - both, len(x) + len(y) - n_both
+    return both / total if total else 0.0, n_both / n_total if n_total else 0.0
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +294,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         columns = [batch[c].to_pylist() for c in ("keys", "weights", "other_keys", "other_weights")]
-        alike = [weighted_jaccard(*read(a, b), *read(c, d)) >= SIMILARITY for a, b, c, d in zip(*columns)]
+        alike = [max(_similarities(*read(a, b), *read(c, d))) >= SIMILARITY for a, b, c, d in zip(*columns)]
         yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
 
@@ -301,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stage(compared.groupBy("text1", "text2").agg(F.min("doc").alias("doc"), F.any_value("draws").alias("draws"), F.any_value("brief").alias("brief")))
     signed_draws = signed.select("doc", "draws", "brief")
 
-    members = _members(signed_draws, [(k,) for k in range(BANDS)])
+    members = _members(signed_draws, [(k,) for k in range(2 * BANDS)])
     pairs = stage(_likely(_meetings(members), signed_draws))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_doc")).distinct()
     texts = rows.join(wanted.hint("merge"), F.col("doc") == F.col("_doc"), "left_semi").select("doc", "text").dropDuplicates(["doc"])
@@ -315,7 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_docs = named.join(apart.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).select("key"), "key", "left_semi").select("doc").distinct()
     again = signed_draws.join(open_docs, "doc", "left_semi")
     root_of = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_root_{c}"))
-    more = _meetings(_members(again, list(combinations(range(BANDS), 2))))
+    more = _meetings(_members(again, [s for kind in (0, BANDS) for s in combinations(range(kind, kind + BANDS), 2)]))
     more = more.join(root_of("a"), F.col("a") == F.col("_a"), "left").join(root_of("b"), F.col("b") == F.col("_b"), "left")
     more = more.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b")
     more = stage(_likely(more, signed_draws).join(pairs, ["a", "b"], "left_anti"))

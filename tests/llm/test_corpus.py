@@ -222,6 +222,40 @@ def test_large_group_and_odd_rows(spark, awkward, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def five_word_sets(rows):
+    return {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in rows)}
+
+
+def test_near_copies_of_a_hot_group(spark):
+    """A third of the rows are one group with independent edits, each pair at a plain 0.8 to 0.92; many are exact copies too."""
+    words = long_text(400).split()
+    rows = []
+    for k in range(60):
+        edits = {(7 + 97 * k + 131 * j) % 400 for j in range(2 + k % 3)}
+        rows.append((k, " ".join(f"new{k}x{i}" if i in edits else w for i, w in enumerate(words))))
+    rows += [(1000 + k, rows[k % 5][1]) for k in range(60)]
+    rows += [(2000 + k, long_text(80, 5000 + 100 * k)) for k in range(240)]
+    sets = five_word_sets(rows)
+    alike = [(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(alike) > 1500 and all(found[a] == found[b] for a, b in alike)
+    assert all(found[1000 + k] == found[k % 5] for k in range(60)) and all(found[k] == k for k in range(2000, 2240))
+
+
+def test_all_pairs_of_the_table_by_plain_similarity(spark, texts):
+    """Every pair at 0.8 or more shares a class, whatever the size of its group."""
+    rows = [(d, " ".join(re.findall(r"[^\W_]+", t.lower()))) for d, t in texts.items()]
+    sets = {d: s for d, s in five_word_sets(rows).items() if s}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    shared = Counter((a, b) for ids in holders.values() for i, a in enumerate(ids) for b in ids[i + 1 :])
+    alike = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    found = {r["doc_id"]: r["class_id"] for r in QUERIES["op5_near_duplicates"](spark, SF).collect()}
+    assert alike and all(found[a] == found[b] for a, b in alike)
+
+
 def test_components(spark):
     links = [(2, 1), (2, 3), (4, 3), (9, 8), (8, 9), (7, 7), (20, 30), (30, 40), (40, 10)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
