@@ -204,8 +204,8 @@ def band(k: Column | int) -> Column:
 # --- candidates -----------------------------------------------------------------------------------
 
 
-def _meetings(members: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of (key, doc, turn) rows."""
+def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b), a < b, of (key, doc, turn) rows, and the (key, doc) of the large buckets."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage(members.join(sizes, "key"))
     small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
@@ -222,7 +222,8 @@ def _meetings(members: DataFrame) -> DataFrame:
     in_turn = with_neighbours(large.select("key", "turn", "doc"), ["key", "turn", "doc"], ["key", "doc"])
     to_next = in_turn.where(F.col("_after.key") == F.col("key")).select(F.col("doc").alias("a"), F.col("_after.doc").alias("b"))
     every = few.unionByName(to_hub).unionByName(to_next)
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    pairs = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    return pairs, large.select("key", "doc")
 
 
 def _members(signed: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
@@ -319,20 +320,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed_draws = signed.select("doc", "draws", "brief")
 
     members = _members(signed_draws, [(k,) for k in range(2 * BANDS)])
-    pairs = stage(_likely(_meetings(members), signed_draws))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_doc")).distinct()
+    met, large = _meetings(members)
+    pairs = stage(_likely(met, signed_draws))
+    # Texts of large buckets may find a partner in the second round only.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_doc")).unionByName(large.select(F.col("doc").alias("_doc"))).distinct()
     texts = rows.join(wanted.hint("merge"), F.col("doc") == F.col("_doc"), "left_semi").select("doc", "text").dropDuplicates(["doc"])
     sets = stage(texts.mapInArrow(_sets(idf), "doc long, keys binary, weights binary"))
     links = stage(_links(pairs, sets))
 
     # Large buckets whose texts are not one class yet: split them by a second band.
     roots = stage(components(links))
-    named = members.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    apart = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_docs = named.join(apart.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).select("key"), "key", "left_semi").select("doc").distinct()
+    named = large.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_docs = named.join(apart.select("key"), "key", "left_semi").select("doc").distinct()
     again = signed_draws.join(open_docs, "doc", "left_semi")
     root_of = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_root_{c}"))
-    more = _meetings(_members(again, [s for kind in (0, BANDS) for s in combinations(range(kind, kind + BANDS), 2)]))
+    more, _ = _meetings(_members(again, [s for kind in (0, BANDS) for s in combinations(range(kind, kind + BANDS), 2)]))
     more = more.join(root_of("a"), F.col("a") == F.col("_a"), "left").join(root_of("b"), F.col("b") == F.col("_b"), "left")
     more = more.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b")
     more = stage(_likely(more, signed_draws).join(pairs, ["a", "b"], "left_anti"))

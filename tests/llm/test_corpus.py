@@ -256,6 +256,31 @@ def test_all_pairs_of_the_table_by_plain_similarity(spark, texts):
     assert alike and all(found[a] == found[b] for a, b in alike)
 
 
+def family(n=400, paired=40):
+    """Texts of one template at a plain 0.79 to each other, and pairs of them, far apart in order, at 0.86."""
+    rows = []
+    for k in range(n):
+        pair = k % (n // 2)
+        own = long_text(15, 10_000 + 100 * pair).split() if pair < paired else []
+        own += long_text(45 - len(own), 100_000 + 100 * k).split()
+        rows.append((k, " ".join([*long_text(350).split(), *own])))
+    return rows
+
+
+def test_second_round_alone(spark, monkeypatch):
+    """Two texts without any pair of the first round are still linked by the second."""
+    likely, calls = neardup._likely, []
+
+    def first_without(pairs, signed):
+        calls.append(1)
+        found = likely(pairs, signed)
+        return found.where("a NOT IN (0, 15) AND b NOT IN (0, 15)") if len(calls) == 1 else found
+
+    monkeypatch.setattr(neardup, "_likely", first_without)
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(family(30, 1), "doc_id long, text string")).collect()}
+    assert found == {k: 0 if k == 15 else k for k in range(30)}
+
+
 def test_components(spark):
     links = [(2, 1), (2, 3), (4, 3), (9, 8), (8, 9), (7, 7), (20, 30), (30, 40), (40, 10)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
