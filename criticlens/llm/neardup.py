@@ -13,12 +13,14 @@ not rows. Texts that agree in a band of either kind meet in a bucket.
 Equal texts are one representative from the start. In a bucket of up to ``SMALL`` texts all pairs are
 candidates. In a larger one, a text meets the bucket's hub (the text with the fullest buckets)
 and its successor in the order of the next band; buckets that still hold texts of several classes
-afterwards are split by a second band and go through the same again. So candidates grow with the
-texts, not with the square of a group. Every candidate that the signatures do not rule out is verified on its
+afterwards are split by a second band and go through the same again. Texts of buckets that even then hold
+several classes go through an exact join on shingles: in the order of their frequency among these texts, two
+texts that are alike share a shingle so early that enough of both remains after it. Template shingles
+come last, so a template family whose texts are not alike has few shingles to join on. Every candidate that the signatures do not rule out is verified on its
 whole shingle sets: a link has a weighted or a plain Jaccard similarity of ``SIMILARITY``; classes are the components of the verified links.
 
 Defined results: texts without a term (NULL, empty) are each their own class; a text of fewer terms than a shingle is one
-shingle; equal texts and repeated rows share a class; a NULL doc_id has no class; an empty table
+shingle; equal texts and repeated rows share a class; n_links counts the links that were verified, not all there are; a NULL doc_id has no class; an empty table
 gives an empty result. Only doc_id (an integer) and text are read.
 """
 
@@ -26,16 +28,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from criticlens.llm.components import components
 from criticlens.llm.ordered import with_neighbours
 from criticlens.llm.packs import BITS, bucket_keys, by_bucket, decode_sorted, encode_sorted, kept_bits, squeeze, unsqueeze
 from criticlens.llm.words import Words, chunks, mixed, rolling, ship
+from criticlens.operators.joins import hot_keys, lookup_join
 from criticlens.session import shuffle_width, stage
 
 SHINGLE = 5
@@ -227,8 +231,9 @@ def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _members(signed: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """(key, doc, turn) per set of bands of one kind; ``turn`` is the next band of that kind."""
-    turn = lambda s: s[0] - s[0] % BANDS + (s[0] + 1) % BANDS
+    """(key, doc, turn) per set of bands of one kind; ``turn`` is the next band of that kind outside the set."""
+    after = lambda k: k - k % BANDS + (k + 1) % BANDS
+    turn = lambda s: next(k for k in (after(s[0]), after(after(s[0]))) if k not in s)
     rows = [F.struct(F.xxhash64(F.lit(str(s)), *[band(k) for k in s]).alias("key"), band(turn(s)).alias("turn")) for s in sets]
     return signed.select("doc", F.explode(F.array(*rows)).alias("m")).select("m.key", "doc", "m.turn")
 
@@ -305,9 +310,74 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right, "b").select("a", "b", "keys", "weights", "other_keys", "other_weights").mapInArrow(_verify, "a long, b long")
 
 
+# --- what buckets cannot split --------------------------------------------------------------------
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text and shingle, with its weight."""
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in ("doc", "root", "keys", "weights")]
+        for doc, root, keys, weights in zip(*columns):
+            k, w = np.frombuffer(keys, "<i4"), np.frombuffer(weights, "<f4")
+            ids = [pa.array(np.full(len(k), v, np.int64)) for v in (doc, root)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(k), pa.array(np.broadcast_to(w, len(k)).copy())], names=["doc", "root", "token", "weight"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of shingles and total weight of each text."""
+    for batch in batches:
+        n, total = [], []
+        for keys, weights in zip(batch["keys"].to_pylist(), batch["weights"].to_pylist()):
+            w = np.frombuffer(weights, "<f4")
+            n.append(float(len(keys) // 4))
+            total.append(n[-1] * float(w[0]) if len(w) == 1 else float(w.sum(dtype=np.float64)))
+        yield pa.record_batch([batch["doc"], batch["root"], pa.array(n, pa.float64()), pa.array(total, pa.float64())], names=["doc", "root", "n", "total"])
+
+
+def _apart(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the (doc, root) texts of different roots that can reach ``SIMILARITY``, by weight or plainly.
+
+    Shingles are ordered by their number of texts. Two alike texts of sizes s <= t share at least
+    SIMILARITY / (1 + SIMILARITY) * (s + t), so that much of both remains from the first shingle they share
+    on, itself included. Only shingles of several roots are shared by such pairs. Sizes are a part
+    of the join key, and hot keys are spread.
+    """
+    texts = stage(sets.join(named, "doc"))
+    tokens = stage(texts.mapInArrow(_spread, "doc long, root long, token int, weight float"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    shared = tokens.select("doc", "token", "weight").join(held.select("token", "df"), "token")
+    from_here = Window.partitionBy("doc").orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shared = shared.select("doc", "token", F.count(F.lit(1)).over(from_here).cast("double").alias("plain"), F.sum("weight").over(from_here).alias("weighted"))
+    rows = shared.join(texts.mapInArrow(_totals, "doc long, root long, n double, total double"), "doc")
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("n").alias("size"), F.col("plain").alias("rest")),
+        F.struct(F.lit(1).alias("kind"), F.col("total").alias("size"), F.col("weighted").alias("rest")),
+    )
+    rows = rows.select("doc", "root", "token", F.explode(kinds).alias("_k")).select("doc", "root", "token", "_k.*")
+    # A hair below the bound, for sums of weights are rounded.
+    part, hair = SIMILARITY / (1 + SIMILARITY), 1 - 1e-5
+    rows = stage(rows.where(F.col("rest") >= hair * SIMILARITY * F.col("size")))
+    grade = F.floor(F.log("size") / (1.001 * -log(SIMILARITY)))
+    key = lambda g: F.xxhash64("kind", "token", g).alias("key")
+    small = rows.where(F.col("rest") >= hair * 2 * part * F.col("size")).select(key(grade), F.col("doc").alias("a"), F.col("root").alias("_a"), F.col("size").alias("_s"), F.col("rest").alias("_r"))
+    large = rows.withColumn("grade", F.explode(F.array(grade, grade - 1))).select(key(F.col("grade")), F.col("doc").alias("b"), F.col("root").alias("_b"), F.col("size").alias("_t"), F.col("rest").alias("_q"))
+    hot = hot_keys(small.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    fit = (F.col("_a") != F.col("_b")) & (F.col("_s") <= F.col("_t")) & (F.col("_s") >= hair * SIMILARITY * F.col("_t"))
+    fit &= F.least("_r", "_q") >= hair * part * (F.col("_s") + F.col("_t"))
+    pairs = lookup_join(small, large, "key", hot).where(fit)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 # --- the operator ---------------------------------------------------------------------------------
 
 
+def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, root) of the texts in large buckets that hold several classes."""
+    named = large.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return named.join(apart.select("key"), "key", "left_semi").select("doc", "root").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and n_links of its text, per row of ``docs``."""
     rows = docs.select(
@@ -330,18 +400,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Large buckets whose texts are not one class yet: split them by a second band.
     roots = stage(components(links))
-    named = large.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_docs = named.join(apart.select("key"), "key", "left_semi").select("doc").distinct()
-    again = signed_draws.join(open_docs, "doc", "left_semi")
+    again = signed_draws.join(_open(large, roots), "doc", "left_semi")
     root_of = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_root_{c}"))
     more, _ = _meetings(_members(again, [s for kind in (0, BANDS) for s in combinations(range(kind, kind + BANDS), 2)]))
     more = more.join(root_of("a"), F.col("a") == F.col("_a"), "left").join(root_of("b"), F.col("b") == F.col("_b"), "left")
     more = more.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b")
     more = stage(_likely(more, signed_draws).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(_links(more, sets))
+    links = stage(links.unionByName(_links(more, sets)))
 
+    # What is open even then: the exact join.
     roots = stage(components(links))
+    left = stage(_open(large, roots))
+    if left.take(1):
+        links = stage(links.unionByName(_links(stage(_apart(sets, left)), sets)).distinct())
+        roots = stage(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
     classes = signed.select("text1", "text2", "doc").join(roots, F.col("doc") == F.col("node"), "left").join(degree, "doc", "left")
     classes = classes.select(

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pytest
 from compare import differences, duck
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from criticlens.llm import decontaminate, mixing, neardup, pages, pii, quality, substrings, suffixes, toxicity, urls
@@ -281,6 +282,25 @@ def test_second_round_alone(spark, monkeypatch):
     assert found == {k: 0 if k == 15 else k for k in range(30)}
 
 
+def test_template_family(spark):
+    """Pairs inside large buckets are found, though neither text is a hub or a successor; the family stays apart."""
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(family(), "doc_id long, text string")).collect()}
+    assert found == {k: k - 200 if 200 <= k < 240 else k for k in range(400)}
+
+
+def test_exact_join(spark):
+    """Every pair of different roots that is alike is a candidate, against brute force."""
+    rows = family(60, 10) + [(1000 + k, " ".join(t.split()[: 380 - 3 * k])) for k, t in family(20, 0)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = texts.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text1"), F.lit(0).alias("text2"), "text")
+    idf = neardup.learn_idf(hashed)
+    sets = hashed.select("doc", "text").mapInArrow(neardup._sets(idf), "doc long, keys binary, weights binary")
+    pairs = neardup._apart(sets, hashed.select("doc", F.col("doc").alias("root")))
+    plain = five_word_sets(rows)
+    alike = {(a, b) for a, x in plain.items() for b, y in plain.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
+    assert len(alike) > 10 and alike <= {(r["a"], r["b"]) for r in pairs.collect()}
+
+
 def test_components(spark):
     links = [(2, 1), (2, 3), (4, 3), (9, 8), (8, 9), (7, 7), (20, 30), (30, 40), (40, 10)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
