@@ -2,16 +2,15 @@
 
 A page is read as a list of text lines (its blocks). Pages are sorted by host and path; a page is
 paired with the neighbour of its host that shares the longer path prefix. The lines of both are
-aligned by longest common subsequence, on line hashes, and shared lines are template: they go. Markup
-decides where it can: scripts, menus, footers, adverts and the like are never lines of a page, and the
-paragraphs inside ``<article>`` or ``<main>`` are kept even when a copy of the article stands next to
-it, for differencing cannot tell a copied article from a template. On pages without such an element
-all lines that are left compete, and differencing decides.
+aligned by longest common subsequence, on line hashes, and shared lines are template: they go, and the others
+stay, inside and outside ``<article>`` and ``<main>``. Markup decides two things only: scripts, menus,
+footers, adverts and the like are never lines of a page, and where more than half of the characters inside
+``<article>`` or ``<main>`` are shared, the mate is a copy of the article, and all lines inside are kept.
 
 Sorting by range spreads a host with a third of all pages; what is sorted are line hashes, not pages.
 
 Defined results: NULL and empty html give an empty text; NULL urls form one host of their own; pages
-with the same lines are no mates of each other; a page without a mate keeps all its lines; repeated
+of a host with the same lines are one page to the pairing, and all get its result; a page without a mate keeps all its lines; repeated
 rows get the same text; broken markup is read as far as it goes; an empty table gives an empty result. Only page_id, url and
 html are read.
 """
@@ -206,10 +205,13 @@ def shared_lines(path: str, lines: list[int], mates: list[tuple[str, list[int]]]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line hashes per page."""
+    """Line hashes per page, and one hash of its host and them all."""
     for batch in batches:
         hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in page_lines(p)] for p in batch["html"].to_pylist()]
-        yield pa.record_batch([*batch.columns[:-1], pa.array(hashes, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "lines"])
+        same = [xxhash.xxh3_128_digest(repr((h, x))) for h, x in zip(batch["host"].to_pylist(), hashes)]
+        yield pa.record_batch(
+            [*batch.columns[:-1], pa.array(hashes, pa.list_(pa.int64())), pa.array(same, pa.binary())], names=[*batch.schema.names[:-1], "lines", "same"]
+        )
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,20 +220,23 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             mates = [(m["path"], m["lines"]) for m in (row["_before"], row["_after"]) if m and m["host"] == row["host"]]
             shared.append(shared_lines(row["path"], row["lines"], mates))
-        yield pa.record_batch([batch["_key"], batch["page_id"], pa.array(shared, pa.list_(pa.int32()))], names=["_key", "_page", "_shared"])
+        yield pa.record_batch([batch["same"], pa.array(shared, pa.list_(pa.int32()))], names=["same", "_shared"])
+
+
+def main_lines(lines: list[tuple[str, bool]], shared: list[int]) -> list[str]:
+    """The lines that are not shared; all lines inside the article if the mate is a copy of it."""
+    gone = set(shared)
+    inside = {k: len(t) for k, (t, within) in enumerate(lines) if within}
+    if 2 * sum(n for k, n in inside.items() if k in gone) > sum(inside.values()):
+        gone -= inside.keys()
+    return [t for k, (t, _) in enumerate(lines) if k not in gone]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, shared in zip(batch["html"].to_pylist(), batch["_shared"].to_pylist()):
-            lines = page_lines(page)
-            if any(inside for _, inside in lines):
-                kept = [t for t, inside in lines if inside]
-            else:
-                gone = set(shared or ())
-                kept = [t for k, (t, _) in enumerate(lines) if k not in gone]
-            texts.append("\n".join(kept))
+            texts.append("\n".join(main_lines(page_lines(page), shared or [])))
         yield pa.record_batch(
             [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -247,10 +252,13 @@ def template_lines(pages: DataFrame) -> DataFrame:
     """_page, _key and _shared: the positions of the lines that a page shares with its mate."""
     kind = pages.schema["page_id"].dataType.simpleString()
     narrow = pages.select("page_id", page_key().alias("_key"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "html")
-    read = narrow.mapInArrow(_read, f"page_id {kind}, _key long, host string, path string, lines array<long>")
-    # Equal rows would be each other's mates: one of them is enough.
-    paired = with_neighbours(read.dropDuplicates(["page_id", "_key"]), ["host", "path", "page_id", "_key"], ["host", "path", "lines"])
-    return paired.mapInArrow(_align, f"_key long, _page {kind}, _shared array<int>")
+    read = narrow.mapInArrow(_read, f"page_id {kind}, _key long, host string, path string, lines array<long>, same binary")
+    # Equal pages would be each other's mates: the first of them stands for all.
+    unlike = read.groupBy("same").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"))
+    paired = with_neighbours(unlike, ["host", "path", "same"], ["host", "path", "lines"])
+    aligned = paired.mapInArrow(_align, "same binary, _shared array<int>")
+    pages_of = read.select("page_id", "_key", "same").dropDuplicates(["page_id", "_key"])
+    return pages_of.join(aligned, "same").select("_key", F.col("page_id").alias("_page"), "_shared")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

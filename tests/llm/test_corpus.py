@@ -105,6 +105,24 @@ def test_differencing_removes_the_template(spark):
     assert got[5:] == [(8, "", 0), *[(9, "Menu of the site\nAlone.\nImprint", 31)] * 2, (10, "", 0)]
 
 
+def test_differencing_around_an_article(spark):
+    """Unique text outside an article stays, template inside and outside goes, a copied article stays; copies share a mate."""
+    page = lambda k, story: (
+        f"<div>Menu of the site</div><div>Standfirst {k}.</div><article><p>{story}</p><p>Read on</p></article><article><p>Teaser {k}</p></article>"
+        f"<div>Body {k} outside.</div><div>Imprint</div>"
+    )
+    rows = [(k, f"http://h.org/a/{k}", page(k, f"Story {k} is told here at length.")) for k in range(4)]
+    rows += [(10 + k, f"http://c.org/a?{k}", page(7, "One story under three addresses.")) for k in range(3)]
+    rows += [(13, "http://c.org/b", page(8, "Quite another story of the same site."))]
+    rows += [(20 + k, f"http://copy.org/{k}", page(k, "The very same long story on both pages.").replace(f"Teaser {k}", "Teaser")) for k in range(2)]
+    found = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda k, story: f"Standfirst {k}.\n{story}\nTeaser {k}\nBody {k} outside."
+    assert all(found[k] == text(k, f"Story {k} is told here at length.") for k in range(4))
+    assert all(found[10 + k] == text(7, "One story under three addresses.") for k in range(3))
+    assert found[13] == text(8, "Quite another story of the same site.")
+    assert found[20] == "Standfirst 0.\nThe very same long story on both pages.\nRead on\nTeaser\nBody 0 outside."
+
+
 def test_pages_of_the_table(spark, table):
     got = {r["page_id"]: r["text"] for r in QUERIES["op1_page_text"](spark, SF).collect()}
     assert len(got) == table("pages").count() and all(got.values())
