@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -53,7 +54,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-#: Lines with this many pairs of places are aligned by their order of occurrence.
+#: With more pairs of places for one line, the alignment goes by halves, in linear space.
 _MANY = 4096
 
 LINES = "array<struct<text:string,inside:boolean>>"
@@ -141,11 +142,34 @@ def _raw_end(page: str, name: str, pos: int) -> int:
     return end.end() if end else len(page)
 
 
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Length of a longest common subsequence of ``a`` and each prefix of ``b``; one bit per place of ``b``."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & every
+    return [0, *accumulate(c == "0" for c in f"{row:0{len(b)}b}"[::-1])] if b else [0]
+
+
+def _by_halves(a: list[int], b: list[int]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence, by Hirschberg's halving."""
+    if len(a) < 2 or not b:
+        return [i for i, x in enumerate(a) if x in b]
+    half = len(a) // 2
+    left, right = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+    k = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+    return [*_by_halves(a[:half], b[:k]), *(half + i for i in _by_halves(a[half:], b[k:]))]
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
     """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``.
 
     Equal ends are taken off first; the rest is the longest increasing run over pairs of equal lines.
-    A line with very many such pairs is paired by its order of occurrence only.
+    If a line has very many such pairs, the rest is aligned by halves.
     """
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
@@ -157,7 +181,9 @@ def common(a: list[int], b: list[int]) -> list[int]:
     for j in range(head, len(b) - tail):
         places.setdefault(b[j], []).append(j)
     own = Counter(a[head : len(a) - tail])
-    seen: Counter = Counter()
+    if any(n * len(places.get(x, ())) > _MANY for x, n in own.items()):
+        middle = _by_halves(a[head : len(a) - tail], b[head : len(b) - tail])
+        return [*range(head), *(head + i for i in middle), *range(len(a) - tail, len(a))]
     ends: list[int] = []
     chain: list[tuple[int, int]] = []
     last: list[int] = []
@@ -165,10 +191,6 @@ def common(a: list[int], b: list[int]) -> list[int]:
         js = places.get(a[i])
         if not js:
             continue
-        if own[a[i]] * len(js) > _MANY:
-            k = seen[a[i]]
-            seen[a[i]] += 1
-            js = js[k : k + 1]
         for j in reversed(js):
             at = bisect_left(ends, j)
             chain.append((i, last[at - 1] if at else -1))

@@ -95,6 +95,22 @@ def test_common_is_a_longest_subsequence():
         assert found == sorted(set(found)) and len(found) == brute(a, b)
 
 
+def test_common_of_many_equal_lines():
+    """A line with more than 4096 pairs of places: still a longest common subsequence."""
+    a = [1, 0, *[0, 2] * 80, *range(100, 140), 3]
+    b = [4, *range(100, 140), *[0] * 90, 2, 2, 0, 5]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    c = [0, 2, 2] * 70
+    d = [*[2] * 140, *[0, 2] * 70]
+    assert len(pages.common(a, b)) == best[-1][-1]
+    found = [c[i] for i in pages.common(c, d)]
+    rest = iter(d)
+    assert all(x in rest for x in found) and len(found) == pages._lengths(c, d)[-1] >= 140
+
+
 def test_differencing_removes_the_template(spark):
     body = lambda text: f"<div>Menu of the site</div><div>{text}</div><div>Imprint</div>"
     rows = [(k, f"http://h.org/a/{k}", body(f"Story {k} is told here.")) for k in range(5)]
