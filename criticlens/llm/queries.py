@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from criticlens.llm import decontaminate, mixing, neardup, pages, pii, quality, substrings, suffixes, toxicity, urls
+from criticlens.llm import decontaminate, mixing, neardup, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
 from criticlens.session import ensure_settings
 
 
@@ -53,6 +53,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_page_text": op1_page_text,
     "op2_url_filter": op2_url_filter,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_adaptive_quality": op8_adaptive_quality,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_personal_data": op10_personal_data,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 URL_SQL = r"""
@@ -117,4 +122,44 @@ SELECT doc_id, size, source_size, target, (whole * size + floor(size * part + 0.
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.slot = q.slot
 """
 
-ORACLE = {"op2_url_filter": URL_SQL, "op7_source_mix": MIX_SQL}
+RESAMPLE_SQL = r"""
+WITH RECURSIVE bits AS (
+    SELECT n::BIGINT AS n, n::BIGINT AS c, 0 AS k FROM range(256) t(n)
+    UNION ALL
+    SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+), d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), dw AS (
+    SELECT doc_id, unnest(words) AS word FROM d
+), bw AS (
+    SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), v AS (
+    SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)
+), b AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM v, crc
+), s AS (
+    SELECT bucket, count(*) AS n FROM dw JOIN b USING (word) GROUP BY bucket
+), t AS (
+    SELECT bucket, count(*) AS n FROM bw JOIN b USING (word) GROUP BY bucket
+), g AS (
+    SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+                                     / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (bucket)
+), w AS (
+    SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id
+), c AS (
+    SELECT d.doc_id, coalesce(len(words), 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+           coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM d LEFT JOIN w USING (doc_id)
+), r AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM c WHERE n_features >= 20
+)
+SELECT c.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM c LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE = {"op2_url_filter": URL_SQL, "op7_source_mix": MIX_SQL, "op13_importance_resampling": RESAMPLE_SQL}

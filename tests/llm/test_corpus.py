@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -12,7 +14,7 @@ from compare import differences, duck
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from criticlens.llm import decontaminate, mixing, neardup, pages, pii, quality, substrings, suffixes, toxicity, urls
+from criticlens.llm import decontaminate, mixing, neardup, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
 from criticlens.llm.components import components
 from criticlens.llm.queries import ORACLE, QUERIES
 
@@ -484,6 +486,54 @@ def test_personal_data_query(spark, texts):
         assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r["spans"].split(",")) | {""}
 
 
+# --- 13 importance resampling ---------------------------------------------------------------------
+
+
+def plain_resample(rows, targets, percent=10, least=20):
+    """(doc_id, n_features, weight, score) with their places in the draw, by the definition."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    places = lambda t: [zlib.crc32(w.encode()) % 10000 for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))]
+    docs = [(d, places(t)) for d, t in rows]
+    source, target = Counter(b for _, p in docs for b in p), Counter(b for t in targets for b in places(t))
+    n_s, n_t = sum(source.values()) + 10000, sum(target.values()) + 10000
+    gain = lambda b: math.floor(1000 * math.log((target[b] + 1) * n_s / ((source[b] + 1) * n_t)))
+    scored = []
+    for d, p in docs:
+        h = int(hashlib.sha256(f"2024:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, p))
+        scored.append((d, len(p), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    order = sorted((r for r in scored if r[1] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    ranks = defaultdict(list)
+    for k, r in enumerate(order[: percent * len(order) // 100]):
+        ranks[r].append(k + 1)
+    return Counter((*r, ranks[r].pop() if ranks[r] else None) for r in scored)
+
+
+@pytest.mark.parametrize("percent", [0, 10, 50, 100])
+def test_resampling_odd_rows(spark, awkward, nothing, percent):
+    target = spark.createDataFrame([(1, "w1x910 Ämter w2x811 W3X712"), (2, None), (3, "")], "item_id long, text string")
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()] * 3
+    found = resampling.resample(awkward.union(awkward).union(awkward), target, percent).collect()
+    assert Counter(map(tuple, found)) == plain_resample(rows, [r["text"] for r in target.collect()], percent)
+    assert resampling.resample(nothing, target, percent).count() == 0
+    alone = resampling.resample(awkward.where("doc_id = 7"), target.limit(0), percent).first()
+    assert alone["weight"] == 2 * math.floor(1000 * math.log(10002 / 20000))
+
+
+def test_resampling_ties(spark):
+    """All rows tie in the score: the cutoff is found among the ids, and repeated ids share it."""
+    scored = spark.createDataFrame([(d, 5) for d in [3, 1, 4, 1, 5, 9, 2, 6, 5, None]], "doc_id long, score long")
+    for n in range(12):
+        kept = sorted((r[0] is None, r[0] or 0) for r in scored.where(resampling.drawn(scored, n)).select("doc_id").collect())
+        every = sorted((r[0] is None, r[0] or 0) for r in scored.select("doc_id").collect())
+        assert kept[:n] == every[:n] and (len(kept) <= n + 1) and set(kept[n:]) <= set(every[n - 1 : n])
+
+
+def test_runs_of_words(spark):
+    row = spark.range(1).select(resampling.runs(resampling.words_of(F.lit("A b, C")), (1, 2)).alias("r"), resampling.runs(F.array(F.lit("x")), (2, 3)).alias("none"))
+    assert row.first() == (["a", "b", "c", "a b", "b c"], [])
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
