@@ -6,15 +6,18 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import accumulate
 from pathlib import Path
+from random import Random
 
 import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from criticlens.llm import decontaminate, mixing, neardup, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
+from criticlens.llm import alignment, decontaminate, mixing, neardup, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
 from criticlens.llm.components import components
 from criticlens.llm.queries import ORACLE, QUERIES
 
@@ -486,6 +489,104 @@ def test_personal_data_query(spark, texts):
         assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r["spans"].split(",")) | {""}
 
 
+# --- 12 tokenizer alignment -----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    """Both files through their own libraries, with the bytes of their tokens."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(alignment.VOCABULARY_A)
+    a.encode_special_tokens = True
+    letters = alignment.byte_of_letter()
+    b = sentencepiece.SentencePieceProcessor(model_file=alignment.VOCABULARY_B)
+
+    def of_a(text):
+        encoded = a.encode(" " + text, add_special_tokens=False)
+        return encoded.ids, [bytes(letters[c] for c in t) for t in encoded.tokens]
+
+    def of_b(text):
+        ids = b.encode(text)
+        pieces = [b.id_to_piece(i) for i in ids]
+        return ids, [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in zip(ids, pieces)]
+
+    return of_a, of_b
+
+
+def plain_alignment(tokenizers, rows):
+    """The whole result by comparing byte ranges, token by token."""
+    found, held = [], Counter()
+    for doc, text in rows:
+        sides = [side(text) for side in tokenizers] if text else []
+        if not text or any(b"".join(t) != (" " + text).encode() for _, t in sides):
+            found.append((doc, 0, 0, [], Counter()))
+            continue
+        spans = []
+        for ids, tokens in sides:
+            spans.append([(i, e - len(t), e) for i, t, e in zip(ids, tokens, accumulate(map(len, tokens)))])
+        links, k = Counter(), 0
+        a, b = spans
+        for i, s, e in a:
+            while b[k][2] <= s:
+                k += 1
+            j = k
+            while j < len(b) and b[j][1] < e:
+                links[i, b[j][0]] += 1
+                j += 1
+        both = {e for *_, e in a} & {e for *_, e in b}
+        cuts = sorted(both)
+        groups = [([], []) for _ in cuts]
+        for side, span in enumerate(spans):
+            for i, _, e in span:
+                groups[bisect_left(cuts, e)][side].append(str(i))
+        text = ";".join("|".join(map(",".join, g)) for g in groups)
+        found.append((doc, len(a), len(b), [text, len(cuts)], links))
+        held.update(links.keys())
+    top = Counter()
+    for (i, _), n in held.items():
+        top[i] = max(top[i], n)
+    return Counter(
+        (d, n_a, n_b, g[1] if g else 0, sum(x.values()), sum(n for p, n in x.items() if held[p] == top[p[0]]),
+         sum(n * held[p] for p, n in x.items()), hashlib.sha256(g[0].encode()).hexdigest() if g else "")
+        for d, n_a, n_b, g, x in found
+    )
+
+
+ODD_TEXTS = ["</s>the a \n  \n ", " ", "  ", "\n", " \n ", "\u2581", "a\u2581b", "<|endoftext|> <s><0x41>", "日本語 é e\u0301 🙂\U0010ffff", "x" + " " * 3000 + "y",
+             "\x00", "a\r\n\tb", "it's we'LL 12345 don't", "no\u00a0break \u3000 \u2028", "a" * 4000, "tail "]
+
+
+def test_alignment_odd_rows(spark, tokenizers, awkward, nothing):
+    odd = spark.createDataFrame([(100 + k, t) for k, t in enumerate(ODD_TEXTS)], "doc_id long, text string")
+    both = awkward.select("doc_id", "text").union(odd)
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    found = alignment.align_tokenizers(both.repartition(3)).select(*names).collect()
+    assert Counter(map(tuple, found)) == plain_alignment(tokenizers, [tuple(r) for r in both.collect()])
+    assert alignment.align_tokenizers(nothing).count() == 0
+    assert alignment.align_tokenizers(nothing.union(awkward.where("doc_id IN (1, 2)"))).where("n_a = 0 AND groups_sha256 = ''").count() == 2
+
+
+def test_alignment_query(spark, tokenizers, texts):
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    found = QUERIES["op12_tokenizer_alignment"](spark, SF).select(*names).collect()
+    assert Counter(map(tuple, found)) == plain_alignment(tokenizers, texts.items())
+
+
+def test_encoders_agree_with_their_libraries(tokenizers, texts):
+    a = alignment.ByteLevel(Path(alignment.VOCABULARY_A).read_text(encoding="utf-8"))
+    b = alignment.Pieces(Path(alignment.VOCABULARY_B).read_bytes())
+    assert b.apart and a.lossless
+    random = Random(1)
+    parts = ["a", " ", "  ", "\n", "é", "the", "\u2581", "\t", "!", "12", "\u0301", "<s>", "🙂", "\x00", "ing", "\u00a0", "<|endoftext|>"]
+    given = [*texts.values(), *ODD_TEXTS, *["".join(random.choices(parts, k=random.randint(1, 30))) for _ in range(2000)]]
+    given = [t for t in given if t]
+    for text, x, y in zip(given, a.encode_all(given), b.encode_all(given)):
+        ids, tokens = tokenizers[1](text)
+        assert x == tokenizers[0](text)[0] and y == (ids if b"".join(tokens) == (" " + text).encode() else None)
+
+
 # --- 13 importance resampling ---------------------------------------------------------------------
 
 
