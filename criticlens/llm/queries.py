@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from criticlens.llm import alignment, decontaminate, mixing, neardup, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
+from criticlens.llm import alignment, decontaminate, mixing, neardup, neighbours, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
 from criticlens.session import ensure_settings
 
 
@@ -53,6 +53,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_adaptive_quality": op8_adaptive_quality,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_personal_data": op10_personal_data,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_importance_resampling": op13_importance_resampling,
 }

@@ -8,6 +8,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from functools import reduce
 from itertools import accumulate
 from pathlib import Path
 from random import Random
@@ -17,7 +18,7 @@ from compare import differences, duck
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from criticlens.llm import alignment, decontaminate, mixing, neardup, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
+from criticlens.llm import alignment, decontaminate, mixing, neardup, neighbours, pages, pii, quality, resampling, substrings, suffixes, toxicity, urls
 from criticlens.llm.components import components
 from criticlens.llm.queries import ORACLE, QUERIES
 
@@ -489,6 +490,73 @@ def test_personal_data_query(spark, texts):
         assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r["spans"].split(",")) | {""}
 
 
+# --- 11 nearest neighbours ------------------------------------------------------------------------
+
+
+def plain_neighbours(rows, k=20, every=20):
+    """{query_id: [(vec_id, score)]} of the k nearest of each query row, by comparing it with every row."""
+    good = {(i, tuple(map(float, v))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    found = defaultdict(list)
+    for q, v in sorted(good):
+        if q % every == 0:
+            scores = [(-reduce(lambda total, ab: total + ab[0] * ab[1], zip(v, w), 0.0), i) for i, w in good if i != q]
+            found[q].append([(i, -s) for s, i in sorted(scores)[:k]])
+    return found
+
+
+def held_against(found, want):
+    """Share of the wanted neighbours found, after a look at ranks, order and scores."""
+    got = defaultdict(list)
+    for r in found:
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = total = 0
+    assert set(got) == {q for q, lists in want.items() if any(lists)}
+    for q, lists in want.items():
+        ranks = sorted(r for r, *_ in got[q])
+        assert ranks == sorted(r for w in lists for r in range(1, len(w) + 1))
+        hits += len({x[1:] for x in got[q]} & {x for w in lists for x in w})
+        total += len({x for w in lists for x in w})
+        if len(lists) == 1:
+            assert [x[1:] for x in sorted(got[q])] == sorted((x[1:] for x in got[q]), key=lambda x: (-x[1], x[0]))
+    return hits / total
+
+
+@pytest.mark.parametrize("sizes", [(8192, 8192, 256), (64, 16, 8)])
+def test_neighbours_query(spark, table, monkeypatch, sizes):
+    for name, value in zip(("BLOCK", "QUERIES", "LEAF"), sizes):
+        monkeypatch.setattr(neighbours, name, value)
+    rows = [(r["vec_id"], r["embedding"]) for r in table("embeddings").collect()]
+    assert held_against(QUERIES["op11_nearest_neighbours"](spark, SF).collect(), plain_neighbours(rows)) >= 0.95
+
+
+def test_neighbours_odd_rows(spark, monkeypatch):
+    """Lengths of any size, copies, ties, repeated rows and ids, short, empty and broken vectors; small groups, so that all rounds run."""
+    for name, value in (("BLOCK", 32), ("QUERIES", 8), ("LEAF", 8), ("SAMPLE", 50)):
+        monkeypatch.setattr(neighbours, name, value)
+    random = Random(3)
+    rows = [(i, [random.choice([-2.0, -1.0, 0.0, 1.0, 3.0]) * 10 ** random.choice([0, 0, 1]) for _ in range(6)]) for i in range(300)]
+    rows += [(400 + i, [1.0, 2.0, 0.0, -1.0, 1.0, 1.0]) for i in range(150)]
+    rows += [rows[0], rows[0], rows[420], (20, [5.0, 1.0]), (21, [2.0]), (40, [1.0] * 6), (None, [1.0] * 6), (600, None), (620, []), (640, [0.0] * 6)]
+    rows += [(660, [1.0, None]), (680, [float("nan"), 1.0]), (700, [float("inf"), 1.0]), (720, [-0.0, 0.0, 1.0])]
+    kind = "vec_id long, embedding array<double>, label int, score string, cell int, rank int"
+    df = spark.createDataFrame([(*r, 1, "x", 2, None) for r in rows], kind)
+    want = plain_neighbours(rows)
+    assert held_against(neighbours.nearest(df).collect(), want) >= 0.9
+    # With every leaf visited the result is exact, ties included.
+    exact = neighbours.nearest(df, sure=1 - 1e-15).collect()
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact)
+    assert got == Counter((q, k + 1, *x) for q, lists in want.items() for w in lists for k, x in enumerate(w))
+    assert neighbours.nearest(df.limit(0)).count() == 0
+    assert neighbours.nearest(df.where("vec_id = 40 AND embedding[0] = 1")).count() == 0
+    few = neighbours.nearest(df.where("vec_id IN (20, 21)")).collect()
+    assert held_against(few, plain_neighbours([r for r in rows if r[0] in (20, 21)])) == 1
+
+
+def test_chi_square():
+    for n, p, x in ((2, 0.95, 5.991465), (3, 0.95, 7.814728), (12, 0.95, 21.026070), (12, 0.5, 11.340322), (1, 0.99, 6.634897)):
+        assert math.isclose(neighbours.chi_square_quantile(p, n), x, rel_tol=1e-6)
+
+
 # --- 12 tokenizer alignment -----------------------------------------------------------------------
 
 
