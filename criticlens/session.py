@@ -15,7 +15,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Batches sent to Python are bounded by bytes too: ten thousand long texts would not fit beside the heap.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
+#: Options that may be set on a running session.
+RUNTIME = ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy", "spark.sql.execution.arrow.maxBytesPerBatch")
 
 
 def build_session(app_name: str = "criticlens", master: str | None = None, **extra: str) -> SparkSession:
@@ -30,8 +34,8 @@ def build_session(app_name: str = "criticlens", master: str | None = None, **ext
 
 def ensure_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL options a session built elsewhere may lack."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    for key in RUNTIME:
+        spark.conf.set(key, SETTINGS[key])
     return spark
 
 
