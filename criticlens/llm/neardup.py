@@ -20,7 +20,7 @@ come last, so a template family whose texts are not alike has few shingles to jo
 whole shingle sets: a link has a weighted or a plain Jaccard similarity of ``SIMILARITY``; classes are the components of the verified links.
 
 Defined results: texts without a term (NULL, empty) are each their own class; a text of fewer terms than a shingle is one
-shingle; equal texts and repeated rows share a class; n_links counts the links that were verified, not all there are; a NULL doc_id has no class; an empty table
+shingle; equal texts and repeated rows share a class; one id with different texts is different documents; n_links counts the links that were verified, not all there are; a NULL doc_id has no class; an empty table
 gives an empty result. Only doc_id (an integer) and text are read.
 """
 
@@ -51,6 +51,8 @@ SMALL = 8
 #: Share of the draws of one kind that must agree, by their last byte, for a candidate to be verified: 0.8 less four standard deviations.
 AGREE = 0.58
 SEED = 20
+#: Text per bucket of shingles that are counted together.
+BUCKET_BYTES = 32 << 20
 _TABLE_BITS = 16
 _CHUNK = 1 << 20
 
@@ -136,8 +138,9 @@ class Idf:
 
 def learn_idf(texts: DataFrame) -> Idf:
     """Exact frequencies of all shingles over the different texts; only those of the common ones come back."""
-    buckets = shuffle_width(texts.sparkSession)
-    n_docs = texts.select("text1", "text2").distinct().count()
+    size = F.coalesce(F.sum("n"), F.lit(0)).alias("size")
+    n_docs, size = texts.select("text1", "text2", F.octet_length("text").alias("n")).distinct().agg(F.count(F.lit(1)).alias("n_docs"), size).first()
+    buckets = max(shuffle_width(texts.sparkSession), size // BUCKET_BYTES)
     asked = texts.dropDuplicates(["text1", "text2"]).select("text").mapInArrow(_ask(buckets), "bucket int, keys binary, counts binary")
     rows = asked.groupBy("bucket").applyInArrow(_common(COMMON * n_docs), "key long, df long").toPandas()
     return Idf(rows["key"].to_numpy(np.int64).astype(np.uint64), rows["df"].to_numpy(np.int64), max(n_docs, 1), buckets)
@@ -194,7 +197,7 @@ def _sign(idf: Idf):
                 for k, row in zip(docs[starts].tolist(), np.hstack((weighted, sampler.draw_plain(starts, values)))):
                     signed[a + k] = row.astype("<u4").tobytes()
             brief = [None if d is None else np.frombuffer(d, np.uint8)[::4].tobytes() for d in signed]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(signed, pa.binary()), pa.array(brief, pa.binary())], names=["doc", "text1", "text2", "draws", "brief"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(signed, pa.binary()), pa.array(brief, pa.binary())], names=["id", "text1", "text2", "draws", "brief"])
 
     return sign
 
@@ -378,24 +381,34 @@ def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(apart.select("key"), "key", "left_semi").select("doc", "root").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class) and n_links of its text, per row of ``docs``."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text1"), F.xxhash64(F.lit(1), "text").alias("text2"), "text"
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text1"), F.xxhash64(F.lit(1), "text").alias("text2"), "text"
     )
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, text1, text2, termless) per row, and per text with terms: its first id, the first (id, text1, text2) of its class, n_links.
+
+    A text, not an id, is a node: equal ids with different texts stay apart.
+    """
     idf = learn_idf(rows)
-    every = stage(rows.mapInArrow(_sign(idf), "doc long, text1 long, text2 long, draws binary, brief binary"))
-    compared = every.where("doc IS NOT NULL AND draws IS NOT NULL")
-    signed = stage(compared.groupBy("text1", "text2").agg(F.min("doc").alias("doc"), F.any_value("draws").alias("draws"), F.any_value("brief").alias("brief")))
+    every = stage(rows.mapInArrow(_sign(idf), "id long, text1 long, text2 long, draws binary, brief binary"))
+    compared = every.where("id IS NOT NULL AND draws IS NOT NULL")
+    texts = compared.groupBy("text1", "text2").agg(F.min("id").alias("id"), F.any_value("draws").alias("draws"), F.any_value("brief").alias("brief"))
+    signed = stage(texts.withColumn("doc", F.monotonically_increasing_id()))
     signed_draws = signed.select("doc", "draws", "brief")
 
     members = _members(signed_draws, [(k,) for k in range(2 * BANDS)])
     met, large = _meetings(members)
     pairs = stage(_likely(met, signed_draws))
     # Texts of large buckets may find a partner in the second round only.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_doc")).unionByName(large.select(F.col("doc").alias("_doc"))).distinct()
-    texts = rows.join(wanted.hint("merge"), F.col("doc") == F.col("_doc"), "left_semi").select("doc", "text").dropDuplicates(["doc"])
-    sets = stage(texts.mapInArrow(_sets(idf), "doc long, keys binary, weights binary"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(large.select("doc")).distinct()
+    key = ["id", "text1", "text2"]
+    wanted = signed.select("doc", *key).join(wanted, "doc", "left_semi")
+    # Repeated rows are dropped where the join has put them side by side.
+    chosen = rows.join(wanted.hint("merge"), key).select(*key, "doc", "text").dropDuplicates(key).select("doc", "text")
+    sets = stage(chosen.mapInArrow(_sets(idf), "doc long, keys binary, weights binary"))
     links = stage(_links(pairs, sets))
 
     # Large buckets whose texts are not one class yet: split them by a second band.
@@ -414,21 +427,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if left.take(1):
         links = stage(links.unionByName(_links(stage(_apart(sets, left)), sets)).distinct())
         roots = stage(components(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    classes = signed.select("text1", "text2", "doc").join(roots, F.col("doc") == F.col("node"), "left").join(degree, "doc", "left")
-    classes = classes.select(
-        F.col("text1").alias("_1"), F.col("text2").alias("_2"), F.coalesce("root", "doc").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")
-    )
-    joined = every.join(classes, (F.col("text1") == F.col("_1")) & (F.col("text2") == F.col("_2")) & F.col("draws").isNotNull(), "left")
-    own = F.when(F.col("doc").isNotNull(), F.coalesce("class_id", "doc"))
-    return joined.select(F.col("doc").alias("doc_id"), own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
+    nodes = signed.select(*key, "doc").join(roots, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
+    firsts = nodes.groupBy("root").agg(F.min(F.struct(*key)).alias("first"))
+    classes = stage(nodes.join(firsts, "root").join(degree, "doc", "left").select("text1", "text2", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    return every.select(*key, F.col("draws").isNull().alias("termless")), classes
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class) and n_links of its text, per row of ``docs``."""
+    every, classes = _classes(_rows(docs))
+    classes = classes.select(F.col("text1").alias("_1"), F.col("text2").alias("_2"), F.col("first.id").alias("class_id"), "n_links")
+    joined = every.join(classes, (F.col("text1") == F.col("_1")) & (F.col("text2") == F.col("_2")) & ~F.col("termless"), "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
+    return joined.select(F.col("id").alias("doc_id"), own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class; rows without an id stay."""
-    classes = near_duplicates(docs)
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
+    """One row per class: the one with the smallest (doc_id, text hash). Rows without an id stay, and of equal texts under one id one row."""
+    rows = _rows(docs)
+    every, classes = _classes(rows)
+    alone = every.where("termless AND id IS NOT NULL").select(F.col("id").alias("_id"), F.col("text1").alias("_1"), F.col("text2").alias("_2"))
+    first = classes.select(F.col("first.id").alias("_id"), F.col("first.text1").alias("_1"), F.col("first.text2").alias("_2")).unionByName(alone).distinct()
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip((F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), ("_key0", "_key1", "_key2"))])
+    same = (F.col("_key0") == F.col("_id")) & (F.col("_key1") == F.col("_1")) & (F.col("_key2") == F.col("_2"))
+    kept = keyed.join(first.hint("merge"), same, "left_semi").dropDuplicates(["_key0", "_key1", "_key2"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
