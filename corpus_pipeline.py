@@ -1,4 +1,10 @@
-"""The corpus pipeline: its stages, in order, from the documents table to the mix."""
+"""The corpus pipeline: its stages, in order, from the documents table to the mix.
+
+Defined results: a NULL or empty text is neither toxic, nor alike another, nor a leak, and passes all stages but the last,
+which takes no words from it; rows without an id are never near duplicates; equal texts under one id are one row after the second
+stage, different ones stay; a NULL source is a source of its own; extra columns are carried along, but for the four that the mix adds;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +53,7 @@ STAGES = [
     ("source mix", mix_sources),
 ]
 
-#: Scoring and the other learned stages cannot be written in SQL; tests/llm compares run() with brute force.
+#: Scoring and the other learned stages cannot be written in SQL; tests/llm/test_pipeline.py compares run() with plain Python.
 ORACLE_SQL = None
 
 
