@@ -1,25 +1,16 @@
-"""Fields of raw HTML pages: flat ones by expressions, nested ones by a parser per page."""
+"""Fields and nested sections of raw HTML pages, by expressions."""
 
 from __future__ import annotations
 
-import re
-import sys
-from collections import Counter
-from collections.abc import Iterator, Mapping
-from html import unescape
-from html.parser import HTMLParser
+from collections.abc import Mapping
+from html.entities import name2codepoint
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType
 
 from criticlens.functions.text import add_once
-from criticlens.schemas import TEXT_MAP
-
-# The page parser goes to the executors by value, so that they need no copy of the library.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from criticlens.schemas import COMMENT, TEXT_MAP
 
 # The entities decoded in flat fields, "&amp;" last. Those HTML knows without the
 # semicolon are also found where a text was cut off inside one.
@@ -136,213 +127,165 @@ def base_images(urls: Column, prefix: str = IMAGE_PREFIX, suffix: str = IMAGE_SU
     return F.transform(kept, rewrite)
 
 
-class _Element:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def walk(self) -> Iterator["_Element"]:
-        pending = [c for c in reversed(self.children) if isinstance(c, _Element)]
-        while pending:
-            element = pending.pop()
-            yield element
-            pending.extend(c for c in reversed(element.children) if isinstance(c, _Element))
-
-    def all(self, tag: str, attribute: str | None = None, value: str | None = None) -> Iterator["_Element"]:
-        return (e for e in self.walk() if e.tag == tag and (attribute is None or e.has(attribute, value)))
-
-    def first(self, tag: str, attribute: str | None = None, value: str | None = None) -> "_Element | None":
-        return next(self.all(tag, attribute, value), None)
-
-    def has(self, attribute: str, value: str) -> bool:
-        actual = self.attrs.get(attribute)
-        if actual is None:
-            return False
-        return actual == value or (attribute == "class" and value in actual.split())
-
-    def own_text(self) -> str:
-        return "".join(c for c in self.children if isinstance(c, str)).strip()
-
-    def text(self) -> str:
-        parts, pending = [], [self]
-        while pending:
-            node = pending.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            elif node.tag not in ("script", "style"):
-                pending.extend(reversed(node.children))
-        return "".join(parts)
-
-
-class _PageParser(HTMLParser):
-    """Elements of one page, enough to find nested sections."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Element("", {})
-        self.open = [self.root]
-        self.counts = Counter()
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "li" and self.counts["li"]:
-            innermost = next(e.tag for e in reversed(self.open) if e.tag in ("li", "ul", "ol"))
-            if innermost == "li":  # the end tag of a list item is optional
-                self.handle_endtag("li")
-        element = _Element(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(element)
-        if tag not in self.VOID:
-            self.open.append(element)
-            self.counts[tag] += 1
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(_Element(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag):
-        if not self.counts[tag]:
-            return
-        while True:
-            closed = self.open.pop().tag
-            self.counts[closed] -= 1
-            if closed == tag:
-                return
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-_OPEN_TAG = re.compile(r"<[A-Za-z/!?]")
-
-
-def _parse(html: str) -> _Element:
-    """The element tree. What follows the last closing bracket is text up to a tag that never ends."""
-    end = html.rfind(">") + 1
-    parser = _PageParser()
-    parser.feed(html[:end])
-    parser.close()
-    parser.handle_data(unescape(_OPEN_TAG.split(html[end:], maxsplit=1)[0]))
-    return parser.root
-
-
-_TEXTS = ArrayType(StringType())
-_PAIRS = ArrayType(StructType([StructField("key", StringType()), StructField("value", StringType())]))
-_COMMENTS = ArrayType(StructType([StructField(n, StringType()) for n in ("date", "title", "score", "text", "votes")]))
-_SECTIONS = {
-    "title": StringType(),
-    "byline": StringType(),
-    "description": StringType(),
-    "breadcrumb": StringType(),
-    "images": _TEXTS,
-    "bullets": _TEXTS,
-    "information": _PAIRS,
-    "rating_score": StringType(),
-    "rating_shares": _PAIRS,
-    "comments": _COMMENTS,
-}
+# --- sections --------------------------------------------------------------------------------------
 
+# A character reference, and the named ones of HTML 4 as the standard library lists them.
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+_IMAGE = r"""(?is)<img(?=[\s/])[^<>]*?\ssrc\s*=\s*["']([^"'<>]*)["']"""
 
-def _text_of(element: _Element | None) -> str | None:
-    return None if element is None else element.text()
-
-
-def _histogram(page: _Element, at: Mapping[str, tuple]) -> tuple[str | None, list | None]:
-    """Headline score and (label, share) rows; nothing at all if any part is missing."""
-    box = page.first(*at["histogram"])
-    score = box and box.first(*at["histogram_score"])
-    table = box and box.first(*at["histogram_table"])
-    if not score or not table:
-        return None, None
-    rows = [(li.first(*at["histogram_label"]), li.first(*at["histogram_share"])) for li in table.all("li")]
-    if any(label is None or share is None for label, share in rows):
-        return None, None
-    return score.text(), [{"key": label.own_text(), "value": share.own_text()} for label, share in rows]
-
-
-def _comment(item: _Element, at: Mapping[str, tuple]) -> dict[str, str | None]:
-    title = item.first(*at["review_title"])
-    spans = list(title.all("span")) if title else []
-    return {
-        "date": _text_of(item.first(*at["review_date"])),
-        "title": spans[-1].text() if spans else None,
-        "score": _text_of(title.first(*at["review_score"])) if title else None,
-        "text": _text_of(item.first(*at["review_text"])),
-        "votes": _text_of(item.first(*at["review_votes"])),
-    }
-
-
-def _sections(html: str, at: Mapping[str, tuple]) -> dict:
-    """The raw parts of one product page, before any rule is applied to them."""
-    page = _parse(html)
-    images, bullets = page.first(*at["images"]), page.first(*at["bullets"])
-    information, reviews = page.first(*at["information"]), page.first(*at["reviews"])
-    blocks = information.all(*at["information_section"]) if information else []
-    score, shares = _histogram(page, at)
-    return {
-        "title": _text_of(page.first(*at["title"])),
-        "byline": _text_of(page.first(*at["byline"])),
-        "description": _text_of(page.first(*at["description"])),
-        "breadcrumb": _text_of(page.first(*at["breadcrumb"])),
-        "images": [e.attrs.get("src", "") for e in images.all("img")] if images else [],
-        "bullets": [e.text() for e in bullets.all("li")] if bullets else [],
-        "information": [
-            {"key": block.first("span").text(), "value": "".join(p.text() for p in block.all("p"))}
-            for block in blocks
-            if block.first("span")
-        ],
-        "rating_score": score,
-        "rating_shares": shares,
-        "comments": [_comment(li, at) for li in reviews.all("li")] if reviews else [],
-    }
 
+def decode_references(text: Column) -> Column:
+    """Character references as the characters they stand for, each once; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    parts, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+
+    def character(reference: Column) -> Column:
+        inside = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        hexadecimal = F.lower(F.substring(inside, 2, 1)) == "x"
+        digits = F.when(hexadecimal, F.conv(F.substring(inside, F.lit(3), F.length(inside)), 16, 10)).otherwise(F.substring(inside, F.lit(2), F.length(inside)))
+        code = F.when(inside.startswith("#"), digits.try_cast("int"))
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        encoded = F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD).cast("long")), 8, "0"))
+        return F.when(inside.startswith("#"), F.decode(encoded, "UTF-32")).otherwise(F.coalesce(F.try_element_at(names, inside), reference))
+
+    decoded = F.concat(F.array(F.lit("")), F.transform(found, character))
+    return F.when(text.contains("&"), F.array_join(F.zip_with(decoded, parts, lambda c, p: F.concat(c, p)), "")).otherwise(text)
+
+
+def text_of(fragment: Column) -> Column:
+    """The text of a fragment: tags removed, references decoded."""
+    return decode_references(F.regexp_replace(fragment, r"(?s)<[A-Za-z/!?][^<>]*(?:>|\z)", ""))
+
+
+def open_tag(selector: tuple) -> str:
+    """Pattern of the open tag that a (tag, attribute, value) selector means; a class matches as a whole or by one of its names."""
+    tag, attribute, value = selector
+    if attribute is None:
+        return rf"<{tag}(?=[\s/>])[^<>]*>"
+    value = rf"\Q{value}\E"
+    quoted = rf"\"{value}\"|'{value}'|{value}(?=[\s/>])"
+    if attribute == "class":
+        quoted += rf"|\"(?:[^\"<>]*\s)?{value}(?:\s[^\"<>]*)?\"|'(?:[^'<>]*\s)?{value}(?:\s[^'<>]*)?'"
+    return rf"<{tag}(?=\s)(?=[^<>]*\s{attribute}\s*=\s*(?:{quoted}))[^<>]*>"
 
-def extract_pages(df: DataFrame, html_col: str = "html", selectors: Mapping[str, tuple] = PRODUCT) -> DataFrame:
-    """Product documents from raw pages; the other columns of ``df`` are kept.
 
-    Comments, scripts and pages without a product title are dropped before Python sees them. The parser only cuts the
-    page into its sections; every rule on their content is an expression.
+def until_closed(rest: Column, tag: str) -> Column:
+    """What follows an open tag up to its end tag: where tags of its name are balanced, else the end of the page.
+
+    Only tags of that name count, so that elements left open inside do no harm. One pass with a small state; the
+    pieces are joined again by position.
     """
-    others = [f for f in df.schema if f.name != html_col]
-    schema = StructType([*others, StructField("_s", StructType([StructField(n, t) for n, t in _SECTIONS.items()]))])
-    title = selectors["title"][2]
-    visible = df.withColumn(html_col, visible_html(F.col(html_col)))
-    candidates = visible if title is None else visible.where(F.col(html_col).contains(title))
+    pieces = F.split(rest, rf"(?i)(?=</?{tag}(?=[\s/>]))", -1)
+    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        start = F.lower(F.substring(piece, 1, len(tag) + 2))
+        change = F.when(start == f"</{tag}", -1).when(start.startswith(f"<{tag}"), 1).otherwise(0)
+        depth, at = s["depth"] + change, s["at"] + 1
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(pieces, state, step, lambda s: F.when(s["end"] > 0, s["end"] - 1).otherwise(s["at"]))
+    return F.array_join(F.slice(pieces, F.lit(1), end), "")
+
+
+def element(html: Column, selector: tuple) -> Column:
+    """The inside of the first element that ``selector`` means; NULL without one."""
+    pattern = "(?is)" + open_tag(selector)
+    return F.when(html.rlike(pattern), until_closed(F.regexp_extract(html, pattern + "(.*)", 1), selector[0]))
+
+
+def elements(html: Column, selector: tuple) -> Column:
+    """The insides of all elements that ``selector`` means; one ends at its end tag, or where the next begins."""
+    after = F.split(html, "(?is)" + open_tag(selector), -1)
+    return F.transform(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), lambda rest: until_closed(rest, selector[0]))
+
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop(columns=html_col).assign(_s=[_sections(h, selectors) for h in batch[html_col]])
+def runs(html: Column, tag: str) -> Column:
+    """The insides of elements whose end tag is optional (list items, paragraphs): up to the next, or their end tag."""
+    after = F.split(html, rf"(?i)<{tag}(?=[\s/>])[^<>]*>", -1)
+    cut = lambda rest: F.regexp_replace(rest, rf"(?is)</{tag}(?=[\s>]).*", "")
+    return F.transform(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), cut)
 
-    parts = candidates.mapInPandas(cut, schema).where(F.col("_s.title").isNotNull())
-    empty = F.lit("")
 
-    def or_empty(text: Column) -> Column:
-        return F.coalesce(_strip(text), empty)
+def page_breadcrumb(html: Column, selector: tuple) -> Column:
+    """The parts of a breadcrumb, trimmed; [] without one."""
+    parts = F.transform(F.split(text_of(element(html, selector)), "›", -1), _strip)
+    return F.coalesce(parts, F.array().cast("array<string>"))
 
-    def pairs_to_map(pairs: Column) -> Column:
-        return F.map_from_entries(F.transform(pairs, lambda p: F.struct(_strip(p["key"]), _strip(p["value"]))))
 
-    def comment(c: Column) -> Column:
+def page_images(html: Column, selector: tuple) -> Column:
+    """The base-size addresses of the product images of a section; [] without one."""
+    found = F.regexp_extract_all(element(html, selector), F.lit(_IMAGE), F.lit(1))
+    return base_images(F.coalesce(found, F.array().cast("array<string>")))
+
+
+def page_bullets(html: Column, selector: tuple) -> Column:
+    """Label -> value of the bullets of a section; an empty map without one."""
+    bullets = F.transform(runs(element(html, selector), "li"), text_of)
+    return split_key_values(F.coalesce(bullets, F.array().cast("array<string>"))).cast(TEXT_MAP)
+
+
+def page_information(html: Column, section: tuple, block: tuple) -> Column:
+    """Heading -> paragraphs of the blocks of a section; blocks without a heading are left out."""
+    def entry(b: Column) -> Column:
+        paragraphs = F.array_join(F.transform(runs(b, "p"), text_of), "")
+        return F.struct(_strip(text_of(element(b, ("span", None, None)))).alias("key"), _strip(paragraphs).alias("value"))
+
+    blocks = F.coalesce(elements(element(html, section), block), F.array().cast("array<string>"))
+    return F.map_from_entries(F.filter(F.transform(blocks, entry), lambda e: e["key"].isNotNull())).cast(TEXT_MAP)
+
+
+def own_text(fragment: Column) -> Column:
+    """The text of a fragment outside the elements in it."""
+    return _strip(text_of(F.regexp_replace(fragment, r"(?is)<([a-z][a-z0-9]*)(?=[\s>])[^<>]*>[^<]*</\1\s*>", "")))
+
+
+def page_rating(html: Column, at: Mapping[str, tuple]) -> Column:
+    """Headline score and label -> share; NULL if any part is missing."""
+    box = element(html, at["histogram"])
+    score = text_of(element(box, at["histogram_score"]))
+    rows = F.transform(
+        runs(element(box, at["histogram_table"]), "li"),
+        lambda li: F.struct(own_text(element(li, at["histogram_label"])).alias("key"), own_text(element(li, at["histogram_share"])).alias("value")),
+    )
+    whole = score.isNotNull() & F.forall(rows, lambda r: r["key"].isNotNull() & r["value"].isNotNull())
+    return F.when(whole, F.struct(score.alias("score"), F.map_from_entries(F.filter(rows, lambda r: r["key"].isNotNull())).cast(TEXT_MAP).alias("dist")))
+
+
+def page_comments(html: Column, at: Mapping[str, tuple]) -> Column:
+    """The comments of the review list, in order; [] without one. The date is what follows the last "on"."""
+    or_empty = lambda text: F.coalesce(_strip(text), F.lit(""))
+
+    def comment(li: Column) -> Column:
+        title = element(li, at["review_title"])
         return F.struct(
-            or_empty(F.substring_index(c["date"], "on", -1)).alias("date"),
-            _strip(c["title"]).alias("title"),
-            _strip(c["score"]).alias("score"),
-            or_empty(c["text"]).alias("text"),
-            F.coalesce(F.split_part(_strip(c["votes"]), F.lit(" "), F.lit(1)), F.lit("0")).alias("helpfulness"),
+            or_empty(F.substring_index(text_of(element(li, at["review_date"])), "on", -1)).alias("date"),
+            _strip(text_of(F.try_element_at(elements(title, ("span", None, None)), F.lit(-1)))).alias("title"),
+            _strip(text_of(element(title, at["review_score"]))).alias("score"),
+            or_empty(text_of(element(li, at["review_text"]))).alias("text"),
+            F.coalesce(F.split_part(_strip(text_of(element(li, at["review_votes"]))), F.lit(" "), F.lit(1)), F.lit("0")).alias("helpfulness"),
         )
 
-    crumbs = F.transform(F.split("_s.breadcrumb", "›", -1), _strip)
-    rating = F.struct(F.col("_s.rating_score").alias("score"), pairs_to_map(F.col("_s.rating_shares")).alias("dist"))
-    nothing = F.array().cast("array<string>")
-    return parts.select(
-        *[f.name for f in others],
-        _strip(F.col("_s.title")).alias("product_title"),
-        or_empty(F.col("_s.byline")).alias("byline_info"),
-        or_empty(F.col("_s.description")).alias("product_description"),
-        F.coalesce(crumbs, nothing).alias("category"),
-        base_images(F.col("_s.images")).alias("alt_images"),
-        split_key_values(F.col("_s.bullets")).cast(TEXT_MAP).alias("product_detail"),
-        pairs_to_map(F.col("_s.information")).cast(TEXT_MAP).alias("important_information"),
-        F.when(F.col("_s.rating_shares").isNotNull(), rating).alias("rating"),
-        F.transform("_s.comments", comment).alias("top_comments"),
+    comments = F.transform(runs(element(html, at["reviews"]), "li"), comment)
+    return F.coalesce(comments, F.array().cast(ArrayType(COMMENT)))
+
+
+def extract_pages(df: DataFrame, html_col: str = "html", selectors: Mapping[str, tuple] = PRODUCT) -> DataFrame:
+    """Product documents from raw pages; the other columns of ``df`` are kept, pages without a product title dropped."""
+    at = dict(selectors)
+    visible = df.withColumn(html_col, visible_html(F.col(html_col)))
+    titled = add_once(visible, {"_title": text_of(element(F.col(html_col), at["title"]))}).where(F.col("_title").isNotNull())
+    html = F.col(html_col)
+    or_empty = lambda name: F.coalesce(_strip(text_of(element(html, at[name]))), F.lit(""))
+    return titled.select(
+        *[c for c in df.columns if c != html_col],
+        _strip(F.col("_title")).alias("product_title"),
+        or_empty("byline").alias("byline_info"),
+        or_empty("description").alias("product_description"),
+        page_breadcrumb(html, at["breadcrumb"]).alias("category"),
+        page_images(html, at["images"]).alias("alt_images"),
+        page_bullets(html, at["bullets"]).alias("product_detail"),
+        page_information(html, at["information"], at["information_section"]).alias("important_information"),
+        page_rating(html, at).alias("rating"),
+        page_comments(html, at).alias("top_comments"),
     )

@@ -207,3 +207,39 @@ def commented_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     both = F.array(comment(F.col("text"), F.col("votes")), comment(F.lit("Same again"), F.lit("0")))
     return rows.select("product_id", both.alias("top_comments"))
+
+
+# Parts of the shared pages, by patterns both engines read.
+PAGE_PARTS = """
+SELECT page_id, regexp_extract(html, '<h1>([^<]*)', 1) AS title,
+       regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1) AS addresses,
+       regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS labels,
+       regexp_extract_all(html, '<p>([^<]+)', 1) AS paragraphs
+FROM pages"""
+
+# Product pages made of those parts: well-formed ones, ones that leave list items, paragraphs and other elements open, and
+# ones with more elements inside; on every seventh a part of the rating is missing.
+_OPEN, _MORE = "page_id % 3 = 1", "page_id % 3 = 2"
+_END = f"CASE WHEN {_OPEN} THEN '' ELSE '</li>' END"
+_SHARE = "a-section a-spacing-none a-text-right aok-nowrap"
+PRODUCT_PAGES = f"""
+SELECT page_id, concat(
+  '<html><body><!-- <span id="productTitle">no</span> -->', CASE WHEN {_OPEN} THEN '<b><p>' WHEN {_MORE} THEN '<div><div></div>' ELSE '' END,
+  '<span class="big" id="productTitle"> ', title, ' </span><a id="bylineInfo" href="#">Visit ', coalesce(get(labels, 0), ''), '</a>',
+  '<div id="wayfinding-breadcrumbs_feature_div"><ul>',
+  array_join(transform(labels, x -> concat('<li><a href="#">', x, '</a>', {_END})), ' › '), '</ul>',
+  CASE WHEN {_MORE} THEN '<div><div></div></div>' ELSE '' END, '</div><div>none</div>',
+  '<div id="altImages">', array_join(transform(labels, (x, i) -> concat('<img alt="a" src="https://m.media-amazon.com/images/I/',
+    CAST(page_id * 100 + i AS STRING), CASE WHEN i % 3 = 2 THEN '._SS40_.png' ELSE '._AC_US40_.jpg' END, '">')), ''), '</div><img src="x.jpg">',
+  '<div id="detailBullets_feature_div"><ul>', array_join(transform(labels, (x, i) -> concat('<li><span>', x, '</span> \n : <b>', get(addresses, i),
+    CASE WHEN {_OPEN} THEN '' ELSE '</b>' END, {_END})), ''), '</ul></div>',
+  '<div id="cm_cr_dp_d_rating_histogram"><span class="a-size-medium a-color-base">', CAST(1 + page_id % 5 AS STRING), ' out of 5</span><ul id="histogramTable">',
+  array_join(transform(sequence(1, 5), k -> concat('<li><div class="a-section a-spacing-none a-text-left aok-nowrap"> ', CAST(k AS STRING), ' star<span>x</span></div>',
+    '<div class="', CASE WHEN page_id % 7 = 0 AND k = 3 THEN 'other' ELSE '{_SHARE}' END, '"><i>y</i>', CAST((page_id + k) % 100 AS STRING), '%</div>', {_END})), ''),
+  '</ul></div><ul id="cm-cr-dp-review-list">',
+  array_join(transform(paragraphs, (p, i) -> concat('<li><a class="a-link review-title-content"><span class="a-icon-alt">', CAST(1 + i % 5 AS STRING), '.0 out of 5 stars</span><span> ',
+    title, ' </span></a>', CASE WHEN i % 4 = 3 THEN '' ELSE concat('<span class="review-date a-color">Reviewed on August ', CAST(1 + i % 28 AS STRING), ', 2025</span>') END,
+    '<div class="a-expander review-text-content"><span>', p, CASE WHEN {_OPEN} THEN '' ELSE '</span>' END, '</div>',
+    CASE WHEN i % 2 = 0 THEN concat('<span class="cr-vote-text"> ', CAST(i AS STRING), ' people found this helpful</span>') ELSE '' END, {_END})), ''),
+  '</ul></body></html>') AS html
+FROM ({PAGE_PARTS})"""

@@ -423,6 +423,33 @@ GROUP BY page_id, label""",
   CAST(len(list_distinct(list_transform(regexp_extract_all(v, '(?s)<li[^>]*>(.*?)</li>', 1), lambda i: {plain('i')}))) AS INT)
     AS n_detail, 0 AS n_comments
 FROM (SELECT page_id, {_VISIBLE} AS v FROM pages)""",
+    "page_lists": chain(
+        ("parts", views.PAGE_PARTS),
+        final=f"""SELECT page_id, {plain('title')} AS product_title, trim(concat('Visit ', coalesce({plain('labels[1]')}, ''))) AS byline_info,
+  CASE WHEN len(labels) = 0 THEN '' ELSE array_to_string(list_transform(labels, lambda x: {plain('x')}), '|') END AS category,
+  coalesce(array_to_string(list_transform(list_filter(range(len(labels)), lambda i: i % 3 <> 2),
+    lambda i: concat('https://m.media-amazon.com/images/I/', page_id * 100 + i, '.jpg')), '|'), '') AS alt_images
+FROM parts""",
+    ),
+    "page_bullets": chain(
+        ("parts", views.PAGE_PARTS),
+        ("bullets", f"""SELECT page_id, unnest(range(len(labels))) AS i, unnest(list_transform(labels, lambda x: {plain('x')})) AS label, unnest(addresses) AS address FROM parts"""),
+        ("cut", "SELECT page_id, i, string_split(concat(label, ' : ', address), ':') AS p FROM bullets"),
+        final="""SELECT page_id, trim(p[1]) AS label, arg_max(array_to_string(list_transform(p[2:], lambda x: trim(x)), ':'), i) AS value
+FROM cut GROUP BY page_id, trim(p[1])""",
+    ),
+    "page_ratings": "SELECT page_id, " + ", ".join(
+        f"CASE WHEN page_id % 7 <> 0 THEN concat({v}) END AS {n}"
+        for v, n in [("1 + page_id % 5, ' out of 5'", "rating_score"), *[(f"(page_id + {k}) % 100, '%'", f"share_{k}") for k in range(1, 6)]]
+    ) + " FROM pages",
+    "page_comments": chain(
+        ("parts", views.PAGE_PARTS),
+        ("each", "SELECT page_id, title, unnest(range(len(paragraphs))) AS i, unnest(paragraphs) AS p FROM parts"),
+        final=f"""SELECT page_id, CAST(i AS INT) AS nth, CASE WHEN i % 4 = 3 THEN '' ELSE concat('August ', 1 + i % 28, ', 2025') END AS date,
+  {plain('title')} AS title, concat(1 + i % 5, '.0 out of 5 stars') AS score, {plain('p')} AS text,
+  CASE WHEN i % 2 = 0 THEN CAST(i AS STRING) ELSE '0' END AS helpfulness
+FROM each""",
+    ),
     "page_fill_rate": chain(
         FIELDS,
         final="SELECT count(*) AS n_pages, " + ", ".join(

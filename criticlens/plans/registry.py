@@ -130,7 +130,7 @@ SHARED_PAGES = {name: ("table", None, None) for name in pages.PRODUCT} | {
 
 
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested sections of the pages through the page parser."""
+    """Nested sections of the pages as they are."""
     parsed = pages.extract_pages(_pages(spark, sf).select("page_id", "html"), selectors=SHARED_PAGES)
     return parsed.select(
         "page_id", "product_title", "product_description", F.size("product_detail").alias("n_detail"),
@@ -138,6 +138,31 @@ def page_sections(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _product_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract_pages(views.load(spark, sf, views.PRODUCT_PAGES))
+
+
+def page_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Breadcrumbs and product images of product pages, in every state of markup."""
+    found = _product_pages(spark, sf).select("page_id", "product_title", "byline_info", "category", "alt_images")
+    return joined(found, "category", "alt_images")
+
+
+def page_bullets(spark: SparkSession, sf: str) -> DataFrame:
+    return _product_pages(spark, sf).select("page_id", F.explode("product_detail").alias("label", "value"))
+
+
+def page_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """Headline score and star shares; NULL where a part of the rating is missing."""
+    stars = [F.try_element_at("rating.dist", F.lit(f"{k} star")).alias(f"share_{k}") for k in range(1, 6)]
+    return _product_pages(spark, sf).select("page_id", F.col("rating.score").alias("rating_score"), *stars)
+
+
+def page_comments(spark: SparkSession, sf: str) -> DataFrame:
+    found = _product_pages(spark, sf).select("page_id", F.posexplode("top_comments").alias("nth", "c"))
+    return found.select("page_id", "nth", "c.*")
+
+
 # --- scalar columns ------------------------------------------------------------------------
 
 
@@ -535,6 +560,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         impossible_votes, product_score_merge, score_preview, score_sample, single_review_product, best_reviewed_product,
         reviews_csv_roundtrip, read_cleaned_reviews, product_json_load, pending_products,
         page_fields, page_links, page_key_values, page_fill_rate, page_sections,
+        page_lists, page_bullets, page_ratings, page_comments,
         product_features, score_polarization, clean_text, tokenize, keywords,
         sentiment_model_score, sentiment_lexicon_score, review_time_parts, score_distribution_columns,
         marketing_tone, reading_ease, clean_reviews, cleaning_report, table_profile, merge_reviews,

@@ -145,11 +145,12 @@ def test_texts_without_spaces_take_linear_time(spark):
     assert time.perf_counter() - start < 60
 
 
-def test_text_after_the_last_tag_is_kept():
-    from criticlens.operators.pages import _parse
+def test_text_after_the_last_tag_is_kept(spark):
+    df = spark.createDataFrame([("<p>price a < b dollars and more",), ("<p>kept <b broken",)], "html string")
+    assert [r[0] for r in df.select(pages.text_of(F.col("html"))).collect()] == ["price a < b dollars and more", "kept "]
 
-    def text(node):
-        return node if isinstance(node, str) else "".join(text(c) for c in node.children)
 
-    assert text(_parse("<p>price a < b dollars and more")) == "price a < b dollars and more"
-    assert text(_parse("<p>kept <b broken")) == "kept "
+def test_character_references(spark):
+    rows = [("A&#233;&#xe9;&eacute;&amp;lt;&nbsp;&unknown;&#0;&#55296;&#x1F600;&", "Aééé&lt;\u00a0&unknown;\ufffd\ufffd\U0001f600&"), ("", ""), (None, None), ("&#9999999;", "\ufffd")]
+    df = spark.createDataFrame(rows, "given string, want string")
+    assert df.where(~pages.decode_references(F.col("given")).eqNullSafe(F.col("want"))).count() == 0

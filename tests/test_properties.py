@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from random import Random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from criticlens.functions import stats
-from criticlens.operators.pages import _parse
+from criticlens.operators.pages import element
 
 
 
@@ -42,24 +41,30 @@ def test_p_approaches_the_normal_tail(tails):
             assert math.isclose(r["p"], math.erfc(r["t"] / math.sqrt(2)), rel_tol=1e-4)
 
 
-TAGS = st.sampled_from(["div", "span", "li", "ul", "p", "br", "img", "a"])
-PIECES = st.one_of(
-    TAGS.map(lambda t: f"<{t}>"),
-    TAGS.map(lambda t: f"</{t}>"),
-    TAGS.map(lambda t: f'<{t} id="x" class="a b">'),
-    st.text(alphabet="ab <>&;\"'", max_size=8),
-)
-
-
-@settings(max_examples=300, deadline=None)
-@given(pieces=st.lists(PIECES, max_size=30))
-def test_any_markup_is_parsed(pieces):
-    page = _parse("".join(pieces))
-    assert isinstance(page.text(), str)
-    assert all(e.tag for e in page.walk())
-    assert all(e.has("id", "x") and e.has("class", "a") for e in page.all("div", "class", "b"))
-
-
-@given(words=st.lists(st.text(alphabet="abc é", min_size=1, max_size=5), min_size=1, max_size=10))
-def test_text_between_tags_is_kept(words):
-    assert _parse("<div>" + "<b>|</b>".join(words) + "</div>").text() == "|".join(words)
+@pytest.fixture(scope="module")
+def cut(spark):
+    """The inside of the first div of many random pages."""
+    random = Random(2)
+    pieces = ["<div>", "</div>", '<div id="x" class="a b">', "<p>", "</p>", "<li>", "<br>", "</ul>", "a ", "<", "&amp;", "b>"]
+    pages = ["".join(random.choices(pieces, k=random.randint(0, 25))) for _ in range(400)]
+    html = F.col("html")
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    return df.select("html", element(html, ("div", None, None)).alias("first"), element(html, ("div", "class", "b")).alias("named")).collect()
+
+
+def inside(page, tag):
+    """Up to the balancing end tag, by counting."""
+    start = re.search(tag, page)
+    if not start:
+        return None
+    depth = 1
+    for m in re.finditer(r"</?div[^<>]*>", page[start.end() :]):
+        depth += -1 if m[0][1] == "/" else 1
+        if not depth:
+            return page[start.end() : start.end() + m.start()]
+    return page[start.end() :]
+
+
+def test_sections_end_where_their_tags_balance(cut):
+    for r in cut:
+        assert r["first"] == inside(r["html"], r"<div[^<>]*>") and r["named"] == inside(r["html"], r'<div id="x"[^<>]*>')
