@@ -347,3 +347,40 @@ def score_density(products: DataFrame, items: Sequence[str], points: int = 200,
         .agg(F.sum(kernel).alias("mass"))
         .select("item", "point", "x", (F.col("mass") / (F.col("total") * F.col("h") * root_two_pi)).alias("density"))
     )
+
+
+def binned_density(df: DataFrame, column: str, by: str, points: int = 200, cut_widths: float = 3.0, bins_per_width: int = 32) -> DataFrame:
+    """(``by``, point, x, density): Gaussian kernel density of a continuous column, per value of ``by``.
+
+    The values are dealt out linearly between the knots of a grid, ``bins_per_width`` to the kernel width h, so that the rows
+    collapse in a partial aggregate; the kernel is then laid over knots instead of values. A group costs its rows plus
+    knots times points. With knots d apart the result differs from the exact density by at most
+    d^2 / (8 h^3 sqrt(2 pi)), the error of linear interpolation. NULL and NaN values and NULL groups are left out; a group with
+    one distinct value has no width and no curve. ``by`` should have few values: its groups are joined by broadcast where Spark finds them small.
+    """
+    value = F.col(column).cast("double")
+    rows = df.select(F.col(by).alias("_by"), value.alias("_v")).where(F.col("_by").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    shape = rows.groupBy("_by").agg(
+        F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_std"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+    )
+    width = F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    shape = shape.select("_by", "_n", width.alias("_h"), "_least", "_most").where(F.col("_h") > 0)
+    low, high = F.col("_least") - cut_widths * F.col("_h"), F.col("_most") + cut_widths * F.col("_h")
+    knots = F.ceil(bins_per_width * (high - low) / F.col("_h"))
+    shape = stage(shape.select("_by", "_n", "_h", low.alias("_lo"), high.alias("_hi"), knots.alias("_m")))
+    step = (F.col("_hi") - F.col("_lo")) / F.col("_m")
+
+    at = (F.col("_v") - F.col("_lo")) / step
+    dealt = rows.join(shape, "_by").select("_by", F.floor(at).alias("_k"), (at - F.floor(at)).alias("_f"))
+    cells = dealt.groupBy("_by", "_k").agg(F.sum(1 - F.col("_f")).alias("_here"), F.sum("_f").alias("_next"))
+    halves = F.array(F.struct(F.col("_k").alias("_k"), F.col("_here").alias("_w")), F.struct((F.col("_k") + 1).alias("_k"), F.col("_next").alias("_w")))
+    weights = cells.select("_by", F.inline(halves)).groupBy("_by", "_k").agg(F.sum("_w").alias("_w"))
+
+    laid = weights.join(shape, "_by").select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    x = F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / (points - 1)
+    offset = (x - F.col("_lo") - F.col("_k") * step) / F.col("_h")
+    mass = F.sum(F.col("_w") * F.exp(-0.5 * offset * offset))
+    root_two_pi = 2.5066282746310002
+    return laid.groupBy("_by", "point", x.alias("x"), "_n", "_h").agg(mass.alias("_mass")).select(
+        F.col("_by").alias(by), "point", "x", (F.col("_mass") / (F.col("_n") * F.col("_h") * root_two_pi)).alias("density")
+    )

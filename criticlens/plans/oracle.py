@@ -410,6 +410,11 @@ FROM document d""",
     ),
     "pending_products": """SELECT DISTINCT CAST(o_orderkey AS STRING) AS product_id FROM orders
 WHERE o_orderkey NOT IN (SELECT p_partkey FROM part)""",
+    "pending_rounds": """WITH wanted AS (SELECT DISTINCT o_orderkey AS k FROM orders)
+SELECT r AS round, CAST(k AS STRING) AS product_id FROM wanted, (SELECT unnest(['none', 'replace']) AS r)
+UNION ALL SELECT 'part', CAST(k AS STRING) FROM wanted WHERE k NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'customer', CAST(k AS STRING) FROM wanted
+WHERE k NOT IN (SELECT p_partkey FROM part) AND k NOT IN (SELECT c_custkey FROM customer)""",
     "page_fields": chain(FIELDS, final="SELECT page_id, title, heading, lang FROM fields WHERE title <> ''"),
     "page_links": f"""SELECT page_id, CAST(len(links) AS INT) AS n_links, array_to_string(links, '|') AS links
 FROM (SELECT page_id, regexp_extract_all({_VISIBLE}, '{_LINK}', 1) AS links FROM pages)""",
@@ -754,6 +759,25 @@ FROM (SELECT *, unnest(range(0, 200)) AS point FROM shapes)""",
         final=f"""SELECT g.item, CAST(point AS INT) AS point, {r6('any_value(x)', 'x')},
   {r6('sum(exp(-0.5e0 * power((x - score) / h, 2))) / any_value(n * h * sqrt(2 * pi()))', 'density')}
 FROM grid g JOIN curves c ON c.item = g.item GROUP BY g.item, point""",
+    ),
+    "price_density": chain(
+        ("priced", "SELECT l_returnflag, l_extendedprice / 1e3 AS price FROM lineitem"),
+        (
+            "shapes",
+            """SELECT l_returnflag, n, h, least_v - 3 * h AS lo, most_v + 3 * h AS hi, ceil(32 * (most_v + 3 * h - (least_v - 3 * h)) / h) AS m
+FROM (SELECT l_returnflag, count(*) AS n, stddev_samp(price) * power(count(*), -0.2e0) AS h, min(price) AS least_v,
+  max(price) AS most_v FROM priced GROUP BY l_returnflag)""",
+        ),
+        ("dealt", "SELECT s.l_returnflag, (price - lo) / ((hi - lo) / m) AS place FROM priced l JOIN shapes s ON l.l_returnflag = s.l_returnflag"),
+        (
+            "knots",
+            """SELECT l_returnflag, k, sum(w) AS w FROM (SELECT l_returnflag, floor(place) AS k, 1 - (place - floor(place)) AS w FROM dealt
+UNION ALL SELECT l_returnflag, floor(place) + 1, place - floor(place) FROM dealt) GROUP BY l_returnflag, k""",
+        ),
+        ("grid", "SELECT *, lo + point * (hi - lo) / 199 AS x FROM (SELECT *, unnest(range(0, 200)) AS point FROM shapes)"),
+        final=f"""SELECT g.l_returnflag, CAST(point AS INT) AS point, {r6('any_value(x)', 'x')},
+  {r6('sum(w * exp(-0.5e0 * power((x - (lo + k * (hi - lo) / m)) / h, 2))) / any_value(n * h * sqrt(2 * pi()))', 'density')}
+FROM grid g JOIN knots c ON c.l_returnflag = g.l_returnflag GROUP BY g.l_returnflag, point""",
     ),
     "event_volume_stream": """SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n
 FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1)

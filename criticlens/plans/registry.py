@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from criticlens.plans import jobs
 from criticlens.session import ensure_settings, scratch_path, stage
 from criticlens.sources import products as product_files
 from criticlens.sources import reviews as review_files
+from criticlens.sources.loaded import LoadedProducts
 from criticlens.streaming import reviews as streams
 
 # Word table for the deterministic sentiment, drawn from the words of the shared documents.
@@ -101,6 +103,21 @@ def pending_products(spark: SparkSession, sf: str) -> DataFrame:
     return product_files.pending_products(reviewed, parts)
 
 
+def pending_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """What is pending after each of two rounds of loading (parts, then customers), and all with ``replace``."""
+    ids = lambda name, key: spark.read.parquet(f"{sf}/{name}.parquet").select(F.col(key).cast("string").alias("product_id"))
+    reviewed = ids("orders", "o_orderkey")
+    path = scratch_path(spark, "loaded")
+    known = LoadedProducts(spark, f"loaded_{path[-32:]}", path)
+    rounds = [known.pending(reviewed).withColumn("round", F.lit("none"))]
+    for name, key in (("part", "p_partkey"), ("customer", "c_custkey")):
+        known.record(ids(name, key))
+        # What is pending now is written, for the next round adds to the table.
+        rounds.append(stage(known.pending(reviewed).withColumn("round", F.lit(name))))
+    rounds.append(known.pending(reviewed, replace=True).withColumn("round", F.lit("replace")))
+    return functools.reduce(DataFrame.unionByName, rounds).select("round", "product_id")
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 
@@ -505,6 +522,13 @@ def score_density(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.score_density(described, items), "x", "density")
 
 
+def price_density(spark: SparkSession, sf: str) -> DataFrame:
+    """Density of a continuous column per group."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    priced = items.select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("price"))
+    return rounded(correlation.binned_density(priced, "price", "l_returnflag"), "x", "density")
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -558,7 +582,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         bayesian_product_scores, bayesian_offer_scores, product_weight_sums, weighted_product_scores, review_weights,
         impossible_votes, product_score_merge, score_preview, score_sample, single_review_product, best_reviewed_product,
-        reviews_csv_roundtrip, read_cleaned_reviews, product_json_load, pending_products,
+        reviews_csv_roundtrip, read_cleaned_reviews, product_json_load, pending_products, pending_rounds,
         page_fields, page_links, page_key_values, page_fill_rate, page_sections,
         page_lists, page_bullets, page_ratings, page_comments,
         product_features, score_polarization, clean_text, tokenize, keywords,
@@ -571,7 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         negative_report_csv, scored_products, sentiment_word_model,
         average_rank, description_item_counts, score_bins, description_length_bins, image_count_quality,
         correlation_p_values, spearman_images, spearman_description_length, spearman_marketing, spearman_reading_ease,
-        spearman_description_items, correlated_item_summary, feature_histograms, score_density,
+        spearman_description_items, correlated_item_summary, feature_histograms, score_density, price_density,
         event_volume_stream, deduplicated_stream, incremental_product_scores,
     )
 }
