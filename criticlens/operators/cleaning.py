@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from criticlens.functions.scores import helpfulness_index
@@ -94,6 +94,33 @@ def cleaning_report(
     )
 
 
+def clean_with_report(
+    df: DataFrame,
+    write: Callable[[DataFrame], DataFrame],
+    key_cols: Sequence[str] = REVIEW_KEY,
+    order_cols: Sequence[str] = ("id",),
+    subset: Sequence[str] = REQUIRED,
+) -> tuple[DataFrame, DataFrame]:
+    """Clean and write in one pass; what ``write`` returns, and the one-row report of :func:`cleaning_report` with n_<column> counts.
+
+    The counts are metrics observed while the rows flow, so the source is scanned once for both. ``write`` must run the
+    job over all rows (write a table, as ``session.stage`` does). A task that runs again counts once.
+    """
+    complete = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in subset])
+    read, kept = Observation(), Observation()
+    present = [F.count(F.col(c)).alias(f"n_{c}") for c in df.columns]
+    source = df.observe(read, F.count(F.lit(1)).alias("rows_read"), F.count_if(complete).alias("rows_complete"), *present)
+    first = keep_first(drop_incomplete(source, subset), key_cols, order_cols).observe(kept, F.count(F.lit(1)).alias("rows_kept"))
+    cleaned = replace_votes(first) if "helpfulness_numerator" in first.columns else first
+    written = write(add_text_columns(cleaned).drop("text"))
+    seen, n_kept = read.get, kept.get["rows_kept"]
+    row = {
+        "rows_read": seen["rows_read"], "rows_missing": seen["rows_read"] - seen["rows_complete"],
+        "rows_duplicate": seen["rows_complete"] - n_kept, "rows_kept": n_kept, **{f"n_{c}": seen[f"n_{c}"] for c in df.columns},
+    }
+    return written, df.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in row.items()])
+
+
 def table_profile(df: DataFrame, distinct_col: str = "product_id") -> DataFrame:
     """One row: row count, non-null count of each column, distinct values of one column.
 

@@ -779,6 +779,31 @@ UNION ALL SELECT l_returnflag, floor(place) + 1, place - floor(place) FROM dealt
   {r6('sum(w * exp(-0.5e0 * power((x - (lo + k * (hi - lo) / m)) / h, 2))) / any_value(n * h * sqrt(2 * pi()))', 'density')}
 FROM grid g JOIN knots c ON c.l_returnflag = g.l_returnflag GROUP BY g.l_returnflag, point""",
     ),
+    "observed_cleaning_report": chain(
+        TEXT_REVIEWS,
+        ("complete", "SELECT * FROM text_reviews WHERE text IS NOT NULL AND score IS NOT NULL AND product_id IS NOT NULL"),
+        ("kept", "SELECT count(*) AS n FROM (SELECT DISTINCT product_id, user_id, score FROM complete)"),
+        final="""SELECT count(*) AS rows_read, count(*) - (SELECT count(*) FROM complete) AS rows_missing,
+  (SELECT count(*) FROM complete) - (SELECT n FROM kept) AS rows_duplicate, (SELECT n FROM kept) AS rows_kept, count(text) AS n_text
+FROM text_reviews""",
+    ),
+    "yearly_cleaning_rounds": chain(
+        TEXT_REVIEWS,
+        (
+            "kept",
+            f"""SELECT CAST(year(make_timestamp(time * 1000000)) AS INT) AS year, score
+FROM (SELECT *, {_DEDUP.format(keys='product_id, user_id, score', order='id')} AS k FROM text_reviews
+      WHERE text IS NOT NULL AND score IS NOT NULL AND product_id IS NOT NULL) WHERE k = 1""",
+        ),
+        final="""SELECT year, count(*) AS n, CAST(sum(CASE WHEN year = (SELECT max(year) FROM kept) THEN 6 - score ELSE score END) AS BIGINT) AS score_sum,
+  year = (SELECT max(year) FROM kept) AS rewritten FROM kept GROUP BY year""",
+    ),
+    "quarantined_reviews": """SELECT CASE WHEN ok THEN CAST(o_orderkey AS STRING) END AS id, CASE WHEN ok THEN concat('p', o_custkey) END AS product_id,
+  CASE WHEN ok THEN CAST(1 + o_custkey % 5 AS INT) END AS score, CASE WHEN ok THEN 'said "yes" twice' END AS text,
+  CASE WHEN o_orderkey % 10 = 3 THEN concat(o_orderkey, ',p,u,n,1,2,five,1700000000,s,t')
+       WHEN o_orderkey % 10 = 7 THEN concat(o_orderkey, ',broken') END AS record
+FROM (SELECT *, o_orderkey % 10 NOT IN (3, 7) AS ok FROM orders)""",
+    "restarted_product_scores": chain(RATINGS, *SCORING, final=f"SELECT {TABLE} FROM scores"),
     "event_volume_stream": """SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n
 FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1)
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",

@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from criticlens.functions import text as text_functions
 from criticlens.functions.scores import helpfulness_index, polarization
@@ -529,6 +531,40 @@ def price_density(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.binned_density(priced, "price", "l_returnflag"), "x", "density")
 
 
+# --- cleaning rounds -----------------------------------------------------------------------
+
+
+def observed_cleaning_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts taken while the reviews are cleaned and written."""
+    return cleaning.clean_with_report(text_reviews(spark, sf), stage)[1].select("rows_read", "rows_missing", "rows_duplicate", "rows_kept", "n_text")
+
+
+def yearly_cleaning_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned reviews by year, written twice: the second time one year has other scores, and only that one is written."""
+    cleaned = cleaning.clean_reviews(text_reviews(spark, sf)).drop("keywords", "sentiment_score")
+    cleaned = stage(cleaned.withColumn("year", F.year(F.timestamp_seconds("time"))))
+    path = scratch_path(spark, "by-year")
+    review_files.write_changed(cleaned, path, "year")
+    last = cleaned.agg(F.max("year")).scalar()
+    revised = cleaned.withColumn("score", F.when(F.col("year") == last, 6 - F.col("score")).otherwise(F.col("score")))
+    written = review_files.write_changed(revised, path, "year").select(F.col("year").alias("_year"))
+    kept = spark.read.schema(cleaned.schema).parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
+    return kept.join(written, F.col("year") == F.col("_year"), "left").select("year", "n", "score_sum", F.col("_year").isNotNull().alias("rewritten"))
+
+
+def quarantined_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as lines of a review file, some without all fields or with a word for a number: good rows and bad records."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    good = F.concat(key, F.lit(",p"), cust, F.lit(',u,"a, b",1,2,'), (1 + F.col("o_custkey") % 5).cast("string"), F.lit(',1700000000,s,"said ""yes"" twice"'))
+    line = F.when(F.col("o_orderkey") % 10 == 3, F.concat(key, F.lit(",p,u,n,1,2,five,1700000000,s,t"))).when(F.col("o_orderkey") % 10 == 7, F.concat(key, F.lit(",broken"))).otherwise(good)
+    path = scratch_path(spark, "lines")
+    orders.select(line.alias("value")).write.text(path)
+    reviews, bad = review_files.read_reviews_checked(spark, path, header=False)
+    rows = reviews.select(F.col("id").cast("string").alias("id"), "product_id", "score", "text", F.lit(None).cast("string").alias("record"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -577,6 +613,38 @@ def incremental_product_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scored.select("product_id", "num_reviews", *_SCORES), *_SCORES)
 
 
+class _Stopped(Exception):
+    pass
+
+
+def restarted_product_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums per month with expiring state, in a run that breaks off half way and is started again; scored under the batch prior."""
+    reviews = ratings(spark, sf).select("product_id", "helpfulness_numerator", "helpfulness_denominator", "score", F.col("review_time").cast("timestamp").alias("review_time"))
+    reviews = stage(reviews.withColumn("_year", F.year("review_time")))
+    source, target = scratch_path(spark, "months-in"), scratch_path(spark, "months")
+    years = sorted(r[0] for r in reviews.select("_year").distinct().collect())
+    for year in years:
+        reviews.where(F.col("_year") == year).drop("_year").coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(reviews.drop("_year").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sums = streams.windowed_weight_sums(arriving, "review_time")
+    write = streams.batch_folders(target)
+
+    def break_off(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        if batch_id == len(years) // 2:
+            raise _Stopped
+
+    try:
+        streams.run_available(sums, f"{target}-state", "update", break_off, streams.ROCKSDB)
+    except StreamingQueryException:
+        pass
+    streams.run_available(sums, f"{target}-state", "update", write, streams.ROCKSDB)
+    updates = spark.read.schema(StructType([*sums.schema, StructField("batch", LongType())])).parquet(target)
+    merged = streams.merged_weight_sums(updates)
+    scored = streams.with_prior(merged, scoring.score_prior(reviews))
+    return rounded(scored.select("product_id", "num_reviews", *_SCORES), *_SCORES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -596,7 +664,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         average_rank, description_item_counts, score_bins, description_length_bins, image_count_quality,
         correlation_p_values, spearman_images, spearman_description_length, spearman_marketing, spearman_reading_ease,
         spearman_description_items, correlated_item_summary, feature_histograms, score_density, price_density,
-        event_volume_stream, deduplicated_stream, incremental_product_scores,
+        observed_cleaning_report, yearly_cleaning_rounds, quarantined_reviews,
+        event_volume_stream, deduplicated_stream, incremental_product_scores, restarted_product_scores,
     )
 }
 QUERIES["helpfulness_index"] = helpfulness

@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
 
 from criticlens.schemas import CLEANED_REQUIRED, REVIEW_CSV, REVIEW_HEADER
+from criticlens.session import stage
 
 _CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 _KEEP_SPACES = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -26,6 +27,20 @@ def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("review_time", F.timestamp_seconds("time")).drop("time")
 
 
+def read_reviews_checked(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(reviews, quarantine): the rows of a CSV that fit the header and types, and the ``record`` texts of those that do not.
+
+    Too few or too many fields, or a value that is not of its type, send a row to the quarantine, whole as it stands in the file;
+    :func:`read_reviews_csv` makes NULLs of such values. The file is parsed once, into a staged table both parts read.
+    """
+    names = [f"_{k}" for k in range(len(REVIEW_CSV))]
+    parsed = spark.read.schema(StructType([*REVIEW_CSV, StructField("_record", StringType())])).options(**{**_CSV_OPTIONS, "header": header, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record"})
+    rows = stage(parsed.csv(path).toDF(*names, "_record"))
+    named = rows.where(F.col("_record").isNull()).select(*[F.col(c).alias(REVIEW_HEADER[f.name]) for c, f in zip(names, REVIEW_CSV)])
+    reviews = named.withColumn("review_time", F.timestamp_seconds("time")).drop("time")
+    return reviews, rows.where(F.col("_record").isNotNull()).select(F.col("_record").alias("record"))
+
+
 def write_reviews_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The inverse of :func:`read_reviews_csv`; columns the table lacks are empty."""
     columns = []
@@ -88,6 +103,38 @@ def write_cleaned(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
 
 
+def partition_marks(df: DataFrame, by: str) -> DataFrame:
+    """(``by``, n, mark): the rows of each partition and a sum of their hashes, whatever their order."""
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(row_hash).alias("mark"))
+
+
+def write_changed(df: DataFrame, path: str, by: str) -> DataFrame:
+    """Write the partitions (values of ``by``) whose rows differ from what ``path`` holds; their ``by``, n and mark.
+
+    Marks of the finished partitions are kept beside the table, in ``path`` + "-marks", and written after the rows: a run that
+    fails in between writes the same partitions again. Others stay as they are, also those that ``df`` no longer has.
+    """
+    spark = df.sparkSession
+    marks = stage(partition_marks(df, by))
+    finished = marks.limit(0)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-marks")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        rounds = spark.read.schema(StructType([*marks.schema, StructField("round", LongType())])).parquet(f"{path}-marks")
+        finished = rounds.groupBy(by).agg(F.max_by(F.struct("n", "mark"), "round").alias("m")).select(by, "m.*")
+        number = rounds.agg(F.max("round")).first()[0] + 1
+    else:
+        number = 0
+    same = F.col("new.n").eqNullSafe(F.col("old.n")) & F.col("new.mark").eqNullSafe(F.col("old.mark"))
+    joined = marks.alias("new").join(finished.alias("old"), F.col(f"new.{by}").eqNullSafe(F.col(f"old.{by}")) & same, "left_anti")
+    changed = stage(joined)
+    only = changed.select(F.col(by).alias("_by"))
+    rows = df.join(only, F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    changed.withColumn("round", F.lit(number).cast("long")).write.mode("append").parquet(f"{path}-marks")
+    return changed
+
+
 def write_analysis(
     keywords: DataFrame, insights: DataFrame, out_dir: str, product_keywords: DataFrame | None = None
 ) -> None:

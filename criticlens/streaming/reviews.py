@@ -36,15 +36,39 @@ def incremental_weight_sums(stream: DataFrame) -> DataFrame:
     return weight_sums(review_weights(stream))
 
 
+def windowed_weight_sums(stream: DataFrame, time_col: str, window: str = "30 days", delay: str = "1 day") -> DataFrame:
+    """Running product sums per window of event time; for the update output mode.
+
+    The state of a window is dropped once the watermark has passed it, so what is kept is bounded by the products of the
+    open windows and not by all products ever seen. Rows later than that are left out.
+    """
+    weighted = review_weights(_timed(stream, time_col).withWatermark(time_col, delay).where(F.col("product_id").isNotNull()))
+    names = ["weight_simple", "wscore_simple", "weight_smooth", "wscore_smooth"]
+    sums = weighted.groupBy(F.window(time_col, window).alias("_window"), "product_id").agg(
+        F.sum("score").cast("double").alias("score_sum"), F.count("score").alias("score_n"), F.count(F.lit(1)).alias("num_reviews"),
+        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(f"sum_{n}") for n in names],
+    )
+    return sums.withColumn("window_start", F.col("_window.start")).drop("_window")
+
+
+def merged_weight_sums(updates: DataFrame, batch_col: str = "batch") -> DataFrame:
+    """The sums of all windows, per product, from what :func:`windowed_weight_sums` has emitted; the layout of ``scoring.weight_sums``."""
+    last = latest(updates, ["window_start", "product_id"], batch_col)
+    names = ["sum_weight_simple", "sum_wscore_simple", "sum_weight_smooth", "sum_wscore_smooth"]
+    mean = F.try_divide(F.sum("score_sum"), F.sum("score_n")).alias("mean_score")
+    return last.groupBy("product_id").agg(mean, F.sum("num_reviews").alias("num_reviews"), *[F.sum(n).alias(n) for n in names])
+
+
 def with_prior(sums: DataFrame, prior: DataFrame) -> DataFrame:
     """Weighted and Bayesian means of product sums under a prior, the one row of ``scoring.score_prior``."""
     return with_bayesian_means(sums, prior.select(F.struct("*")).scalar())
 
 
-def latest(updates: DataFrame, key: str, batch_col: str = "batch") -> DataFrame:
+def latest(updates: DataFrame, key: str | Sequence[str], batch_col: str = "batch") -> DataFrame:
     """The last update of each key: what the update mode has emitted up to now, as one table."""
-    last = updates.groupBy(key).agg(F.max(batch_col).alias(batch_col))
-    return updates.join(last, [key, batch_col]).drop(batch_col)
+    keys = [key] if isinstance(key, str) else list(key)
+    last = updates.groupBy(*keys).agg(F.max(batch_col).alias(batch_col))
+    return updates.join(last, [*keys, batch_col]).drop(batch_col)
 
 
 def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
@@ -52,15 +76,32 @@ def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(
-    result: DataFrame, checkpoint: str, mode: str, on_batch: Callable[[DataFrame, int], None]
-) -> None:
-    """Process everything there is and stop."""
-    query = (
-        result.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(on_batch)
-        .start()
-    )
-    query.awaitTermination()
+    result: DataFrame, checkpoint: str, mode: str, on_batch: Callable[[DataFrame, int], None], state_store: str | None = None
+) -> list[dict]:
+    """Process everything there is and stop; the progress of the batches.
+
+    Run again on the same ``checkpoint`` it goes on behind the last finished batch, with the state of that batch, also
+    where a run before it failed. ``state_store`` (:data:`ROCKSDB`) keeps large state outside the heap; a checkpoint stays with the
+    store it was started with.
+    """
+    spark = result.sparkSession
+    before = spark.conf.get(_PROVIDER)
+    if state_store:
+        spark.conf.set(_PROVIDER, state_store)
+    try:
+        query = (
+            result.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(on_batch)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return list(query.recentProgress)
