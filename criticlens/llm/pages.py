@@ -1,13 +1,19 @@
-"""Main text of web pages by differencing each page against its nearest neighbour by URL.
+"""Main text of web pages by differencing each page against its nearest neighbours by URL.
 
-A page is read as a list of text lines (its blocks). Pages are sorted by host and path; a page is
-paired with the neighbour of its host that shares the longer path prefix. The lines of both are
-aligned by longest common subsequence, on line hashes, and shared lines are template: they go, and the others
-stay, inside and outside ``<article>`` and ``<main>``. Markup decides two things only: scripts, menus,
-footers, adverts and the like are never lines of a page, and where more than half of the characters inside
-``<article>`` or ``<main>`` are shared, the mate is a copy of the article, and all lines inside are kept.
+A page is read once, as a list of text lines (its blocks). Pages are sorted by host and path; a page is
+paired with its neighbours of the same host. The lines are aligned by longest common subsequence, on line hashes. Outside
+``<article>`` and ``<main>``, lines shared with the mate that has the longer path prefix in common are template and go. Inside, a
+line goes only if it is shared with the mates on both sides, or, where there is one mate, stands at the same place from the
+beginning or the end of its article, for one shared sentence may be a quotation; and where more than half of the characters inside
+would go, the mate is a copy of the article and all of them stay.
 
-Sorting by range spreads a host with a third of all pages; what is sorted are line hashes, not pages.
+Markup is weak evidence. Scripts, styles and the head are never text. Menus, headers, footers, sidebars, forms and
+elements whose role, class or id says so (by whole names: ``sidebar`` or ``cookie-banner``, not ``no-sidebar``) are dropped with all
+they hold, unless that is the page's principal element (``<main>``, else the longest ``<article>`` that is no comment or teaser) or more than ``LARGEST`` of its text: such an
+element is a wrapper, or was never closed. A dropped element ends with its parent. A ``<header>`` inside the article stays.
+
+Sorting by range spreads a host with a third of all pages; what is sorted are line hashes, not pages. Pages are read into a
+staged table of lines, and the marks meet them by the hash of their lines, hot ones split.
 
 Defined results: NULL and empty html give an empty text; NULL urls form one host of their own; pages
 of a host with the same lines are one page to the pairing, and all get its result; a page without a mate keeps all its lines; repeated
@@ -26,12 +32,14 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from criticlens.llm.ordered import with_neighbours
 from criticlens.llm.urls import url_host, url_path
 from criticlens.llm.words import ship
+from criticlens.operators.joins import hot_keys, lookup_join
+from criticlens.session import stage
 
 # How elements are read.
 _BLOCKS = frozenset(
@@ -43,13 +51,20 @@ _RAW = frozenset("script style noscript template iframe textarea title svg math
 _SKIP = frozenset("head nav header footer aside form menu dialog button select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTENT = frozenset(["article", "main"])
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar|side-bar|rail|menu|navbar|nav|"
-    r"navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|"
-    r"comments?|commentlist|respond|replies|disqus)(?:$|[\s_-])",
-    re.I,
+#: Elements that are followed while they are open; of others only those that look like boilerplate.
+_NESTING = frozenset("article aside body button dialog div footer form header html main menu nav ol section select table ul".split()) | {"head"}
+# What a class or id must say for an element not to be text, and what may stand beside it in a compound name.
+_HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies "
+    "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination "
+    "popup promo promos promotion promotions rail recommended related replies respond search share sharing sidebar signup social "
+    "sponsor sponsored subscribe toolbar widget".split()
 )
+#: Hints of elements that may hold articles of their own: comments and teasers.
+_LISTS = frozenset("comment comments commentlist disqus recommended related replies respond".split())
+_BESIDE = frozenset("area bar bottom box block container form global head inner item items left links list main page primary right section secondary side site slot top unit wrap wrapper".split())
+#: An element with more than this share of the text of its page is not dropped for its name.
+LARGEST = 0.5
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -57,12 +72,18 @@ _SPACE = re.compile(r"\s+")
 #: With more pairs of places for one line, the alignment goes by halves, in linear space.
 _MANY = 4096
 
-LINES = "array<struct<text:string,inside:boolean>>"
+def _named(value: str, hints: frozenset[str] = _HINTS) -> bool:
+    """Whether a name of a class or id is a hint, alone or with words that may stand beside it."""
+    for name in value.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if any(p in hints for p in parts) and all(p in _HINTS or p in _BESIDE for p in parts):
+            return True
+    return False
 
 
 def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
     if name in _SKIP:
-        return True
+        return not (inside and name == "header")
     if name in ("html", "body") or not attributes:
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -70,71 +91,100 @@ def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
         if key.lower() == "role":
             if value.lower() in _ROLES:
                 return True
-        elif name not in _CONTENT and _HINT.search(value):
+        elif name not in _CONTENT and _named(value):
             return True
     return False
 
 
 def page_lines(page: str | None) -> list[tuple[str, bool]]:
     """The text blocks of a page outside boilerplate elements, and whether each is in the article."""
-    lines: list[tuple[str, bool]] = []
     if not page:
-        return lines
+        return []
+    lines: list[tuple[str, bool, int]] = []  # with the innermost open element
+    parent, doubtful, listed, length = [-1], [False], [False], [0]
+    principal: list[tuple[bool, int]] = []  # <main> or not, element
+    stack, at, content = [("", 0)], 0, 0
+    open_names: Counter = Counter()
     block: list[str] = []
-    skip, depth, content, pos = "", 0, 0, 0
-    n = len(page)
+    pos, n = 0, len(page)
 
     def close() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(block))).strip()
         block.clear()
         if text:
-            lines.append((text, content > 0))
+            lines.append((text, content > 0, at))
+            length[at] += len(text)
 
     while pos < n:
-        at = page.find("<", pos)
-        if at < 0:
-            at = n
-        if at > pos and not skip:
-            block.append(page[pos:at])
-        if at == n:
+        start = page.find("<", pos)
+        if start < 0:
+            start = n
+        if start > pos:
+            block.append(page[pos:start])
+        if start == n:
             break
-        tag = _TAG.match(page, at)
+        tag = _TAG.match(page, start)
         if not tag:
             # Not the start of a tag, so part of the text.
-            if not skip:
-                block.append("<")
-            pos = at + 1
+            block.append("<")
+            pos = start + 1
             continue
         pos = tag.end()
         name = (tag[2] or "").lower()
         if not name:
             continue
         closing, attributes = tag[1], tag[3] or ""
-        if skip:
-            if name in _RAW and not closing:
+        if name in _RAW:
+            if not closing:
                 pos = _raw_end(page, name, pos)
-            elif name == skip and not attributes.endswith("/"):
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
             continue
         if name in _BLOCKS:
             close()
         elif name == "br":
             block.append(" ")
-        if closing:
-            if name in _CONTENT:
-                content = max(content - 1, 0)
+        if name in _VOID or name not in _NESTING and not _ATTRIBUTE.search(attributes) and not closing:
             continue
-        if name in _RAW:
-            pos = _raw_end(page, name, pos)
-        elif name not in _VOID and not attributes.endswith("/") and _boilerplate(name, attributes, content > 0):
+        if closing:
+            if not open_names[name]:
+                continue
             close()
-            skip, depth = name, 1
-        elif name in _CONTENT:
-            content += 1
+            while True:
+                gone = stack.pop()
+                open_names[gone[0]] -= 1
+                content -= gone[0] in _CONTENT
+                if gone[0] == name:
+                    break
+            at = stack[-1][1]
+        elif not attributes.endswith("/"):
+            boilerplate = _boilerplate(name, attributes, content > 0)
+            if name not in _NESTING and not boilerplate:
+                continue
+            close()
+            parent.append(at)
+            doubtful.append(boilerplate)
+            listed.append(listed[at] or any(_named(a or b or c, _LISTS) for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() != "role"))
+            length.append(0)
+            at = len(parent) - 1
+            stack.append((name, at))
+            open_names[name] += 1
+            if name in _CONTENT:
+                content += 1
+                if not listed[at]:
+                    principal.append((name == "main", at))
     close()
-    return lines
+
+    for e in range(len(parent) - 1, 0, -1):
+        length[parent[e]] += length[e]
+    holds = set()
+    if principal:
+        e = max(principal, key=lambda x: (x[0], length[x[1]], -x[1]))[1]
+        while e >= 0:
+            holds.add(e)
+            e = parent[e]
+    dropped = [False] * len(parent)
+    for e in range(1, len(parent)):
+        dropped[e] = dropped[parent[e]] or (doubtful[e] and e not in holds and length[e] <= LARGEST * length[0])
+    return [(text, inside) for text, inside, e in lines if not dropped[e]]
 
 
 def _raw_end(page: str, name: str, pos: int) -> int:
@@ -217,36 +267,47 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def shared_lines(path: str, lines: list[int], mates: list[tuple[str, list[int]]]) -> list[int]:
-    """Positions of the lines shared with the nearest mate by path whose lines are not all the same."""
-    fitting = [m for m in mates if m[1] != lines]
+def template(path: str, lines: list[int], inside: list[bool], mates: list[tuple[str, list[int], list[bool]]]) -> list[int]:
+    """Positions of the lines that are template, by the mates whose lines are not all the same."""
+    fitting = sorted((m for m in mates if m[1] != lines), key=lambda m: -_prefix(path, m[0]))
     if not fitting:
         return []
-    nearest = max(fitting, key=lambda m: _prefix(path, m[0]))
-    return common(lines, nearest[1])
+    shared = [set(common(lines, m[1])) for m in fitting]
+    gone = {k for k in shared[0] if not inside[k]}
+    within = [k for k, here in enumerate(inside) if here]
+    if len(fitting) > 1:
+        return sorted(gone | {k for k in within if all(k in s for s in shared)})
+    other = [x for x, here in zip(fitting[0][1], fitting[0][2]) if here]
+    for n, k in enumerate(within):
+        from_end = len(within) - n
+        same = (n < len(other) and other[n] == lines[k]) or (from_end <= len(other) and other[-from_end] == lines[k])
+        if k in shared[0] and same:
+            gone.add(k)
+    return sorted(gone)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line hashes per page, and one hash of its host and them all."""
+    """Lines, line hashes and whether they are inside per page, and one hash of its host and them all."""
     for batch in batches:
-        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in page_lines(p)] for p in batch["html"].to_pylist()]
-        same = [xxhash.xxh3_128_digest(repr((h, x))) for h, x in zip(batch["host"].to_pylist(), hashes)]
-        yield pa.record_batch(
-            [*batch.columns[:-1], pa.array(hashes, pa.list_(pa.int64())), pa.array(same, pa.binary())], names=[*batch.schema.names[:-1], "lines", "same"]
-        )
+        read = [page_lines(p) for p in batch["html"].to_pylist()]
+        texts, inside = [[t for t, _ in x] for x in read], [[i for _, i in x] for x in read]
+        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in x] for x in texts]
+        same = [xxhash.xxh3_128_digest(repr((h, x, i))) for h, x, i in zip(batch["host"].to_pylist(), hashes, inside)]
+        columns = [pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(inside, pa.list_(pa.bool_())), pa.array(same, pa.binary())]
+        yield pa.record_batch([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "texts", "lines", "inside", "same"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared = []
+        found = []
         for row in batch.to_pylist():
-            mates = [(m["path"], m["lines"]) for m in (row["_before"], row["_after"]) if m and m["host"] == row["host"]]
-            shared.append(shared_lines(row["path"], row["lines"], mates))
-        yield pa.record_batch([batch["same"], pa.array(shared, pa.list_(pa.int32()))], names=["same", "_shared"])
+            mates = [(m["path"], m["lines"], m["inside"]) for m in (row["_before"], row["_after"]) if m and m["host"] == row["host"]]
+            found.append(template(row["path"], row["lines"], row["inside"], mates))
+        yield pa.record_batch([batch["same"], pa.array(found, pa.list_(pa.int32()))], names=["same", "_shared"])
 
 
 def main_lines(lines: list[tuple[str, bool]], shared: list[int]) -> list[str]:
-    """The lines that are not shared; all lines inside the article if the mate is a copy of it."""
+    """The lines that are not template; all lines inside the article if the mate is a copy of it."""
     gone = set(shared)
     inside = {k: len(t) for k, (t, within) in enumerate(lines) if within}
     if 2 * sum(n for k, n in inside.items() if k in gone) > sum(inside.values()):
@@ -256,42 +317,27 @@ def main_lines(lines: list[tuple[str, bool]], shared: list[int]) -> list[str]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for page, shared in zip(batch["html"].to_pylist(), batch["_shared"].to_pylist()):
-            texts.append("\n".join(main_lines(page_lines(page), shared or [])))
+        columns = [batch[c].to_pylist() for c in ("texts", "inside", "_shared")]
+        texts = ["\n".join(main_lines(list(zip(t, i)), shared)) for t, i, shared in zip(*columns)]
         yield pa.record_batch(
             [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
 
-def page_key() -> Column:
-    """Tells rows of one page_id apart; equal rows share a key."""
-    return F.xxhash64("url", "html")
-
-
-def template_lines(pages: DataFrame) -> DataFrame:
-    """_page, _key and _shared: the positions of the lines that a page shares with its mate."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    narrow = pages.select("page_id", page_key().alias("_key"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "html")
-    read = narrow.mapInArrow(_read, f"page_id {kind}, _key long, host string, path string, lines array<long>, same binary")
-    # Equal pages would be each other's mates: the first of them stands for all.
-    unlike = read.groupBy("same").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"))
-    paired = with_neighbours(unlike, ["host", "path", "same"], ["host", "path", "lines"])
-    aligned = paired.mapInArrow(_align, "same binary, _shared array<int>")
-    pages_of = read.select("page_id", "_key", "same").dropDuplicates(["page_id", "_key"])
-    return pages_of.join(aligned, "same").select("_key", F.col("page_id").alias("_page"), "_shared")
-
-
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    marks = template_lines(pages)
-    rows = pages.select("page_id", "url", "html", page_key().alias("_row"))
-    joined = rows.join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_row") == F.col("_key")), "left")
-    return joined.select("page_id", "url", "html", "_shared").mapInArrow(
-        _extract, f"page_id {kind}, url string, text string, n_chars long"
-    )
+    narrow = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "html")
+    lines = "texts array<string>, lines array<long>, inside array<boolean>, same binary"
+    read = stage(narrow.mapInArrow(_read, f"page_id {kind}, url string, host string, path string, {lines}"))
+    # Equal pages would be each other's mates: the first of them stands for all.
+    unlike = read.groupBy("same").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"), F.first("inside").alias("inside"))
+    paired = with_neighbours(unlike, ["host", "path", "same"], ["host", "path", "lines", "inside"])
+    marks = paired.mapInArrow(_align, "same binary, _shared array<int>")
+    hot = hot_keys(read.groupBy("same").agg(F.count(F.lit(1)).alias("n")), "same")
+    rows = lookup_join(read.select("same", "page_id", "url", "texts", "inside"), marks, "same", hot)
+    return rows.select("page_id", "url", "texts", "inside", "_shared").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 ship(__name__)

@@ -9,7 +9,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, takewhile
 from pathlib import Path
 from random import Random
 
@@ -86,6 +86,70 @@ def test_page_lines():
     assert len(pages.page_lines("<p>a<" * 20000)) == 20000
 
 
+STORY = "<h1>Head</h1><p>" + "The story goes on and on. " * 8 + "</p><p>And ends.</p>"
+TOLD = ["Head", ("The story goes on and on. " * 8).strip(), "And ends."]
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout no-sidebar">{}</div>', '<div class="site header-fixed">{}</div>', '<div class="elementor-widget">{}</div>',
+    '<div class="content search-results">{}</div>', "<form action='/'>{}<input name=q></form>", "<nav><a>Menu</a>{}", '<div class="widget">{}</div>',
+    "<header>Site</header><aside><p>Ad</p></aside>{}", '<div class="main-header">Site</div>{}<div id="site-footer">Imprint</div>', '<div role=search>{}</div>',
+    "<section class='comments'><article>First!</article><article>Second, and much to say about it.</article></section>{}",
+])
+@pytest.mark.parametrize("body", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_wrappers_keep_their_article(wrapper, body):
+    told = [t for t, _ in pages.page_lines("<body>" + wrapper.format(body.format(STORY)) + "</body>")]
+    assert [t for t in told if t not in ("Menu",)] == TOLD
+
+
+def test_headline_in_a_header_and_elements_left_open():
+    assert [t for t, _ in pages.page_lines("<header>Site</header><article><header><h1>Head</h1></header><p>Text of it.</p></article>")] == ["Head", "Text of it."]
+    # What is dropped ends with its parent, not with the page.
+    page = "<div><div class=ad>Buy<p>now</div><ul class=menu><li>One</ul></div><div><p>Long enough to be the text of this page.</p></div>"
+    assert [t for t, _ in pages.page_lines(page)] == ["Long enough to be the text of this page."]
+    assert [t for t, _ in pages.page_lines("<div><nav><a>One</a></div><p>Long enough to be the text.</p>")] == ["Long enough to be the text."]
+
+
+def plain_pages(rows):
+    """The whole operator for distinct urls, page by page: sorted neighbours, common subsequences, template lines."""
+    read = {}
+    for k, url, html in rows:
+        rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+        read[k] = (re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1], pages.page_lines(html))
+    order, seen = [], set()
+    for k, (host, path, lines) in sorted(read.items(), key=lambda x: (x[1][0].encode(), x[1][1].encode())):
+        if (host, str(lines)) not in seen:
+            seen.add((host, str(lines)))
+            order.append(k)
+    found = {}
+    for n, k in enumerate(order):
+        host, path, lines = read[k]
+        mates = [read[order[m]] for m in (n - 1, n + 1) if 0 <= m < len(order) and read[order[m]][0] == host]
+        same = [len([1 for _ in takewhile(lambda xy: xy[0] == xy[1], zip(path, m[1]))]) for m in mates]
+        mates = [m for _, m in sorted(zip(same, mates), key=lambda x: -x[0])]
+        texts, inside = [t for t, _ in lines], [k for k, (_, i) in enumerate(lines) if i]
+        shared = [set(pages.common(texts, [t for t, _ in m[2]])) for m in mates]
+        gone = {k for k, (_, i) in enumerate(lines) if mates and not i and k in shared[0]}
+        if len(mates) == 2:
+            gone |= {k for k in inside if k in shared[0] & shared[1]}
+        elif mates:
+            other = [t for t, i in mates[0][2] if i]
+            at = lambda x, p: x[p] if -len(x) <= p < len(x) else None
+            gone |= {k for p, k in enumerate(inside) if k in shared[0] and texts[k] in (at(other, p), at(other, p - len(inside)))}
+        if 2 * sum(len(texts[k]) for k in inside if k in gone) > sum(len(texts[k]) for k in inside):
+            gone -= set(inside)
+        found[host, str(lines)] = "\n".join(t for k, t in enumerate(texts) if k not in gone)
+    return {k: found[host, str(lines)] for k, (host, _, lines) in read.items()}
+
+
+def test_page_text_equals_brute_force(spark, table):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in table("pages").collect()]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in QUERIES["op1_page_text"](spark, SF).collect()}
+    assert got == {k: (t, len(t)) for k, t in plain_pages(rows).items()}
+    whole = {k: "\n".join(t for t, inside in pages.page_lines(h) if inside) for k, _, h in rows}
+    assert sum(got[k][0] == whole[k] for k in whole) >= 0.99 * len(whole)
+
+
 def test_common_is_a_longest_subsequence():
     def brute(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
