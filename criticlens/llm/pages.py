@@ -1,6 +1,6 @@
 """Main text of web pages by differencing each page against its nearest neighbours by URL.
 
-A page is read once, as a list of text lines (its blocks). Pages are sorted by host and path; a page is
+A page is a list of text lines (its blocks). Pages are sorted by host and path; a page is
 paired with its neighbours of the same host. The lines are aligned by longest common subsequence, on line hashes. Outside
 ``<article>`` and ``<main>``, lines shared with the mate that has the longer path prefix in common are template and go. Inside, a
 line goes only if it is shared with the mates on both sides, or, where there is one mate, stands at the same place from the
@@ -12,8 +12,9 @@ elements whose role, class or id says so (by whole names: ``sidebar`` or ``cooki
 they hold, unless that is the page's principal element (``<main>``, else the longest ``<article>`` that is no comment or teaser) or more than ``LARGEST`` of its text: such an
 element is a wrapper, or was never closed. A dropped element ends with its parent. A ``<header>`` inside the article stays.
 
-Sorting by range spreads a host with a third of all pages; what is sorted are line hashes, not pages. Pages are read into a
-staged table of lines, and the marks meet them by the hash of their lines, hot ones split.
+Sorting by range spreads a host with a third of all pages; what is sorted are line hashes, not pages. The line hashes of a page
+are written once; the marks meet them by the hash of all lines, hot ones split. A page is parsed twice, for its hashes and for its
+text: texts written in between would cost more disk than that saves.
 
 Defined results: NULL and empty html give an empty text; NULL urls form one host of their own; pages
 of a host with the same lines are one page to the pairing, and all get its result; a page without a mate keeps all its lines; repeated
@@ -32,7 +33,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from criticlens.llm.ordered import with_neighbours
@@ -287,14 +288,14 @@ def template(path: str, lines: list[int], inside: list[bool], mates: list[tuple[
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines, line hashes and whether they are inside per page, and one hash of its host and them all."""
+    """Line hashes and whether the lines are inside per page, and one hash of its host and them all."""
     for batch in batches:
         read = [page_lines(p) for p in batch["html"].to_pylist()]
-        texts, inside = [[t for t, _ in x] for x in read], [[i for _, i in x] for x in read]
-        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in x] for x in texts]
-        same = [xxhash.xxh3_128_digest(repr((h, x, i))) for h, x, i in zip(batch["host"].to_pylist(), hashes, inside)]
-        columns = [pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(inside, pa.list_(pa.bool_())), pa.array(same, pa.binary())]
-        yield pa.record_batch([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "texts", "lines", "inside", "same"])
+        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in x] for x in read]
+        inside = [[i for _, i in x] for x in read]
+        same = [xxhash.xxh3_128_digest(repr(x)) for x in zip(batch["host"].to_pylist(), hashes, inside)]
+        columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(inside, pa.list_(pa.bool_())), pa.array(same, pa.binary())]
+        yield pa.record_batch([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "lines", "inside", "same"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,27 +318,40 @@ def main_lines(lines: list[tuple[str, bool]], shared: list[int]) -> list[str]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("texts", "inside", "_shared")]
-        texts = ["\n".join(main_lines(list(zip(t, i)), shared)) for t, i, shared in zip(*columns)]
+        texts = ["\n".join(main_lines(page_lines(page), shared or [])) for page, shared in zip(batch["html"].to_pylist(), batch["_shared"].to_pylist())]
         yield pa.record_batch(
             [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for every row of ``pages``."""
+def page_key() -> Column:
+    """Tells rows of one page_id apart; equal rows share a key."""
+    return F.xxhash64("url", "html")
+
+
+def template_lines(pages: DataFrame) -> DataFrame:
+    """_page, _key and _shared: the positions of the lines of a page that are template."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    narrow = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "html")
-    lines = "texts array<string>, lines array<long>, inside array<boolean>, same binary"
-    read = stage(narrow.mapInArrow(_read, f"page_id {kind}, url string, host string, path string, {lines}"))
+    narrow = pages.select("page_id", page_key().alias("_key"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "html")
+    lines = "lines array<long>, inside array<boolean>, same binary"
+    read = stage(narrow.mapInArrow(_read, f"page_id {kind}, _key long, host string, path string, {lines}"))
     # Equal pages would be each other's mates: the first of them stands for all.
     unlike = read.groupBy("same").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"), F.first("inside").alias("inside"))
     paired = with_neighbours(unlike, ["host", "path", "same"], ["host", "path", "lines", "inside"])
     marks = paired.mapInArrow(_align, "same binary, _shared array<int>")
+    pages_of = read.select("same", F.col("page_id").alias("_page"), "_key").distinct()
     hot = hot_keys(read.groupBy("same").agg(F.count(F.lit(1)).alias("n")), "same")
-    rows = lookup_join(read.select("same", "page_id", "url", "texts", "inside"), marks, "same", hot)
-    return rows.select("page_id", "url", "texts", "inside", "_shared").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return lookup_join(pages_of, marks, "same", hot).select("_page", "_key", "_shared")
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars for every row of ``pages``."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    marks = template_lines(pages)
+    rows = pages.select("page_id", "url", "html", page_key().alias("_row"))
+    joined = rows.join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_row") == F.col("_key")), "left")
+    return joined.select("page_id", "url", "html", "_shared").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 ship(__name__)
