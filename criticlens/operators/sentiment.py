@@ -18,11 +18,15 @@ from criticlens.operators.joins import hot_keys, lookup_join
 from criticlens.session import shuffle_width, stage
 
 __all__ = [
-    "gap_stats", "lexicon_sentiment", "outlier_sample", "score_sentiment", "score_with_model", "score_word_odds",
+    "gap_stats", "lexicon_sentiment", "odds_predictor", "outlier_sample", "score_sentiment", "score_with_model", "score_word_odds",
     "sentiment_gap", "sentiment_outliers", "train_sentiment", "train_word_odds",
 ]
 
 
+#: A table of word odds up to this size is broadcast: some tens of bytes a word.
+FEW_WORDS = 200_000
+
+
 def train_sentiment(
     df: DataFrame, text_col: str, label_col: str, n_features: int = 1 << 16, max_iter: int = 20
 ) -> PipelineModel:
@@ -52,10 +56,11 @@ def _word_rows(df: DataFrame, text_col: str, keep: str) -> DataFrame:
     return add_once(cleaned, {"_tokens": tokenize(F.col("_cleaned"))}).select(F.col(keep), F.explode("_tokens").alias("word"))
 
 
-def train_word_odds(df: DataFrame, text_col: str, label_col: str, smoothing: float = 1.0) -> DataFrame:
+def train_word_odds(df: DataFrame, text_col: str, label_col: str, smoothing: float = 1.0, top: int | None = None) -> DataFrame:
     """(word, log_odds): multinomial log-odds of every word of a labelled table (1 is positive, 0 negative).
 
     Counts are aggregated before the shuffle; the totals are a one-row subquery. Rows without a text or a label are left out.
+    With ``top`` only that many of the most frequent words are given, ties by word; the totals are still those of all words.
     """
     labelled = df.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
     words = _word_rows(labelled, text_col, label_col).withColumnRenamed(label_col, "_label")
@@ -66,20 +71,45 @@ def train_word_odds(df: DataFrame, text_col: str, label_col: str, smoothing: flo
     def log_share(kind: str) -> Column:
         return F.log((F.col(kind) + smoothing) / (total.getField(kind) + smoothing * total.getField("words")))
 
-    return counts.select("word", (log_share("pos") - log_share("neg")).alias("log_odds"))
+    given = counts if top is None else counts.orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(top)
+    return given.select("word", (log_share("pos") - log_share("neg")).alias("log_odds"))
+
+
+def odds_predictor(odds: DataFrame) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """The model of :func:`score_with_model` for texts of words separated by spaces: the score of ``score_word_odds``.
+
+    The table is collected and broadcast, so it must be bounded: learned with ``top``.
+    """
+    sent = odds.sparkSession.sparkContext.broadcast({r["word"]: r["log_odds"] for r in odds.collect()})
+
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        known = sent.value
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            total = np.array([sum(known.get(w, 0.0) for w in t.split(" ")) for t in texts], float)
+            return 1 / (1 + np.exp(-np.clip(total, -500.0, 500.0)))
+
+        return predict
+
+    return load
 
 
 def score_word_odds(df: DataFrame, id_col: str, text_col: str, odds: DataFrame) -> DataFrame:
     """``id_col``, ``log_odds`` (sum over the words of the text, unknown words 0) and ``sentiment_score``, per distinct id.
 
-    A word counts once per text and meets its odds with its frequency; words in very many texts are
-    spread over parts. A text without known words has odds 0 and the score 0.5; rows without an id are left out.
+    A table of at most ``FEW_WORDS`` words is broadcast to the texts. Of a larger one, a word counts once per text and
+    meets its odds with its frequency; words in very many texts are spread over parts. A text without known words has odds 0 and the score 0.5; rows without an id are left out.
     """
     rows = df.where(F.col(id_col).isNotNull())
     words = _word_rows(rows, text_col, id_col)
-    counts = stage(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")))
-    hot = hot_keys(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
-    parts = lookup_join(counts, odds, "word", hot)
+    odds = stage(odds)
+    if odds.count() <= FEW_WORDS:
+        # The words of a text meet their odds in the task that reads it; only sums per text are shuffled.
+        parts = words.join(F.broadcast(odds), "word").withColumn("n", F.lit(1))
+    else:
+        counts = stage(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")))
+        hot = hot_keys(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+        parts = lookup_join(counts, odds, "word", hot)
     sums = parts.groupBy(id_col).agg(F.sum(F.col("n") * F.col("log_odds")).alias("log_odds"))
     scored = rows.select(id_col).distinct().join(sums, id_col, "left")
     total = F.coalesce("log_odds", F.lit(0.0))

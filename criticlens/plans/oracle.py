@@ -506,6 +506,21 @@ FROM counted JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY word"""
         final=f"""SELECT doc_id, {r6('coalesce(odds, 0e0)', 'log_odds')},
   {r6('1 / (1 + exp(-greatest(least(coalesce(odds, 0e0), 500e0), -500e0)))', 'sentiment_score')}
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN summed USING (doc_id)""",
+    ),
+    "sentiment_batch_score": chain(
+        ("words", f"SELECT doc_id, unnest({words_of(cleaned('text'))}) AS word FROM documents"),
+        ("counted", "SELECT doc_id, word, count(*) AS n FROM words GROUP BY doc_id, word"),
+        (
+            "learned",
+            """SELECT word, coalesce(sum(n) FILTER (WHERE quality = 1), 0) AS pos, coalesce(sum(n) FILTER (WHERE quality = 0), 0) AS neg
+FROM counted JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY word""",
+        ),
+        ("totals", "SELECT sum(pos) AS p, sum(neg) AS q, count(*) AS v FROM learned"),
+        ("chosen", "SELECT * FROM learned ORDER BY pos + neg DESC, word LIMIT 20000"),
+        ("odds", "SELECT word, ln((pos + 1e0) / (p + 1e0 * v)) - ln((neg + 1e0) / (q + 1e0 * v)) AS odds FROM chosen, totals"),
+        ("summed", "SELECT doc_id, sum(n * odds) AS odds FROM counted JOIN odds USING (word) GROUP BY doc_id"),
+        final=f"""SELECT doc_id, {r6('1 / (1 + exp(-greatest(least(coalesce(odds, 0e0), 500e0), -500e0)))', 'sentiment_score')}
+FROM documents LEFT JOIN summed USING (doc_id)""",
     ),
     "sentiment_lexicon_score": chain(
         TEXT_REVIEWS, final=f"SELECT id, {r6(lexicon('text'), 'sentiment_score')} FROM text_reviews"
@@ -582,6 +597,12 @@ FROM gaps, (SELECT avg(gap) AS m, stddev_samp(gap) AS s FROM gaps)""",
         ("gaps", "SELECT *, score - sentiment_score * 5 AS gap FROM ratings"),
         final=f"""SELECT id, product_id, score, {r6('gap', 'sentiment_gap')}, {r6('(gap - m) / s', 'z_score')}
 FROM gaps, (SELECT avg(gap) AS m, stddev_samp(gap) AS s FROM gaps) WHERE abs((gap - m) / s) > 2 ORDER BY id LIMIT 10""",
+    ),
+    "outlier_extremes": chain(
+        RATINGS,
+        ("gaps", "SELECT *, score - sentiment_score * 5 AS gap FROM ratings"),
+        final=f"""SELECT id, product_id, score, {r6('gap', 'sentiment_gap')}, {r6('(gap - m) / s', 'z_score')}
+FROM gaps, (SELECT avg(gap) AS m, stddev_samp(gap) AS s FROM gaps) WHERE abs((gap - m) / s) > 2 ORDER BY abs((gap - m) / s) DESC, id LIMIT 25""",
     ),
     "sentiment_gap_histogram": chain(
         RATINGS,
@@ -807,6 +828,8 @@ FROM (SELECT *, o_orderkey % 10 NOT IN (3, 7) AS ok FROM orders)""",
     "event_volume_stream": """SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n
 FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1)
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "late_event_counts": """SELECT CAST(1 AS INT) AS delivery, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_late FROM events
+UNION ALL SELECT 2, count(*), count(*) FILTER (WHERE ts <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY) FROM events""",
     "deduplicated_stream": "SELECT event_id, user_id, event_type FROM events",
     "incremental_product_scores": chain(RATINGS, *SCORING, final=f"SELECT {TABLE} FROM scores"),
 }

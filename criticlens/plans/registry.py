@@ -232,6 +232,20 @@ def sentiment_word_model(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sentiment.score_word_odds(documents, "doc_id", "text", odds), "log_odds", "sentiment_score")
 
 
+# Words of the model that is sent to the executors.
+MODEL_WORDS = 20_000
+
+
+def sentiment_batch_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores in batches by a model of a bounded number of words, sent to the executors once."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    odds = sentiment.train_word_odds(documents.join(labels, "doc_id"), "text", "quality", top=MODEL_WORDS)
+    words = text_functions.with_tokens(documents, "text").select("doc_id", F.coalesce(F.array_join("_tokens", " "), F.lit("")).alias("words"))
+    scored = sentiment.score_with_model(words, "words", sentiment.odds_predictor(odds))
+    return rounded(scored.select("doc_id", "sentiment_score"), "sentiment_score")
+
+
 def sentiment_lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     scored = sentiment.lexicon_sentiment(text_reviews(spark, sf), "text", POLARITY)
     return rounded(scored.select("id", "sentiment_score"), "sentiment_score")
@@ -365,6 +379,11 @@ def outlier_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sample.select("id", "product_id", "score", "sentiment_gap", "z_score"), "sentiment_gap", "z_score")
 
 
+def outlier_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    sample = sentiment.outlier_sample(ratings(spark, sf), n=25, by="abs_z")
+    return rounded(sample.select("id", "product_id", "score", "sentiment_gap", "z_score"), "sentiment_gap", "z_score")
+
+
 def sentiment_gap_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(histograms(sentiment.sentiment_gap(ratings(spark, sf)), ["sentiment_gap"], 50), "bin_lo", "bin_hi")
 
@@ -600,6 +619,20 @@ def deduplicated_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _delivered_twice(spark, sf, "unique", lambda s: streams.deduplicate(s, ["event_id"], "ts", "1 day").select(*columns))
 
 
+def late_event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows read and rows too late, for a first and a second delivery of the events under one day of delay."""
+    ensure_settings(spark)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    source, target = scratch_path(spark, "late-in"), scratch_path(spark, "late")
+    counted = []
+    for delivery in (1, 2):
+        _deliver(events, source)
+        unique = streams.deduplicate(spark.readStream.schema(events.schema).parquet(source), ["event_id"], "ts", "1 day")
+        progress = streams.run_available(unique.select("event_id"), f"{target}-state", "append", streams.batch_folders(target))
+        counted.append((delivery, *streams.late_rows(progress)))
+    return spark.createDataFrame(counted, "delivery int, n_rows long, n_late long")
+
+
 def incremental_product_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Sums updated file by file, scored under the prior of the batch table."""
     reviews = ratings(spark, sf).select("product_id", "helpfulness_numerator", "helpfulness_denominator", "score")
@@ -654,9 +687,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_fields, page_links, page_key_values, page_fill_rate, page_sections,
         page_lists, page_bullets, page_ratings, page_comments,
         product_features, score_polarization, clean_text, tokenize, keywords,
-        sentiment_model_score, sentiment_lexicon_score, review_time_parts, score_distribution_columns,
+        sentiment_model_score, sentiment_lexicon_score, sentiment_batch_score, review_time_parts, score_distribution_columns,
         marketing_tone, reading_ease, clean_reviews, cleaning_report, table_profile, merge_reviews,
-        sentiment_outliers, sentiment_gap_stats, outlier_sample, sentiment_gap_histogram,
+        sentiment_outliers, sentiment_gap_stats, outlier_sample, outlier_extremes, sentiment_gap_histogram,
         monthly_review_volume, yearly_review_count, rating_heatmap,
         negative_reviews, negative_keywords_clean, negative_keyword_top, negative_text_keyword_top,
         negative_reason_categories, negative_category_share, product_top_issues, product_keyword_counts,
@@ -665,7 +698,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         correlation_p_values, spearman_images, spearman_description_length, spearman_marketing, spearman_reading_ease,
         spearman_description_items, correlated_item_summary, feature_histograms, score_density, price_density,
         observed_cleaning_report, yearly_cleaning_rounds, quarantined_reviews,
-        event_volume_stream, deduplicated_stream, incremental_product_scores, restarted_product_scores,
+        event_volume_stream, deduplicated_stream, late_event_counts, incremental_product_scores, restarted_product_scores,
     )
 }
 QUERIES["helpfulness_index"] = helpfulness

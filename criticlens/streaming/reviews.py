@@ -105,3 +105,12 @@ def run_available(
     finally:
         spark.conf.set(_PROVIDER, before)
     return list(query.recentProgress)
+
+
+def late_rows(progress: Sequence[dict]) -> tuple[int, int]:
+    """Rows read, and rows that came too late for the state, over the batches of a run.
+
+    Exact where rows reach the state as they are (deduplication); an aggregate counts its late groups of each task instead.
+    """
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+    return sum(p["numInputRows"] for p in progress), dropped

@@ -40,3 +40,19 @@ def test_word_odds_by_hand(spark):
     assert scored[1]["sentiment_score"] == pytest.approx(1 / (1 + math.exp(-scored[1]["log_odds"])))
     assert [scored[k]["sentiment_score"] for k in (3, 4)] == [0.5, 0.5] and scored[2]["sentiment_score"] < 0.5
     assert sentiment.train_word_odds(df.where("id > 9"), "text", "label").count() == 0
+
+
+def test_few_and_many_words_score_alike(spark, monkeypatch):
+    """A broadcast table of odds and a joined one; and the same model applied in batches."""
+    rows = [(k, " ".join(f"w{(k * j) % 23}" for j in range(k % 17)) if k % 5 else None, k % 2) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    odds = sentiment.train_word_odds(df, "text", "label")
+    scores = lambda: {r["id"]: round(r["sentiment_score"], 9) for r in sentiment.score_word_odds(df, "id", "text", odds).collect()}
+    few = scores()
+    monkeypatch.setattr(sentiment, "FEW_WORDS", 0)
+    assert scores() == few and len(few) == 200
+    words = df.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    batches = sentiment.score_with_model(words, "text", sentiment.odds_predictor(odds), batch_size=7).collect()
+    assert {r["id"]: round(r["sentiment_score"], 9) for r in batches} == few
+    top = sentiment.train_word_odds(df, "text", "label", top=3).collect()
+    assert len(top) == 3 and {r["word"] for r in top} <= {r["word"] for r in odds.collect()}
