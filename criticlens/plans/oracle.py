@@ -442,6 +442,14 @@ FROM parts""",
         ("cut", "SELECT page_id, i, string_split(concat(label, ' : ', address), ':') AS p FROM bullets"),
         final="""SELECT page_id, trim(p[1]) AS label, arg_max(array_to_string(list_transform(p[2:], lambda x: trim(x)), ':'), i) AS value
 FROM cut GROUP BY page_id, trim(p[1])""",
+    ),
+    "product_files_load": chain(
+        ("parts", views.PAGE_PARTS),
+        final=f"""SELECT {plain('title')} AS product_title, array_to_string(list_transform(labels, lambda x: {plain('x')}), '|') AS category,
+  array_to_string(list_transform(list_filter(range(len(labels)), lambda i: i % 3 <> 2),
+    lambda i: concat('https://m.media-amazon.com/images/I/', page_id * 100 + i, '.jpg')), '|') AS alt_images,
+  CAST(len(list_filter(range(len(labels)), lambda i: i % 3 <> 2)) AS INT) AS count_alt_images, CAST(len(paragraphs) AS INT) AS n_comments, TRUE AS named
+FROM parts WHERE page_id % 10 NOT IN (4, 9)""",
     ),
     "page_ratings": "SELECT page_id, " + ", ".join(
         f"CASE WHEN page_id % 7 <> 0 THEN concat({v}) END AS {n}"
@@ -833,3 +841,6 @@ UNION ALL SELECT 2, count(*), count(*) FILTER (WHERE ts <= date_trunc('milliseco
     "deduplicated_stream": "SELECT event_id, user_id, event_type FROM events",
     "incremental_product_scores": chain(RATINGS, *SCORING, final=f"SELECT {TABLE} FROM scores"),
 }
+
+# Documents written and loaded again give the same reviews.
+ORACLE["enriched_reviews"] = ORACLE["merge_reviews"]

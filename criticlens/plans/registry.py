@@ -98,6 +98,18 @@ def product_json_load(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def product_files_load(spark: SparkSession, sf: str) -> DataFrame:
+    """One document per file, some empty and some cut off in the middle; the id is the file's name."""
+    found = pages.extract_pages(views.load(spark, sf, views.PRODUCT_PAGES))
+    document = F.to_json(F.struct(*[c for c in found.columns if c != "page_id"]))
+    text = F.when(F.col("page_id") % 10 == 4, "{}").when(F.col("page_id") % 10 == 9, F.substring(document, F.lit(1), F.length(document) - 5)).otherwise(document)
+    path = scratch_path(spark, "product-files")
+    found.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    loaded = jobs.load_products(spark, path)
+    named = F.col("product_id").rlike("^part-[0-9a-f-]+-c[0-9]+$").alias("named")
+    return joined(loaded.select("product_title", "category", "alt_images", "count_alt_images", F.size("top_comments").alias("n_comments"), named), "category", "alt_images")
+
+
 def pending_products(spark: SparkSession, sf: str) -> DataFrame:
     """Order keys stand for reviewed products: the small ones are known parts, the others are not."""
     parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("product_id"))
@@ -300,6 +312,18 @@ def merge_reviews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def enriched_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews and the comments of product documents that were written and loaded again, by the end-to-end jobs."""
+    path = scratch_path(spark, "commented")
+    # A document needs a title, or it counts as that of a failed page.
+    product_files.write_products(views.commented_products(spark, sf).withColumn("product_title", F.col("product_id")), path)
+    reviews = text_reviews(spark, sf).withColumn("review_time", F.timestamp_seconds("time")).drop("time", "sentiment_score")
+    return jobs.enrich_reviews(reviews, jobs.load_products(spark, path, one_per_file=False)).select(
+        "id", "product_id", "user_id", "helpfulness_numerator", "helpfulness_denominator", "score", "review_time",
+        "summary", "text",
+    )
+
+
 # --- scores --------------------------------------------------------------------------------
 
 _SUMS = ["mean_score", "sum_weight_simple", "sum_wscore_simple", "sum_weight_smooth", "sum_wscore_smooth"]
@@ -683,12 +707,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         bayesian_product_scores, bayesian_offer_scores, product_weight_sums, weighted_product_scores, review_weights,
         impossible_votes, product_score_merge, score_preview, score_sample, single_review_product, best_reviewed_product,
-        reviews_csv_roundtrip, read_cleaned_reviews, product_json_load, pending_products, pending_rounds,
+        reviews_csv_roundtrip, read_cleaned_reviews, product_json_load, product_files_load, pending_products, pending_rounds,
         page_fields, page_links, page_key_values, page_fill_rate, page_sections,
         page_lists, page_bullets, page_ratings, page_comments,
         product_features, score_polarization, clean_text, tokenize, keywords,
         sentiment_model_score, sentiment_lexicon_score, sentiment_batch_score, review_time_parts, score_distribution_columns,
-        marketing_tone, reading_ease, clean_reviews, cleaning_report, table_profile, merge_reviews,
+        marketing_tone, reading_ease, clean_reviews, cleaning_report, table_profile, merge_reviews, enriched_reviews,
         sentiment_outliers, sentiment_gap_stats, outlier_sample, outlier_extremes, sentiment_gap_histogram,
         monthly_review_volume, yearly_review_count, rating_heatmap,
         negative_reviews, negative_keywords_clean, negative_keyword_top, negative_text_keyword_top,
