@@ -7,9 +7,12 @@ of the words around it. Candidates that touch form a cluster; a dynamic programm
 boundaries finds the best set of disjoint typed segments, or none. A segment is at most
 ``MAX_SPAN`` characters; a text may be of any length.
 
-The weights maximise the likelihood of the base rules' labels on the candidates of at most ``SAMPLE``
-documents, the first by a hash of the id (distant supervision; the partition function is the same
-dynamic programme with sums). Everything else reads every text in full. Base spans always stay; a
+The weights maximise the likelihood of labelled snippets (distant supervision; the partition function is the same
+dynamic programme with sums). Snippets come from at most ``SAMPLE`` documents, the first by a hash of the id, and at most
+``SNIPPETS`` clusters of each, with ``MARGIN`` characters around. Their labels are the base spans; each base span is also
+rewritten the way people write such data past the rules (other separators, spelt-out signs, no plus), which keeps its label, and
+into look-alikes that lose it (a wrong check digit, an octet above 255, a bare number), so that the model learns shapes and contexts
+instead of the rules themselves. Everything else reads every text in full. Base spans always stay; a
 model span is added only where no base span is.
 
 Defined results: NULL and empty texts have no spans; spans of different kinds may overlap when the base rules
@@ -22,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +37,10 @@ from criticlens.llm.words import ship
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
+SNIPPETS = 16
+MARGIN = 40
 MAX_SPAN = 80
-EPOCHS = 12
+EPOCHS = 6
 
 # The base rules.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -46,6 +53,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Looser candidates of the model.
 _AT_WORD = re.compile(r"[A-Za-z0-9._%+-]{1,40} ?[(\[{]at[)\]}] ?[A-Za-z0-9-]{1,30}(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]{1,30}){1,4}", re.I)
+_AT_SIGN = re.compile(r"[(\[{]at[)\]}]", re.I)
 _NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,24}(?![0-9])")
 _GROUPS = re.compile(r"[0-9]+")
 # Words before a span that hint at its kind.
@@ -108,7 +116,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     found = set()
     if "@" in text:
         found.update((s, e) for _, s, e in _emails(text) if e - s <= MAX_SPAN)
-    if "(at)" in text or "[at]" in text or "{at}" in text or "AT" in text:
+    if _AT_SIGN.search(text):
         found.update(m.span() for m in _AT_WORD.finditer(text) if m.end() - m.start() <= MAX_SPAN)
     for m in _NUMBER.finditer(text):
         start, end = m.span()
@@ -140,7 +148,9 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
         f"luhn={n >= 13 and luhn(digits)}&{size}",
         f"octets={len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)}&{seps}",
         f"letters={any(c.isalpha() for c in piece)}",
-        f"at={'@' in piece or '(at)' in piece.lower() or '[at]' in piece.lower()}",
+        f"at={'@' in piece or bool(_AT_SIGN.search(piece))}",
+        f"signs={seps}&{size}&groups={min(len(groups), 6)}",
+        f"zeros={digits[:2] == '00'}&{size}",
         f"left={text[start - 1 : start] in ('', ' ', chr(10), ':', '(')}",
         f"right={text[end : end + 1] in ('', ' ', chr(10), '.', ',', ')')}",
     ]
@@ -231,9 +241,13 @@ class SpanModel:
         """Spans of the model that meet no base span."""
         if not text or not ("@" in text or "at" in text.lower() or _DIGIT.search(text)):
             return []
-        free = [
-            span for span in candidates(text) if not any(span[0] < e and s < span[1] for _, s, e in base)
-        ]
+        free, taken = [], sorted((s, e) for _, s, e in base)
+        reach = list(accumulate((e for _, e in taken), max))
+        for span in candidates(text):
+            # Base spans that begin before this one ends, and the furthest end among them.
+            k = bisect_left(taken, (span[1], -1))
+            if not k or reach[k - 1] <= span[0]:
+                free.append(span)
         return [found for group in clusters(free) for found in self.best(text, group)]
 
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
@@ -243,11 +257,53 @@ class SpanModel:
         return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if more else base
 
 
+def rewritten(kind: str, piece: str, turn: int) -> tuple[str, str]:
+    """A base span as people write it past the rules, and a look-alike that is none; ``turn`` picks the way."""
+    digits = _GROUPS.findall(piece)
+    whole = "".join(digits)
+    if kind == "email":
+        at = (" (at) ", "[at]", " [AT] ", "(at)")[turn % 4]
+        dot = (".", " [dot] ", " (dot) ", "[dot]")[turn // 4 % 4]
+        local, domain = piece.split("@", 1)
+        return f"{local}{at}{domain.replace('.', dot)}", f"{local} at {domain.split('.')[0]}"
+    if kind == "ip":
+        wrong = [*digits[:-1], str(256 + turn % 700)]
+        return ("-", " . ", "/")[turn % 3].join(digits).replace(" . ", ". "), ".".join(wrong)
+    if kind == "card":
+        groups = [whole[k : k + 4] for k in range(0, len(whole), 4)]
+        other = whole[:-1] + str((int(whole[-1]) + 1 + turn % 9) % 10)
+        return (".", " - ", "/", "  ")[turn % 4].replace(" - ", " -").join(groups), (other, " ".join(other[k : k + 4] for k in range(0, len(other), 4)))[turn % 2]
+    cut = (whole[:2], whole[2:5], whole[5:])
+    ways = (f"00{cut[0]} {cut[1]} {cut[2]}", f"({cut[0]}) {cut[1]}-{cut[2]}", f"0{cut[1]}/{cut[2]}", f"({cut[0]}{cut[1]}) {cut[2]}")
+    return ways[turn % 4], (whole, f"{whole[:4]}-{whole[4:6]}-{whole[6:8]}", f"{whole[:3]}.{whole[3:]}")[turn % 3]
+
+
+def snippets(text: str, most: int = SNIPPETS) -> list[str]:
+    """The surroundings of the first clusters of candidates and base spans of a text."""
+    spans = sorted({*candidates(text), *((s, e) for _, s, e in base_spans(text) if e - s <= MAX_SPAN)})
+    return [text[max(0, group[0][0] - MARGIN) : max(e for _, e in group) + MARGIN] for group in clusters(spans)[:most] if group[-1][1] - group[0][0] <= 4 * MAX_SPAN]
+
+
+def examples(texts: list[str]) -> list[tuple[str, set[Span]]]:
+    """Labelled texts: each as it is, and with each of its base spans rewritten, once to a span and once to none."""
+    found = []
+    for k, text in enumerate(texts):
+        gold = base_spans(text)
+        found.append((text, set(gold)))
+        for n, (kind, s, e) in enumerate(gold):
+            if any(s < e2 and s2 < e for _, s2, e2 in gold[:n] + gold[n + 1 :]):
+                continue
+            for label, piece in zip((True, False), rewritten(kind, text[s:e], 7 * k + n)):
+                moved = len(piece) - (e - s)
+                other = {(k2, s2 + moved * (s2 >= e), e2 + moved * (s2 >= e)) for k2, s2, e2 in gold if (s2, e2) != (s, e)}
+                found.append((text[:s] + piece + text[e:], other | ({(kind, s, s + len(piece))} if label else set())))
+    return found
+
+
 def train(texts: list[str], epochs: int = EPOCHS) -> SpanModel:
-    """Maximum likelihood by stochastic steps (AdaGrad) over the clusters of the texts, in order."""
+    """Maximum likelihood by stochastic steps (AdaGrad) over the clusters of the labelled texts, in order."""
     data = []
-    for text in texts:
-        gold = set(base_spans(text))
+    for text, gold in examples(texts):
         for group in clusters(candidates(text)):
             data.append(([(s, e, k, features(text, s, e, k)) for s, e in group for k in KINDS], gold))
     # A segment is no entity unless the data say so.
@@ -261,14 +317,20 @@ def train(texts: list[str], epochs: int = EPOCHS) -> SpanModel:
     return model
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch["doc_id"], pa.array([snippets(t) for t in batch["text"].to_pylist()], pa.list_(pa.string()))], names=["doc_id", "parts"])
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> SpanModel:
-    """Fit the field on at most ``sample`` documents that hold a digit or an at sign."""
-    texts = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    # The sample is of ids; only their texts are collected.
+    """Fit the field on snippets of at most ``sample`` documents that hold a digit or an at sign."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike("[0-9@]"))
+    # The sample is of ids; only snippets of their texts are collected.
     ids = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").orderBy("doc_id", "text").limit(sample).collect()
-    return train([r["text"] for r in rows])
+    chosen = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(_cut, "doc_id long, parts array<string>")
+    rows = chosen.orderBy("doc_id", F.concat_ws("\n", "parts")).limit(sample).collect()
+    return train([t for r in rows for t in r["parts"]])
 
 
 def span_text(spans: list[Span]) -> str:
