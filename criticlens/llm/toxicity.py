@@ -37,6 +37,8 @@ THRESHOLD = 0.3
 STEM_LENGTHS = (3, 10)
 NEGATION_REACH = 3
 TARGET_REACH = 4
+GAIN = 1.0
+LEAST_WEIGHT = 3.0
 
 # The words of the grammar.
 INSULTS = "idiot moron stupid scum trash loser pathetic worthless disgusting clown imbecile bastard".split()
@@ -66,6 +68,72 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Classes of a token; each also comes as a word of reported speech.
+KINDS = ("other", "insult", "threat", "target", "negation")
+
+
+def symbol(kind: str, reports: bool) -> int:
+    return 2 * KINDS.index(kind) + reports
+
+
+class Transducer:
+    """A finite-state transducer over token symbols.
+
+    ``follow[s][x]`` is the state after reading x in state s, ``says[s][x]`` what it says of that token; ``states`` names the
+    states, by one number per transducer that it was composed of.
+    """
+
+    def __init__(self, states: list[tuple[int, ...]], follow: list[list[int]], says: list[list[tuple[int, ...]]]):
+        self.states, self.follow, self.says = states, follow, says
+
+    @classmethod
+    def of(cls, size: int, follow, says) -> Transducer:
+        """From functions of (state, kind, reports)."""
+        inputs = [(kind, reports) for kind in KINDS for reports in (False, True)]
+        table = lambda f: [[f(s, *x) for x in inputs] for s in range(size)]
+        return cls([(s,) for s in range(size)], table(follow), [[(int(y),) for y in row] for row in table(says)])
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """Both at once: the reachable pairs of states, and what both say."""
+        pairs, place = [(0, 0)], {(0, 0): 0}
+        follow, says = [], []
+        for a, b in pairs:  # grows while it is read
+            row = []
+            for x, y in zip(self.follow[a], other.follow[b]):
+                if (x, y) not in place:
+                    place[x, y] = len(pairs)
+                    pairs.append((x, y))
+                row.append(place[x, y])
+            follow.append(row)
+            says.append([x + y for x, y in zip(self.says[a], other.says[b])])
+        return Transducer([self.states[a] + other.states[b] for a, b in pairs], follow, says)
+
+    def run(self, symbols: list[int]) -> tuple[list[tuple[int, ...]], int]:
+        """What it says of each symbol, and the last state."""
+        state, said = 0, []
+        for x in symbols:
+            said.append(self.says[state][x])
+            state = self.follow[state][x]
+        return said, state
+
+
+def matcher(kind: str) -> Transducer:
+    """Says 1 of the tokens of a kind."""
+    return Transducer.of(1, lambda s, k, r: 0, lambda s, k, r: k == kind)
+
+
+def within(kind: str, reach: int) -> Transducer:
+    """Says 1 while a token of the kind was among the last ``reach``; the state is how many tokens that still holds for."""
+    return Transducer.of(reach + 1, lambda s, k, r: reach if k == kind else max(s - 1, 0), lambda s, k, r: s > 0)
+
+
+TARGET = within("target", TARGET_REACH)
+#: Reported speech is known at the end of a clause: its state is the last of a state's numbers.
+REPORT = Transducer.of(2, lambda s, k, r: int(s or r), lambda s, k, r: 0)
+_FIVE = matcher("insult") @ matcher("threat") @ within("negation", NEGATION_REACH) @ TARGET
+CLAUSE = Transducer(*(lambda t: (t.states, t.follow, [[y[:-1] for y in row] for row in t.says]))(_FIVE @ REPORT))
+
+
 class Grammar:
     """The composed transducers with their weights; small, and sent to every task."""
 
@@ -116,34 +184,25 @@ class Grammar:
         return np.append(np.minimum(out, FULL) * (4 / FULL), np.log1p(1000 * out.sum() / len(text)))
 
     def _read(self, text: str, begin: int, stop: int, found: dict, out: np.ndarray) -> None:
-        """Run the composition over one clause and add what its matches weigh."""
-        negated = aimed = reported = 0
-        waiting: list[tuple[str, float, bool, int]] = []
-        done: list[tuple[str, float, bool, bool]] = []
+        """Run the composition over one clause, and the target transducer once more from its end, and add what the matches weigh."""
+        symbols, hits = [], []
         for token in _TOKEN.finditer(text, begin, stop):
-            word = token[0]
-            hit = found.get(token.start())
-            reported = reported or word in REPORTS or word in "\"“”«»"
+            word, hit = token[0], found.get(token.start())
             if hit:
-                if aimed or hit[0] == "threat":
-                    done.append((*hit, negated > 0, aimed > 0)) if aimed else waiting.append((*hit, negated > 0, TARGET_REACH))
-                else:
-                    waiting.append((*hit, negated > 0, TARGET_REACH))
-            elif word in TARGETS:
-                done += [(kind, weight, no, True) for kind, weight, no, _ in waiting]
-                waiting, aimed = [], TARGET_REACH + 1
-            elif word in NEGATIONS:
-                negated = NEGATION_REACH + 1
-            waiting, late = [(*w[:3], w[3] - 1) for w in waiting if w[3] > 0], [w for w in waiting if w[3] <= 0]
-            done += [(*w[:3], False) for w in late]
-            negated, aimed = max(negated - 1, 0), max(aimed - 1, 0)
-        done += [(*w[:3], False) for w in waiting]
-        for kind, weight, no, at in done:
-            if kind == "threat":
-                reading = 4 if at and not no and not reported else 5
+                hits.append((len(symbols), hit[1]))
+            kind = hit[0] if hit else "target" if word in TARGETS else "negation" if word in NEGATIONS else "other"
+            symbols.append(symbol(kind, word in REPORTS or word in "\"“”«»"))
+        said, state = CLAUSE.run(symbols)
+        ahead, _ = TARGET.run(symbols[::-1])
+        reported = CLAUSE.states[state][-1] > 0
+        for at, weight in hits:
+            insult, threat, denied, before = said[at]
+            aimed = before or ahead[len(symbols) - 1 - at][0]
+            if threat:
+                reading = 4 if aimed and not denied and not reported else 5
             else:
-                reading = 2 if no else 3 if reported else 1 if at else 0
-            out[reading] += weight
+                reading = 2 if denied else 3 if reported else 1 if aimed else 0
+            out[reading] += weight * (insult or threat)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -50, 50)))
@@ -154,8 +213,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    # At most ``sample`` rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    # At most ``sample`` rows of two numbers; of several texts under one id, one counts.
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return joined.groupBy("_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +257,7 @@ def learn_stems(sample: DataFrame, max_stems: int = MAX_STEMS) -> dict[str, tupl
             F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - base))
         ).otherwise(0.0)
         known = tried.select("stem", "pos", "neg", odds.alias("weight"), gain.alias("gain"))
-        strong = (F.col("pos") > 0) & (F.col("gain") >= math.log(n_tried + 1)) & (F.col("weight") >= 3.0)
+        strong = (F.col("pos") > 0) & (F.col("gain") >= GAIN * math.log(n_tried + 1)) & (F.col("weight") >= LEAST_WEIGHT)
         found = known.where(strong).orderBy(F.desc("gain"), "stem").limit(max_stems).collect()
         seeded = known.where(F.col("stem").isin(list(seeds))).collect()
     finally:

@@ -271,6 +271,32 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert right[1, 1] >= 0.6 * (right[1, 1] + right[1, 0]) and right[0, 1] <= 0.02 * right[0, 0]
 
 
+def test_composition_equals_distances():
+    """What the composed transducers say of a match, against the distances to targets and negations of its clause."""
+    random = Random(6)
+    stems = {"moron": ("insult", 1.0), "kill": ("threat", 1.0)}
+    grammar = toxicity.Grammar(stems, toxicity.PRIOR)
+    words = ["moron", "kill", "you", "not", "said", "a", "b", "c", '"']
+    for _ in range(2000):
+        clause = random.choices(words, k=random.randint(0, 14))
+        out = dict.fromkeys(toxicity.READINGS, 0.0)
+        reported = "said" in clause or '"' in clause
+        for i, w in enumerate(clause):
+            near = lambda x, reach, ahead: x in clause[max(0, i - reach) : i] or (ahead and x in clause[i + 1 : i + 1 + reach])  # noqa: B023, E731
+            aimed, denied = near("you", toxicity.TARGET_REACH, True), near("not", toxicity.NEGATION_REACH, False)
+            if w == "moron":
+                out["insult_denied" if denied else "insult_reported" if reported else "insult_aimed" if aimed else "insult"] += 1
+            elif w == "kill":
+                out["threat_aimed" if aimed and not denied and not reported else "threat_other"] += 1
+        got = grammar.features(" ".join(clause) + " ")[:-1] * (toxicity.FULL / 4)
+        assert got.tolist() == pytest.approx(list(out.values()))
+    parts = [toxicity.within("target", 2), toxicity.within("negation", 3), toxicity.matcher("insult")]
+    whole = parts[0] @ parts[1] @ parts[2]
+    for _ in range(200):
+        symbols = random.choices(range(2 * len(toxicity.KINDS)), k=12)
+        assert whole.run(symbols)[0] == [a + b + c for a, b, c in zip(*(p.run(symbols)[0] for p in parts))]
+
+
 def test_readings_and_odd_rows(spark, awkward, nothing):
     grammar = toxicity.Grammar({w: ("insult", 8.0) for w in toxicity.INSULTS} | {"kill": ("threat", 8.0)}, toxicity.PRIOR)
     score = lambda t: float(grammar.score(grammar.features(t)[None])[0])
