@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from html.entities import name2codepoint
+from collections.abc import Callable, Mapping
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,18 +129,22 @@ def base_images(urls: Column, prefix: str = IMAGE_PREFIX, suffix: str = IMAGE_SU
 
 # --- sections --------------------------------------------------------------------------------------
 
-# A character reference, and the named ones of HTML 4 as the standard library lists them.
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+# A character reference, and the named ones of HTML 4 as the standard library lists them. Those that HTML also knows without the
+# semicolon are found where a text was cut off, or goes on.
+_LEGACY = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n)))
+_REFERENCE = rf"&(?:#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?|[A-Za-z][A-Za-z0-9]{{1,7}};|(?:{_LEGACY}))"
 _IMAGE = r"""(?is)<img(?=[\s/])[^<>]*?\ssrc\s*=\s*["']([^"'<>]*)["']"""
 
 
 def decode_references(text: Column) -> Column:
     """Character references as the characters they stand for, each once; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    # One literal that is folded to a map, instead of some five hundred expressions at every use.
+    listed = ";".join(f"{name}={chr(code)}" for name, code in name2codepoint.items())
+    names = F.str_to_map(F.lit(listed), F.lit(";"), F.lit("="))
     parts, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
 
     def character(reference: Column) -> Column:
-        inside = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        inside = F.substring_index(F.substring(reference, F.lit(2), F.length(reference)), ";", 1)
         hexadecimal = F.lower(F.substring(inside, 2, 1)) == "x"
         digits = F.when(hexadecimal, F.conv(F.substring(inside, F.lit(3), F.length(inside)), 16, 10)).otherwise(F.substring(inside, F.lit(2), F.length(inside)))
         code = F.when(inside.startswith("#"), digits.try_cast("int"))
@@ -169,6 +173,11 @@ def open_tag(selector: tuple) -> str:
     return rf"<{tag}(?=\s)(?=[^<>]*\s{attribute}\s*=\s*(?:{quoted}))[^<>]*>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def until_closed(rest: Column, tag: str) -> Column:
     """What follows an open tag up to its end tag: where tags of its name are balanced, else the end of the page.
 
@@ -184,14 +193,14 @@ def until_closed(rest: Column, tag: str) -> Column:
         depth, at = s["depth"] + change, s["at"] + 1
         return F.struct(depth.alias("depth"), at.alias("at"), F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"]).alias("end"))
 
-    end = F.aggregate(pieces, state, step, lambda s: F.when(s["end"] > 0, s["end"] - 1).otherwise(s["at"]))
-    return F.array_join(F.slice(pieces, F.lit(1), end), "")
+    end = lambda p: F.aggregate(p, state, step, lambda s: F.when(s["end"] > 0, s["end"] - 1).otherwise(s["at"]))
+    return once(pieces, lambda p: F.array_join(F.slice(p, F.lit(1), end(p)), ""))
 
 
 def element(html: Column, selector: tuple) -> Column:
     """The inside of the first element that ``selector`` means; NULL without one."""
-    pattern = "(?is)" + open_tag(selector)
-    return F.when(html.rlike(pattern), until_closed(F.regexp_extract(html, pattern + "(.*)", 1), selector[0]))
+    after = F.slice(F.split(html, "(?is)" + open_tag(selector), 2), 2, 1)
+    return F.get(F.transform(after, lambda rest: until_closed(rest, selector[0])), F.lit(0))
 
 
 def elements(html: Column, selector: tuple) -> Column:
@@ -257,7 +266,9 @@ def page_comments(html: Column, at: Mapping[str, tuple]) -> Column:
     or_empty = lambda text: F.coalesce(_strip(text), F.lit(""))
 
     def comment(li: Column) -> Column:
-        title = element(li, at["review_title"])
+        return once(element(li, at["review_title"]), lambda title: parts(li, title))
+
+    def parts(li: Column, title: Column) -> Column:
         return F.struct(
             or_empty(F.substring_index(text_of(element(li, at["review_date"])), "on", -1)).alias("date"),
             _strip(text_of(F.try_element_at(elements(title, ("span", None, None)), F.lit(-1)))).alias("title"),
@@ -273,12 +284,13 @@ def page_comments(html: Column, at: Mapping[str, tuple]) -> Column:
 def extract_pages(df: DataFrame, html_col: str = "html", selectors: Mapping[str, tuple] = PRODUCT) -> DataFrame:
     """Product documents from raw pages; the other columns of ``df`` are kept, pages without a product title dropped."""
     at = dict(selectors)
-    visible = df.withColumn(html_col, visible_html(F.col(html_col)))
+    others = [c for c in df.columns if c != html_col]
+    visible = add_once(df.select(*others, F.col(html_col).alias("_html")), {html_col: visible_html(F.col("_html"))}).drop("_html")
     titled = add_once(visible, {"_title": text_of(element(F.col(html_col), at["title"]))}).where(F.col("_title").isNotNull())
     html = F.col(html_col)
     or_empty = lambda name: F.coalesce(_strip(text_of(element(html, at[name]))), F.lit(""))
     return titled.select(
-        *[c for c in df.columns if c != html_col],
+        *others,
         _strip(F.col("_title")).alias("product_title"),
         or_empty("byline").alias("byline_info"),
         or_empty("description").alias("product_description"),

@@ -102,9 +102,11 @@ def product_files_load(spark: SparkSession, sf: str) -> DataFrame:
     """One document per file, some empty and some cut off in the middle; the id is the file's name."""
     found = pages.extract_pages(views.load(spark, sf, views.PRODUCT_PAGES))
     document = F.to_json(F.struct(*[c for c in found.columns if c != "page_id"]))
-    text = F.when(F.col("page_id") % 10 == 4, "{}").when(F.col("page_id") % 10 == 9, F.substring(document, F.lit(1), F.length(document) - 5)).otherwise(document)
+    documents = stage(found.select("page_id", document.alias("document")))
+    cut = F.expr("substring(document, 1, length(document) - 5)")
+    text = F.when(F.col("page_id") % 10 == 4, "{}").when(F.col("page_id") % 10 == 9, cut).otherwise(F.col("document"))
     path = scratch_path(spark, "product-files")
-    found.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    documents.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     loaded = jobs.load_products(spark, path)
     named = F.col("product_id").rlike("^part-[0-9a-f-]+-c[0-9]+$").alias("named")
     return joined(loaded.select("product_title", "category", "alt_images", "count_alt_images", F.size("top_comments").alias("n_comments"), named), "category", "alt_images")
