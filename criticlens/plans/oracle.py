@@ -807,14 +807,6 @@ UNION ALL SELECT l_returnflag, floor(place) + 1, place - floor(place) FROM dealt
         final=f"""SELECT g.l_returnflag, CAST(point AS INT) AS point, {r6('any_value(x)', 'x')},
   {r6('sum(w * exp(-0.5e0 * power((x - (lo + k * (hi - lo) / m)) / h, 2))) / any_value(n * h * sqrt(2 * pi()))', 'density')}
 FROM grid g JOIN knots c ON c.l_returnflag = g.l_returnflag GROUP BY g.l_returnflag, point""",
-    ),
-    "observed_cleaning_report": chain(
-        TEXT_REVIEWS,
-        ("complete", "SELECT * FROM text_reviews WHERE text IS NOT NULL AND score IS NOT NULL AND product_id IS NOT NULL"),
-        ("kept", "SELECT count(*) AS n FROM (SELECT DISTINCT product_id, user_id, score FROM complete)"),
-        final="""SELECT count(*) AS rows_read, count(*) - (SELECT count(*) FROM complete) AS rows_missing,
-  (SELECT count(*) FROM complete) - (SELECT n FROM kept) AS rows_duplicate, (SELECT n FROM kept) AS rows_kept, count(text) AS n_text
-FROM text_reviews""",
     ),
     "yearly_cleaning_rounds": chain(
         TEXT_REVIEWS,

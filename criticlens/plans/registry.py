@@ -723,7 +723,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         average_rank, description_item_counts, score_bins, description_length_bins, image_count_quality,
         correlation_p_values, spearman_images, spearman_description_length, spearman_marketing, spearman_reading_ease,
         spearman_description_items, correlated_item_summary, feature_histograms, score_density, price_density,
-        observed_cleaning_report, yearly_cleaning_rounds, quarantined_reviews,
+        yearly_cleaning_rounds, quarantined_reviews,
         event_volume_stream, deduplicated_stream, late_event_counts, incremental_product_scores, restarted_product_scores,
     )
 }
