@@ -127,4 +127,9 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack, PACK_SCHEMA))
 
 
+def bucket_count(packs: DataFrame, least: int, size: int) -> int:
+    """Number of hash buckets for written ``packs``: one per ``size`` bytes of text, so a bucket stays as small at every input."""
+    return max(least, packs.count() * PACK_BYTES // size)
+
+
 ship(__name__)

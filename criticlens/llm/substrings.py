@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from criticlens.llm.packs import (
     BITS,
+    bucket_count,
     bucket_keys,
     by_bucket,
     decode_bits,
@@ -44,6 +45,8 @@ from criticlens.session import shuffle_width, stage
 
 BLOCK = 25
 WINDOW = 2 * BLOCK
+#: Text per hash bucket.
+BUCKET_BYTES = 64 << 20
 
 # The columns between the steps.
 _ASK = "bucket int, pack long, keys binary, many binary, anchors binary"
@@ -257,8 +260,8 @@ _STEP_ARROW = pa.schema(
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of ``docs``."""
-    buckets = 2 * shuffle_width(docs.sparkSession)
     packs = pack_documents(docs)
+    buckets = bucket_count(packs, 2 * shuffle_width(docs.sparkSession), BUCKET_BYTES)
     told = packs.mapInArrow(_ask(buckets), _ASK).groupBy("bucket").applyInArrow(_tell, _TELL)
     step = stage(packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_extend(buckets), _STEP))
     finished = step.where("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -11,7 +11,9 @@ document that meet become one span.
 Sorting is done twice, by the words to the right and then by those to the left, so that a partner that
 shares more on one side does not hide one that shares enough on both. A suffix carries 16 bits
 per word, ``LENGTH`` words to the right and ``LENGTH - SEED`` to the left; longer repeats show at
-several positions. Neighbours of one document are passed over: a repeat is between documents.
+several positions. Neighbours of one document are passed over: a repeat is between documents. A sorted range
+is streamed, and a run of one document at its edge is compared with the nearest other document beyond it,
+over as many ranges as the run fills.
 
 Defined results: NULL, empty and short texts have no repeats; rows without an id count as one document, and
 so do repeated rows of one id; equal places of many documents are all reported; an empty table gives an empty result.
@@ -21,6 +23,7 @@ Only doc_id (an integer) and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from criticlens.llm.packs import (
     BITS,
+    bucket_count,
     bucket_keys,
     by_bucket,
     decode_bits,
@@ -52,6 +56,13 @@ _ASK = "bucket int, pack long, keys binary, many binary"
 _TELL = "pack long, bucket int, keys binary"
 _SUFFIX = "doc long, pos int, ahead binary, behind binary"
 _MATCH = "part int, edge int, doc long, start int, stop int, other long, other_start int, pos int, ahead binary, behind binary"
+_MATCH_NAMES = [c.split()[0] for c in _MATCH.split(", ")]
+#: Kinds of rows of a sorted range beside its matches (0): in the order of the range, its first row, the first of another document,
+#: the last of another document than the last row, the last row; then the rows of the first and of the last run.
+FIRST, SECOND, LAST_BUT, LAST, AT_FIRST, AT_LAST = 1, 2, 3, 4, 5, 6
+#: Text per hash bucket, and suffixes per sorted range: both counts follow the input.
+BUCKET_BYTES = 256 << 20
+RANGE_ROWS = 2_000_000
 
 
 def minimisers(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,88 +190,143 @@ def _pair_rows(doc, pos, ahead, behind, i: np.ndarray, j: np.ndarray) -> list[np
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one sorted range: matches of each suffix with its neighbours, and the two rows at the edges."""
-    batches = list(batches)
-    table = pa.Table.from_batches(batches) if batches else None
-    if table is None or not table.num_rows:
-        return
-    doc, pos = table["doc"].to_numpy(), table["pos"].to_numpy()
-    columns = table["ahead"].to_pylist(), table["behind"].to_pylist()
-    ahead, behind = _matrix(columns[0], LENGTH), _matrix(columns[1], REACH)
-    n = len(doc)
-    turn = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-    run = np.searchsorted(turn, np.arange(n), side="right")
-    begin, end = np.concatenate(([0], turn)), np.concatenate((turn, [n]))
-    before, after = begin[run] - 1, end[run]
-    found = []
-    for other in (before, after):
-        i = np.flatnonzero((other >= 0) & (other < n))
-        for a in range(0, len(i), 65536):
-            found.append(_pair_rows(doc, pos, ahead, behind, i[a : a + 65536], other[i[a : a + 65536]]))
-    rows = [np.concatenate(x) for x in zip(*found)]
-    rows = np.unique(np.column_stack(rows), axis=0) if rows and len(rows[0]) else np.zeros((0, 5), np.int64)
-    part, m = TaskContext.get().partitionId(), len(rows)
-    edges = [0, n - 1]
-    nothing: list = [None] * 2
-    yield pa.record_batch(
-        [
-            pa.array([part] * (m + 2), pa.int32()),
-            pa.array([0] * m + [1, 2], pa.int32()),
-            pa.array(rows[:, 0].tolist() + [int(doc[e]) for e in edges], pa.int64()),
-            pa.array(rows[:, 1].tolist() + nothing, pa.int32()),
-            pa.array(rows[:, 2].tolist() + nothing, pa.int32()),
-            pa.array(rows[:, 3].tolist() + nothing, pa.int64()),
-            pa.array(rows[:, 4].tolist() + nothing, pa.int32()),
-            pa.array([None] * m + [int(pos[e]) for e in edges], pa.int32()),
-            pa.array([None] * m + [columns[0][e] for e in edges], pa.binary()),
-            pa.array([None] * m + [columns[1][e] for e in edges], pa.binary()),
-        ],
-        names=["part", "edge", "doc", "start", "stop", "other", "other_start", "pos", "ahead", "behind"],
-    )
+    """Of one sorted range: the matches of each suffix with its neighbours, and the rows that may match beyond the edges.
+
+    A batch is held at a time, and of what came before it the open run (the last rows, all of one document) and the row before
+    that. Both orders sort by the seed first, so rows of a run with an earlier seed match nothing that is still to come.
+    """
+    part, first, second, held = TaskContext.get().partitionId(), None, False, None
+    before_run = 0
+
+    def edge_rows(code: int, rows: tuple, at) -> pa.RecordBatch:
+        doc, pos, ahead, behind = (x[at] for x in rows)
+        ahead, behind = ahead.astype(">u2"), behind.astype(">u2")  # rows put together have lost the byte order
+        n = len(doc)
+        return pa.record_batch(
+            [
+                pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, code), pa.int32()), pa.array(doc, pa.int64()),
+                pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
+                pa.array(pos, pa.int32()), pa.array([x.tobytes() for x in ahead], pa.binary()), pa.array([x.tobytes() for x in behind], pa.binary()),
+            ],
+            names=_MATCH_NAMES,
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = (
+            batch["doc"].to_numpy(), batch["pos"].to_numpy(),
+            _matrix(batch["ahead"].to_pylist(), LENGTH), _matrix(batch["behind"].to_pylist(), REACH),
+        )
+        old = 0
+        if held is not None:
+            old = len(held[0])
+            rows = tuple(np.concatenate(x) for x in zip(held, rows))
+        doc, pos, ahead, behind = rows
+        n = len(doc)
+        turn = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+        run = np.searchsorted(turn, np.arange(n), side="right")
+        begin, end = np.concatenate(([0], turn)), np.concatenate((turn, [n]))
+        before, after = begin[run] - 1, end[run]
+        if first is None:
+            first = tuple(x[:1] for x in rows)
+            yield edge_rows(FIRST, rows, slice(0, 1))
+        if not second:
+            # The first run goes on: its rows with the seed of the first row may match a row of an earlier range.
+            mine = np.arange(old, begin[1] if len(begin) > 1 else n)
+            yield edge_rows(AT_FIRST, rows, mine[(ahead[mine, :SEED] == first[2][0, :SEED]).all(axis=1)])
+            if len(begin) > 1:
+                second = True
+                yield edge_rows(SECOND, rows, slice(begin[1], begin[1] + 1))
+        back, on = np.flatnonzero(before >= 0), np.flatnonzero(after < n)
+        back, on = back[back >= old], on[on >= before_run]
+        for i, other in ((back, before), (on, after)):
+            for k in range(0, len(i), 65536):
+                found = np.column_stack(_pair_rows(doc, pos, ahead, behind, i[k : k + 65536], other[i[k : k + 65536]]))
+                m = len(found)
+                yield pa.record_batch(
+                    [
+                        pa.array(np.full(m, part), pa.int32()), pa.array(np.zeros(m), pa.int32()), pa.array(found[:, 0], pa.int64()),
+                        pa.array(found[:, 1], pa.int32()), pa.array(found[:, 2], pa.int32()), pa.array(found[:, 3], pa.int64()),
+                        pa.array(found[:, 4], pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()),
+                    ],
+                    names=_MATCH_NAMES,
+                )
+        start = int(begin[-1])
+        before_run = min(start, 1)
+        still = np.arange(start, n)
+        still = still[(ahead[start:, :SEED] == ahead[-1, :SEED]).all(axis=1)]
+        held = tuple(x[np.concatenate((np.arange(start - before_run, start), still))] for x in rows)
+    if held is not None:
+        if before_run:
+            yield edge_rows(LAST_BUT, held, slice(0, 1))
+        yield edge_rows(LAST, held, slice(-1, None))
+        yield edge_rows(AT_LAST, held, slice(before_run, None))
 
 
 def _bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of the last suffix of a range with the first of the next."""
+    """Matches of the rows at the edges of ranges with their neighbours in other ranges."""
     for batch in batches:
-        rows = batch.to_pylist()
-        a, b = [r["_last"] for r in rows], [r["_next"] for r in rows]
-        both = a + b
-        doc, pos = np.array([r["doc"] for r in both], np.int64), np.array([r["pos"] for r in both], np.int64)
-        ahead, behind = _matrix([r["ahead"] for r in both], LENGTH), _matrix([r["behind"] for r in both], REACH)
-        i = np.arange(len(a))[doc[: len(a)] != doc[len(a) :]]
-        found = [np.concatenate(x) for x in zip(_pair_rows(doc, pos, ahead, behind, i, i + len(a)), _pair_rows(doc, pos, ahead, behind, i + len(a), i))]
+        n = batch.num_rows
+        both = lambda a, b: batch[a].to_pylist() + batch[b].to_pylist()
+        doc, pos = np.array(both("doc", "o_doc"), np.int64), np.array(both("pos", "o_pos"), np.int64)
+        ahead, behind = _matrix(both("ahead", "o_ahead"), LENGTH), _matrix(both("behind", "o_behind"), REACH)
+        found = _pair_rows(doc, pos, ahead, behind, np.arange(n), np.arange(n) + n)
         yield pa.record_batch(
             [pa.array(x.astype(k)) for x, k in zip(found, ("i8", "i4", "i4", "i8", "i4"))], names=["doc", "start", "stop", "other", "other_start"]
         )
 
 
-def neighbour_matches(suffixes: DataFrame, keys: list) -> DataFrame:
-    """doc, start, stop, other, other_start of the matches between neighbours in the order of ``keys``."""
-    width = shuffle_width(suffixes.sparkSession)
-    order = [*keys, F.col("doc"), F.col("pos")]
-    compared = stage(suffixes.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_compare, _MATCH))
-    columns = ["doc", "start", "stop", "other", "other_start"]
-    # Two rows per shuffle partition.
+def _beyond(edges: DataFrame, marks: tuple[int, ...], order: list, code: int, rows: int) -> DataFrame:
+    """The rows ``rows`` at one end of each range with the nearest row of another document beyond that end.
+
+    ``marks`` are the rows that bound the outer runs of the ranges, at most three of a range, in the order ``order`` away from
+    the end; where the document of a mark differs from the one before it, that one is the neighbour of the whole run.
+    """
+    along = Window.orderBy(*order)
     row = F.struct("doc", "pos", "ahead", "behind")
-    edges = compared.where("edge > 0").groupBy("part").agg(
-        F.max(F.when(F.col("edge") == 1, row)).alias("_first"), F.max(F.when(F.col("edge") == 2, row)).alias("_last")
+    seen = edges.where(F.col("edge").isin(*marks)).withColumn("_lag", F.lag(row).over(along))
+    other = F.last(F.when(F.col("_lag.doc") != F.col("doc"), F.col("_lag")), ignorenulls=True).over(along)
+    beyond = seen.withColumn("_other", other).where((F.col("edge") == code) & F.col("_other").isNotNull()).select(
+        "part", *[F.col(f"_other.{c}").alias(f"o_{c}") for c in ("doc", "pos", "ahead", "behind")]
     )
-    bridges = edges.select("_last", F.lead("_first").over(Window.orderBy("part")).alias("_next")).where(F.col("_next").isNotNull())
-    bridged = bridges.mapInArrow(_bridge, "doc long, start int, stop int, other long, other_start int")
+    # One row per range.
+    seed = lambda c: F.substring(c, 1, 2 * SEED)
+    return edges.where(F.col("edge") == rows).join(F.broadcast(beyond), "part").where(seed("ahead") == seed("o_ahead"))
+
+
+def neighbour_matches(suffixes: DataFrame, keys: list, ranges: int) -> DataFrame:
+    """doc, start, stop, other, other_start of the matches between neighbours in the order of ``keys``, which sort by the seed first."""
+    order = [*keys, F.col("doc"), F.col("pos")]
+    compared = stage(suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_compare, _MATCH))
+    columns = ["doc", "start", "stop", "other", "other_start"]
+    edges = compared.where("edge > 0").select("part", "edge", "doc", "pos", "ahead", "behind")
+    back = _beyond(edges, (FIRST, LAST_BUT, LAST), [F.col("part"), F.col("edge")], FIRST, AT_FIRST)
+    on = _beyond(edges, (FIRST, SECOND, LAST), [F.col("part").desc(), F.col("edge").desc()], LAST, AT_LAST)
+    bridged = back.unionByName(on).mapInArrow(_bridge, "doc long, start int, stop int, other long, other_start int")
     return compared.where("edge = 0").select(*columns).unionByName(bridged)
 
 
+def orders() -> list[list]:
+    """The two sort orders: by the words to the right, and after the seed by those to the left."""
+    ahead, behind = F.col("ahead"), F.col("behind")
+    return [[ahead, behind], [F.substring("ahead", 1, 2 * SEED), behind, ahead]]
+
+
+def shared_suffixes(docs: DataFrame) -> DataFrame:
+    """The kept suffixes whose seed another document has: doc, pos, ahead, behind."""
+    packs = pack_documents(docs)
+    buckets = bucket_count(packs, 2 * shuffle_width(docs.sparkSession), BUCKET_BYTES)
+    told = packs.mapInArrow(_ask(buckets), _ASK).groupBy("bucket").applyInArrow(_tell, _TELL)
+    return stage(packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_suffixes(buckets), _SUFFIX))
+
+
 def find_repeats(docs: DataFrame) -> DataFrame:
     """Spans of documents that another document has too: doc_id, start_word, end_word (exclusive), n_words,
     and one document that shares the beginning of the span, with its place there."""
-    buckets = 2 * shuffle_width(docs.sparkSession)
-    packs = pack_documents(docs)
-    told = packs.mapInArrow(_ask(buckets), _ASK).groupBy("bucket").applyInArrow(_tell, _TELL)
-    suffixes = stage(packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_suffixes(buckets), _SUFFIX))
-    seed = F.substring("ahead", 1, 2 * SEED)
-    matches = neighbour_matches(suffixes, [F.col("ahead"), F.col("behind")]).unionByName(
-        neighbour_matches(suffixes, [seed, F.col("behind"), F.col("ahead")])
-    )
+    suffixes = shared_suffixes(docs)
+    ranges = max(shuffle_width(docs.sparkSession), suffixes.count() // RANGE_ROWS)
+    matches = reduce(DataFrame.unionByName, [neighbour_matches(suffixes, keys, ranges) for keys in orders()])
     # One row per place, then the places that meet are one span.
     place = matches.groupBy("doc", "start").agg(F.max("stop").alias("stop"), F.min_by(F.struct("other", "other_start"), F.struct(-F.col("stop"), "other", "other_start")).alias("other"))
     by_doc = Window.partitionBy("doc").orderBy("start")

@@ -475,6 +475,25 @@ def test_suffix_odd_rows(awkward, nothing):
     assert suffixes.find_repeats(nothing).count() == 0
 
 
+def test_suffix_ranges_and_batches(spark, table):
+    """Runs of one document over several ranges and batches match what one range in one batch does."""
+    passage, other = long_text(60, 900000), long_text(60, 800000)
+    loops = [(-1, " ".join([passage, other] * 40)), (-2, passage), (-3, " ".join([other] * 30)), (-4, other)]
+    docs = table("documents").select("doc_id", "text").unionByName(spark.createDataFrame(loops, "doc_id long, text string"))
+    kept = suffixes.shared_suffixes(docs)
+    for keys in suffixes.orders():
+        found = lambda n: {tuple(r) for r in suffixes.neighbour_matches(kept, keys, n).collect()}  # noqa: B023, E731
+        whole = found(1)
+        assert {r[0] for r in whole} >= {-1, -2, -3, -4}
+        assert found(61) == whole
+        batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            assert found(3) == whole
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_substring_repeats(spark, texts):
     owners = window_owners(texts)
     for r in QUERIES["op9_repeated_passages"](spark, SF).collect():
