@@ -677,27 +677,29 @@ class _Stopped(Exception):
 
 
 def restarted_product_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Sums per month with expiring state, in a run that breaks off half way and is started again; scored under the batch prior."""
+    """Sums per month with expiring state, delivered year by year, where the run of the middle year breaks off and is started again; scored under the batch prior."""
     reviews = ratings(spark, sf).select("product_id", "helpfulness_numerator", "helpfulness_denominator", "score", F.col("review_time").cast("timestamp").alias("review_time"))
-    reviews = stage(reviews.withColumn("_year", F.year("review_time")))
+    reviews = stage(reviews.withColumn("_year", F.year("review_time")), "_year")
     source, target = scratch_path(spark, "months-in"), scratch_path(spark, "months")
     years = sorted(r[0] for r in reviews.select("_year").distinct().collect())
-    for year in years:
-        reviews.where(F.col("_year") == year).drop("_year").coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(reviews.drop("_year").schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sums = streams.windowed_weight_sums(arriving, "review_time")
     write = streams.batch_folders(target)
 
     def break_off(batch: DataFrame, batch_id: int) -> None:
         write(batch, batch_id)
-        if batch_id == len(years) // 2:
-            raise _Stopped
-
-    try:
-        streams.run_available(sums, f"{target}-state", "update", break_off, streams.ROCKSDB)
-    except StreamingQueryException:
-        pass
-    streams.run_available(sums, f"{target}-state", "update", write, streams.ROCKSDB)
+        raise _Stopped
+
+    for i, year in enumerate(years):
+        # All files of a year are one batch, however many they are: no later batch reaches back behind the watermark.
+        delivered = reviews.where(F.col("_year") == year).drop("_year")
+        delivered.write.mode("append").parquet(source)
+        sums = streams.windowed_weight_sums(spark.readStream.schema(delivered.schema).parquet(source), "review_time")
+        run = functools.partial(streams.run_available, sums, f"{target}-state", "update", state_store=streams.ROCKSDB, no_data_batches=False)
+        if i == len(years) // 2:
+            try:
+                run(break_off)
+            except StreamingQueryException:
+                pass
+        run(write)
     updates = spark.read.schema(StructType([*sums.schema, StructField("batch", LongType())])).parquet(target)
     merged = streams.merged_weight_sums(updates)
     scored = streams.with_prior(merged, scoring.score_prior(reviews))

@@ -67,15 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/criticlens/{application}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and return a reader of it.
 
     Used where several later branches need the same rows: it saves the second pass over the big
     input, lost executors only cost a re-read, and each branch reads only the columns it needs.
+    With ``partition_by``, the last columns of ``df``, a branch that filters on them reads only its folders.
     The table stays as long as results derived from it may be computed; :func:`release` drops it.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

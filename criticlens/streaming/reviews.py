@@ -77,22 +77,26 @@ def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(
-    result: DataFrame, checkpoint: str, mode: str, on_batch: Callable[[DataFrame, int], None], state_store: str | None = None
+    result: DataFrame, checkpoint: str, mode: str, on_batch: Callable[[DataFrame, int], None], state_store: str | None = None,
+    no_data_batches: bool = True,
 ) -> list[dict]:
     """Process everything there is and stop; the progress of the batches.
 
     Run again on the same ``checkpoint`` it goes on behind the last finished batch, with the state of that batch, also
     where a run before it failed. ``state_store`` (:data:`ROCKSDB`) keeps large state outside the heap; a checkpoint stays with the
-    store it was started with.
+    store it was started with. Without ``no_data_batches`` state behind the watermark waits for the next rows to be dropped, which
+    saves a commit of the whole state where runs on new rows follow each other; the append mode needs them to emit what is final.
     """
     spark = result.sparkSession
-    before = spark.conf.get(_PROVIDER)
+    before = {key: spark.conf.get(key) for key in (_PROVIDER, _NO_DATA)}
     if state_store:
         spark.conf.set(_PROVIDER, state_store)
+    spark.conf.set(_NO_DATA, str(no_data_batches).lower())
     try:
         query = (
             result.writeStream.outputMode(mode)
@@ -103,7 +107,8 @@ def run_available(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return list(query.recentProgress)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from criticlens.operators import scoring
 from criticlens.operators.scoring import review_weights, weight_sums
+from criticlens.plans import registry
 from criticlens.session import scratch_path
 from criticlens.streaming import reviews as streams
 
@@ -96,3 +97,32 @@ def test_a_batch_run_again_replaces_its_rows_and_the_last_update_wins(spark, tmp
     updates = spark.read.parquet(str(tmp_path / "out"))
     assert updates.count() == 3
     assert sorted(tuple(r) for r in streams.latest(updates, "k").select("k", "v").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_a_year_is_delivered_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The reviews of a year are several files of one batch, and the sums are those of the whole table."""
+    orders = spark.range(40).select(F.col("id").alias("o_orderkey"), (F.col("id") % 5).alias("o_custkey"))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 2).cast("int")).cast("timestamp")
+    lines = spark.range(600).select(
+        (F.col("id") % 40).alias("l_orderkey"), (F.col("id") % 9).alias("l_partkey"), (1 + F.col("id") % 60).alias("l_suppkey"),
+        (1 + F.col("id") % 4).cast("int").alias("l_linenumber"), (1 + F.col("id") % 50).cast("double").alias("l_quantity"),
+        ((F.col("id") % 11) / 100).alias("l_discount"), ((F.col("id") % 9) / 100).alias("l_tax"),
+        F.when(F.col("id") % 3 > 0, "A").otherwise("N").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), day.alias("l_shipdate"),
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(registry, "scratch_path", lambda _, name: str(tmp_path / name))
+    wide = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in wide}
+    try:
+        for key, value in wide.items():
+            spark.conf.set(key, value)
+        got = sorted(tuple(r) for r in registry.restarted_product_scores(spark, str(tmp_path)).collect())
+        expected = scoring.product_scores(registry.ratings(spark, str(tmp_path)))
+        expected = expected.select("product_id", "num_reviews", *registry._SCORES)
+        assert got == sorted(tuple(r) for r in registry.rounded(expected, *registry._SCORES).collect())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    years = lines.select(F.year("l_shipdate")).distinct().count()
+    assert years == 4 and len(list((tmp_path / "months-in").glob("*.parquet"))) >= 2 * years
