@@ -121,12 +121,13 @@ SELECT CAST(conv_id AS STRING) AS product_id, text, split_part(text, ' ', 1) AS
 FROM conversations"""
 
 
-def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view over the Parquet tables of ``sf_dir``."""
+def load(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
+    """A view over the Parquet tables of ``sf_dir``; with ``spread`` their rows are dealt evenly over the shuffle's width first."""
     ensure_settings(spark)
     for name in TABLES:
         if f" {name}" in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            (table.repartition(shuffle_width(spark)) if spread else table).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 

@@ -100,13 +100,15 @@ def product_json_load(spark: SparkSession, sf: str) -> DataFrame:
 
 def product_files_load(spark: SparkSession, sf: str) -> DataFrame:
     """One document per file, some empty and some cut off in the middle; the id is the file's name."""
-    found = pages.extract_pages(views.load(spark, sf, views.PRODUCT_PAGES))
+    found = _product_pages(spark, sf)
     document = F.to_json(F.struct(*[c for c in found.columns if c != "page_id"]))
-    documents = stage(found.select("page_id", document.alias("document")))
+    documents = text_functions.add_once(found, {"document": document})
     cut = F.expr("substring(document, 1, length(document) - 5)")
     text = F.when(F.col("page_id") % 10 == 4, "{}").when(F.col("page_id") % 10 == 9, cut).otherwise(F.col("document"))
     path = scratch_path(spark, "product-files")
-    documents.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    # Each task moves its own files into place; by default the driver moves them all, one after the other.
+    own_commit = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    documents.select(text.alias("value")).write.options(maxRecordsPerFile=1, **own_commit).text(path)
     loaded = jobs.load_products(spark, path)
     named = F.col("product_id").rlike("^part-[0-9a-f-]+-c[0-9]+$").alias("named")
     return joined(loaded.select("product_title", "category", "alt_images", "count_alt_images", F.size("top_comments").alias("n_comments"), named), "category", "alt_images")
@@ -172,7 +174,8 @@ def page_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _product_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.extract_pages(views.load(spark, sf, views.PRODUCT_PAGES))
+    """Product documents; the pages are spread first, since a split of their table holds far more of this work than one task should do."""
+    return pages.extract_pages(views.load(spark, sf, views.PRODUCT_PAGES, spread=True))
 
 
 def page_lists(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from criticlens.operators.products import product_features
-from criticlens.plans import jobs
+from criticlens.plans import jobs, registry
 from criticlens.sources import products, reviews
 
 HEADER = "Id,ProductId,UserId,ProfileName,HelpfulnessNumerator,HelpfulnessDenominator,Score,Time,Summary,Text\n"
@@ -118,3 +118,17 @@ def test_pending_products(spark):
     existing = spark.createDataFrame([("a",)], "product_id string")
     assert [r[0] for r in products.pending_products(wanted, existing).collect()] == ["b"]
     assert sorted(r[0] for r in products.pending_products(wanted, existing, replace=True).collect()) == ["a", "b"]
+
+
+def test_product_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A table of pages in one split: its documents are extracted and written over the whole width of the shuffle."""
+    html = F.concat(F.lit("<html><h1>Title "), F.col("id"), F.lit('</h1><ul><li><a href="/a">Menu</a></li></ul><p>Body</p></html>'))
+    spark.range(200).select(F.col("id").alias("page_id"), html.alias("html")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "labels.parquet"))  # the view names a column so, and tables are found by name
+    monkeypatch.setattr(registry, "scratch_path", lambda _, name: str(tmp_path / name))
+    loaded = registry.product_files_load(spark, str(tmp_path))
+    written = {p.name.split("-")[1] for p in (tmp_path / "product-files").glob("part-*")}
+    assert len(written) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    titles = {r[0] for r in loaded.select("product_title").collect()}
+    assert titles >= {f"Title {i}" for i in range(200) if i % 10 not in (4, 9)} and loaded.where("named").count() == len(titles)
+    assert not titles & {f"Title {i}" for i in range(4, 200, 10)}
