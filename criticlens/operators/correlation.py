@@ -156,10 +156,16 @@ def image_correlation(df: DataFrame, with_p_value: bool = False) -> DataFrame:
 
 
 def marketed(df: DataFrame, words: Sequence[str] = MARKETING_WORDS) -> tuple[DataFrame, list[str]]:
-    """Complete products with their marketing tone, and the names of the features present."""
+    """Complete products with their marketing tone, and the names of the features present.
+
+    A tone that ``df`` has already, measured once per distinct text, is taken instead of the texts.
+    """
     features = ["sentiment_score"] if "sentiment_score" in df.columns else []
-    kept = df.select(*TARGETS, *features, "product_description")
+    measured = "marketing_tone_score" in df.columns
+    kept = df.select(*TARGETS, *features, "marketing_tone_score" if measured else "product_description")
     kept = drop_incomplete(kept, kept.columns)
+    if measured:
+        return kept, [*features, "marketing_tone_score"]
     toned = text.marketing_tone(kept, "product_description", words).drop("product_description")
     return toned, [*features, "marketing_tone_score"]
 
@@ -181,9 +187,14 @@ def marketing_histograms(df: DataFrame, words: Sequence[str] = MARKETING_WORDS,
 
 
 def readable(df: DataFrame) -> DataFrame:
-    """Complete products whose reading ease could be computed, with the measures."""
-    kept = drop_incomplete(df, [*TARGETS, "product_description"]).select(*TARGETS, "product_description")
-    measured = text.reading_ease(kept, "product_description")
+    """Complete products whose reading ease could be computed, with the measures.
+
+    Measures that ``df`` has already, taken once per distinct text, are used instead of the texts.
+    """
+    present = set(READING_MEASURES) <= set(df.columns)
+    columns = [*TARGETS, *(READING_MEASURES if present else ["product_description"])]
+    kept = drop_incomplete(df, columns).select(*columns)
+    measured = kept if present else text.reading_ease(kept, "product_description")
     return measured.where(F.col("flesch_reading_ease") != 0).drop("product_description")
 
 

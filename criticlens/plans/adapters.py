@@ -6,12 +6,14 @@ view covers its whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from criticlens.functions.scores import polarization
 from criticlens.schemas import COMMENT
-from criticlens.session import ensure_settings, shuffle_width
+from criticlens.session import ensure_settings, shuffle_width, stage
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -151,6 +153,21 @@ def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(texts, "doc_key", "left").drop("doc_key")
 
 
+def measured_products(spark: SparkSession, sf_dir: str, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Described products with what ``measure`` adds to ``product_description``, and without the texts.
+
+    A document describes many products. It is measured once, and only if it describes one; the products join the measures.
+    """
+    rows = stage(product_rows(spark, sf_dir).select("doc_key", "num_ratings", "score", "score_polarization_index"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("doc_key"), F.col("text").alias("product_description")
+    )
+    used = texts.where(F.col("product_description").isNotNull()).join(rows.select("doc_key").distinct(), "doc_key", "left_semi")
+    # Spread by the key of the join: the texts may come in few splits, and the work on them is the costly part.
+    measured = measure(used.repartition(shuffle_width(spark), "doc_key")).drop("product_description")
+    return rows.join(measured, "doc_key").drop("doc_key")
+
+
 def with_item_maps(info: DataFrame) -> DataFrame:
     """The two description maps of each product, built row by row."""
 

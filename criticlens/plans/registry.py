@@ -532,13 +532,21 @@ def spearman_description_length(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.length_correlation(views.product_info(spark, sf)), "corr", "t")
 
 
+def _reading(texts: DataFrame) -> DataFrame:
+    return text_functions.reading_ease(texts, "product_description")
+
+
+def _marketing(texts: DataFrame) -> DataFrame:
+    scored = sentiment.lexicon_sentiment(texts, "product_description", POLARITY)
+    return text_functions.marketing_tone(scored, "product_description", TONE_WORDS)
+
+
 def spearman_marketing(spark: SparkSession, sf: str) -> DataFrame:
-    described = sentiment.lexicon_sentiment(views.product_info(spark, sf), "product_description", POLARITY)
-    return rounded(correlation.marketing_correlation(described, TONE_WORDS), "corr", "t")
+    return rounded(correlation.marketing_correlation(views.measured_products(spark, sf, _marketing), TONE_WORDS), "corr", "t")
 
 
 def spearman_reading_ease(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(correlation.reading_correlation(views.product_info(spark, sf)), "corr", "t")
+    return rounded(correlation.reading_correlation(views.measured_products(spark, sf, _reading)), "corr", "t")
 
 
 def _described_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -560,9 +568,8 @@ def correlated_item_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_histograms(spark: SparkSession, sf: str) -> DataFrame:
-    described = views.product_info(spark, sf)
-    scored = sentiment.lexicon_sentiment(described, "product_description", POLARITY)
-    tables = correlation.reading_histograms(described).unionByName(correlation.marketing_histograms(scored, TONE_WORDS))
+    measured = stage(views.measured_products(spark, sf, lambda texts: _marketing(_reading(texts))))
+    tables = correlation.reading_histograms(measured).unionByName(correlation.marketing_histograms(measured, TONE_WORDS))
     return rounded(tables, "bin_lo", "bin_hi")
 
 
