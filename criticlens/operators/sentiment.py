@@ -57,7 +57,7 @@ def _word_rows(df: DataFrame, text_col: str, keep: str) -> DataFrame:
 
 
 def train_word_odds(df: DataFrame, text_col: str, label_col: str, smoothing: float = 1.0, top: int | None = None) -> DataFrame:
-    """(word, log_odds): multinomial log-odds of every word of a labelled table (1 is positive, 0 negative).
+    """(word, log_odds, n): multinomial log-odds and frequency of every word of a labelled table (1 is positive, 0 negative).
 
     Counts are aggregated before the shuffle; the totals are a one-row subquery. Rows without a text or a label are left out.
     With ``top`` only that many of the most frequent words are given, ties by word; the totals are still those of all words.
@@ -72,7 +72,7 @@ def train_word_odds(df: DataFrame, text_col: str, label_col: str, smoothing: flo
         return F.log((F.col(kind) + smoothing) / (total.getField(kind) + smoothing * total.getField("words")))
 
     given = counts if top is None else counts.orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(top)
-    return given.select("word", (log_share("pos") - log_share("neg")).alias("log_odds"))
+    return given.select("word", (log_share("pos") - log_share("neg")).alias("log_odds"), (F.col("pos") + F.col("neg")).alias("n"))
 
 
 def odds_predictor(odds: DataFrame) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
@@ -97,19 +97,31 @@ def odds_predictor(odds: DataFrame) -> Callable[[], Callable[[np.ndarray], np.nd
 def score_word_odds(df: DataFrame, id_col: str, text_col: str, odds: DataFrame) -> DataFrame:
     """``id_col``, ``log_odds`` (sum over the words of the text, unknown words 0) and ``sentiment_score``, per distinct id.
 
-    A table of at most ``FEW_WORDS`` words is broadcast to the texts. Of a larger one, a word counts once per text and
-    meets its odds with its frequency; words in very many texts are spread over parts. A text without known words has odds 0 and the score 0.5; rows without an id are left out.
+    A table of at most ``FEW_WORDS`` words is broadcast to the texts. Of a larger one with frequencies ``n``, about that many of the most
+    frequent words are, and meet nearly all words of the texts there; only the others are shuffled. Such a word counts once per text and
+    meets its odds with its frequency; words in very many texts are spread over parts. A text without known words has odds 0 and the score 0.5;
+    rows without an id are left out.
     """
     rows = df.where(F.col(id_col).isNotNull())
     words = _word_rows(rows, text_col, id_col)
     odds = stage(odds)
-    if odds.count() <= FEW_WORDS:
+    n_words = odds.count()
+    if n_words <= FEW_WORDS:
         # The words of a text meet their odds in the task that reads it; only sums per text are shuffled.
         parts = words.join(F.broadcast(odds), "word").withColumn("n", F.lit(1))
     else:
-        counts = stage(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")))
-        hot = hot_keys(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
-        parts = lookup_join(counts, odds, "word", hot)
+        # At most FEW_WORDS words, but for the error of the sketch, are more frequent than this.
+        often = odds.agg(F.percentile_approx("n", 1 - FEW_WORDS / n_words)).scalar() if "n" in odds.columns else F.lit(None)
+        frequent = odds.where((F.col("n") if "n" in odds.columns else F.lit(0)) > often)
+        met = words.join(F.broadcast(frequent.select("word", "log_odds")), "word", "left")
+        # The frequent words of a text are one row here, each other word is one with its count.
+        rare = F.when(F.col("log_odds").isNull(), F.col("word")).alias("word")
+        counts = stage(met.groupBy(id_col, rare).agg(F.count(F.lit(1)).alias("n"), F.sum("log_odds").alias("log_odds")))
+        others = counts.where(F.col("word").isNotNull()).drop("log_odds")
+        hot = hot_keys(others.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+        joined = lookup_join(others, odds.select("word", "log_odds"), "word", hot)
+        summed = counts.where(F.col("word").isNull()).withColumn("n", F.lit(1).cast("long"))
+        parts = joined.unionByName(summed)
     sums = parts.groupBy(id_col).agg(F.sum(F.col("n") * F.col("log_odds")).alias("log_odds"))
     scored = rows.select(id_col).distinct().join(sums, id_col, "left")
     total = F.coalesce("log_odds", F.lit(0.0))

@@ -56,3 +56,19 @@ def test_few_and_many_words_score_alike(spark, monkeypatch):
     assert {r["id"]: round(r["sentiment_score"], 9) for r in batches} == few
     top = sentiment.train_word_odds(df, "text", "label", top=3).collect()
     assert len(top) == 3 and {r["word"] for r in top} <= {r["word"] for r in odds.collect()}
+
+
+def test_frequent_words_are_not_shuffled(spark, monkeypatch):
+    """Of a large table of odds the frequent words meet the texts in place: one row a text is left of them, and rows of rare words."""
+    rows = [(k, " ".join(["often good bad fine", f"rare{k % 40}"] * 3), k % 2) for k in range(120)] + [(120, None, 1), (121, "unknown", None)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    odds = sentiment.train_word_odds(df, "text", "label")
+    scores = lambda table: {r["id"]: round(r["log_odds"], 9) for r in sentiment.score_word_odds(df, "id", "text", table).collect()}
+    expected, staged = scores(odds), []
+    keep = sentiment.stage
+    monkeypatch.setattr(sentiment, "FEW_WORDS", 10)
+    monkeypatch.setattr(sentiment, "stage", lambda table: staged.append(keep(table)) or staged[-1])
+    assert scores(odds) == expected
+    # 120 rows of frequent words, 120 of rare ones and one of an unknown one; before, a row for each of 5 words a text.
+    assert staged[-1].count() == 241
+    assert scores(odds.drop("n")) == expected and staged[-1].count() == 601
