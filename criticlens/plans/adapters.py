@@ -133,14 +133,22 @@ def load(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> Da
     return spark.sql(sql)
 
 
-def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_counts(spark: SparkSession, sf_dir: str, reviews: DataFrame | None = None) -> DataFrame:
+    """The view ``PRODUCT_ROWS``; over ``reviews``, rows of ``RATINGS`` that are stored already, it does not join them again."""
+    if reviews is None:
+        return load(spark, sf_dir, PRODUCT_ROWS)
+    reviews.createOrReplaceTempView("stored_reviews")
+    return load(spark, sf_dir, PRODUCT_ROWS.replace(f"({RATINGS}) r", "stored_reviews r"))
+
+
+def product_rows(spark: SparkSession, sf_dir: str, reviews: DataFrame | None = None) -> DataFrame:
     """Products without their descriptions."""
     shares = F.array(*[F.col(f"n{i}").cast("double") for i in range(1, 6)])
     index = F.round(polarization(shares), 9)
-    return load(spark, sf_dir, PRODUCT_ROWS).withColumn("score_polarization_index", index)
+    return star_counts(spark, sf_dir, reviews).withColumn("score_polarization_index", index)
 
 
-def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_info(spark: SparkSession, sf_dir: str, reviews: DataFrame | None = None) -> DataFrame:
     """Products with their descriptions.
 
     The product rows are few bytes each, so after their aggregation they sit in few partitions.
@@ -149,7 +157,7 @@ def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("doc_key"), F.col("text").alias("product_description")
     )
-    rows = product_rows(spark, sf_dir).repartition(shuffle_width(spark), "doc_key")
+    rows = product_rows(spark, sf_dir, reviews).repartition(shuffle_width(spark), "doc_key")
     return rows.join(texts, "doc_key", "left").drop("doc_key")
 
 
@@ -184,9 +192,9 @@ def with_item_maps(info: DataFrame) -> DataFrame:
     return info.withColumns({s: section(s) for s in ("product_detail", "important_information")})
 
 
-def product_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_documents(spark: SparkSession, sf_dir: str, reviews: DataFrame | None = None) -> DataFrame:
     """Products as loaded from pages: nested columns and display texts."""
-    info = with_item_maps(product_info(spark, sf_dir))
+    info = with_item_maps(product_info(spark, sf_dir, reviews))
     tenths = F.floor(F.col("score") * 10).cast("int")
     stars = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" out of 5 stars"))
     entries = []

@@ -358,16 +358,23 @@ def impossible_votes(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.impossible_votes(ratings(spark, sf)).select("id", "helpfulness_numerator", "helpfulness_denominator")
 
 
+def _stored_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scores and the star counts need of the ratings, stored once, since both would join the items with their orders."""
+    return stage(ratings(spark, sf).select("product_id", "helpfulness_numerator", "helpfulness_denominator", "score"))
+
+
 def product_score_merge(spark: SparkSession, sf: str) -> DataFrame:
-    info = views.load(spark, sf, views.PRODUCT_ROWS).select("product_id", "product_title", "num_ratings")
-    merged = scoring.merge_scores(info, scoring.product_scores(ratings(spark, sf)))
+    reviews = _stored_ratings(spark, sf)
+    info = views.star_counts(spark, sf, reviews).select("product_id", "product_title", "num_ratings")
+    merged = scoring.merge_scores(info, scoring.product_scores(reviews))
     return rounded(merged, *_SCORES, "diff_smooth_vs_simple", "diff_bayes_vs_mean")
 
 
 def scored_products(spark: SparkSession, sf: str) -> DataFrame:
     """Product documents with their derived columns, scores and star counts, by the end-to-end job."""
-    featured = products.product_features(views.product_documents(spark, sf))
-    scored = jobs.scored_products(ratings(spark, sf), featured)
+    reviews = _stored_ratings(spark, sf)
+    featured = products.product_features(views.product_documents(spark, sf, reviews))
+    scored = jobs.scored_products(reviews, featured)
     return rounded(scored.select("product_id", "num_ratings", "num_reviews", *_SCORES, *[f"count_{i}star" for i in range(1, 6)]), *_SCORES)
 
 

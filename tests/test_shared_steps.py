@@ -51,3 +51,23 @@ def test_a_text_is_measured_once_however_many_products_it_describes(spark, table
     monkeypatch.setattr(sentiment, "lexicon_sentiment", lambda df, *rest: measured.append(df.count()) or plain(df, *rest))
     assert {name: values(registry.QUERIES[name](spark, tables)) for name in expected} == expected
     assert measured == [6, 6]
+
+
+@pytest.mark.parametrize("name", ["scored_products", "product_score_merge"])
+def test_items_are_joined_with_their_orders_once(spark, tables, monkeypatch, name):
+    scores = scoring.product_scores(registry.ratings(spark, tables))
+    expected = {r["product_id"]: (r["num_reviews"], round(r["bayesian_mean_simple"], 6)) for r in scores.collect()}
+    plans, keep = [], registry.stage
+
+    def staged(table):
+        plans.append(table)
+        return keep(table)
+
+    for module in (registry, scoring):
+        monkeypatch.setattr(module, "stage", staged)
+    result = registry.QUERIES[name](spark, tables)
+    plans.append(result)
+    joined = ["o_orderkey" in table._jdf.queryExecution().optimizedPlan().toString() for table in plans]
+    assert sum(joined) == 1
+    got = {r["product_id"]: (r["num_reviews"], r["bayesian_mean_simple"]) for r in result.collect()}
+    assert got == {k: v for k, v in expected.items() if k != "60"}
