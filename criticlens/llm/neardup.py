@@ -234,11 +234,17 @@ def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _members(signed: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """(key, doc, turn) per set of bands of one kind; ``turn`` is the next band of that kind outside the set."""
+    """(key, doc, turn) per set of bands of one kind; ``turn`` is the next band of that kind outside the set.
+
+    All sets are of one length. They are rows of a constant array, not expressions of their own: code generated
+    for each of the many pairs of bands would take hundreds of MB of the driver to compile.
+    """
     after = lambda k: k - k % BANDS + (k + 1) % BANDS
     turn = lambda s: next(k for k in (after(s[0]), after(after(s[0]))) if k not in s)
-    rows = [F.struct(F.xxhash64(F.lit(str(s)), *[band(k) for k in s]).alias("key"), band(turn(s)).alias("turn")) for s in sets]
-    return signed.select("doc", F.explode(F.array(*rows)).alias("m")).select("m.key", "doc", "m.turn")
+    bands = [f"_{i}" for i in range(len(sets[0]))]
+    rows = [F.struct(F.lit(str(s)).alias("set"), F.lit(turn(s)).alias("turn"), *[F.lit(k).alias(n) for n, k in zip(bands, s, strict=True)]) for s in sets]
+    dealt = signed.select("doc", "draws", F.explode(F.array(*rows)).alias("m")).select("doc", "draws", "m.*")
+    return dealt.select(F.xxhash64("set", *[band(F.col(n)) for n in bands]).alias("key"), "doc", band(F.col("turn")).alias("turn"))
 
 
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -413,7 +419,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Large buckets whose texts are not one class yet: split them by a second band.
     roots = stage(components(links))
-    again = signed_draws.join(_open(large, roots), "doc", "left_semi")
+    again = signed_draws.join(stage(_open(large, roots)), "doc", "left_semi")
     root_of = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_root_{c}"))
     more, _ = _meetings(_members(again, [s for kind in (0, BANDS) for s in combinations(range(kind, kind + BANDS), 2)]))
     more = more.join(root_of("a"), F.col("a") == F.col("_a"), "left").join(root_of("b"), F.col("b") == F.col("_b"), "left")

@@ -413,6 +413,23 @@ def test_second_round_alone(spark, monkeypatch):
     assert found == {k: 0 if k == 15 else k for k in range(30)}
 
 
+def test_code_of_band_sets(spark):
+    """Rows of band sets are those of the single sets, and 132 sets need no more generated code than two."""
+    random = Random(29)
+    signed = spark.createDataFrame([(i, random.randbytes(8 * neardup.BANDS * neardup.ROWS)) for i in range(20)], "doc long, draws binary")
+    sets = [s for kind in (0, neardup.BANDS) for s in combinations(range(kind, kind + neardup.BANDS), 2)]
+    for some in ([(k,) for k in range(2 * neardup.BANDS)], sets):
+        alone = reduce(lambda a, b: a.unionByName(b), [neardup._members(signed, [s]) for s in some[:: len(some) // 8]])
+        every = set(map(tuple, neardup._members(signed, some).collect()))
+        assert len(every) == 20 * len(some) and every.issuperset(map(tuple, alone.collect()))
+
+    def code(df):
+        parts = df._jdf.queryExecution().debug().codegenToSeq()
+        return sum(len(parts.apply(i)._2()) for i in range(parts.size()))
+
+    assert len(sets) == 132 and code(neardup._members(signed, sets)) < 2 * code(neardup._members(signed, sets[:2]))
+
+
 def test_template_family(spark):
     """Pairs inside large buckets are found, though neither text is a hub or a successor; the family stays apart."""
     found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(family(), "doc_id long, text string")).collect()}
