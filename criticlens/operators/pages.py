@@ -136,12 +136,23 @@ _REFERENCE = rf"&(?:#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?|[A-Za-z][A-Za-z0-9
 _IMAGE = r"""(?is)<img(?=[\s/])[^<>]*?\ssrc\s*=\s*["']([^"'<>]*)["']"""
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode_references(text: Column) -> Column:
     """Character references as the characters they stand for, each once; unknown ones stay."""
+    return once(text, _decoded)
+
+
+def _decoded(text: Column) -> Column:
     # One literal that is folded to a map, instead of some five hundred expressions at every use.
     listed = ";".join(f"{name}={chr(code)}" for name, code in name2codepoint.items())
     names = F.str_to_map(F.lit(listed), F.lit(";"), F.lit("="))
-    parts, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    until_next = rf"([^&]*+(?:(?!{_REFERENCE})&[^&]*+)*+)"
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    parts = F.concat(F.array(F.regexp_extract(text, rf"\A{until_next}", 1)), F.regexp_extract_all(text, F.lit(_REFERENCE + until_next), F.lit(1)))
 
     def character(reference: Column) -> Column:
         inside = F.substring_index(F.substring(reference, F.lit(2), F.length(reference)), ";", 1)
@@ -173,18 +184,28 @@ def open_tag(selector: tuple) -> str:
     return rf"<{tag}(?=\s)(?=[^<>]*\s{attribute}\s*=\s*(?:{quoted}))[^<>]*>"
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _inside(tag: str) -> str:
+    """Pattern of what follows an open tag, up to the first tag of its name or the end."""
+    return rf"[^<]*+(?:<(?!/?{tag}[\s/>])[^<]*+)*+"
+
+
+def _flat(tag: str) -> str:
+    """Pattern, with a group, of the inside of an element that holds none of its name: its end tag is the first tag of it."""
+    return rf"(?!</?{tag})({_inside(tag)})(?:</{tag}[\s/>]|\z)"
 
 
 def until_closed(rest: Column, tag: str) -> Column:
     """What follows an open tag up to its end tag: where tags of its name are balanced, else the end of the page.
 
     Only tags of that name count, so that elements left open inside do no harm. One pass with a small state; the
-    pieces are joined again by position.
+    pieces are joined again by position. Most elements hold none of their name, and need no pieces.
     """
-    pieces = F.split(rest, rf"(?i)(?=</?{tag}(?=[\s/>]))", -1)
+    flat = F.regexp_extract_all(rest, F.lit(rf"(?i)\A{_flat(tag)}"), F.lit(1))
+    return F.coalesce(F.get(flat, F.lit(0)), _balanced(rest, tag))
+
+
+def _balanced(rest: Column, tag: str) -> Column:
+    pieces = F.regexp_extract_all(rest, F.lit(rf"(?is)(?:</?{tag}(?=[\s/>])|\A.){_inside(tag)}"), F.lit(0))
     state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(s: Column, piece: Column) -> Column:
@@ -199,21 +220,24 @@ def until_closed(rest: Column, tag: str) -> Column:
 
 def element(html: Column, selector: tuple) -> Column:
     """The inside of the first element that ``selector`` means; NULL without one."""
-    after = F.slice(F.split(html, "(?is)" + open_tag(selector), 2), 2, 1)
-    return F.get(F.transform(after, lambda rest: until_closed(rest, selector[0])), F.lit(0))
+    tag, opened = selector[0], open_tag(selector)
+    first = lambda rest: F.get(F.regexp_extract_all(html, F.lit(f"(?is){opened}{rest}"), F.lit(1)), F.lit(0))
+    # '' where the element is empty or holds others of its name.
+    flat = first(rf"(?:{_flat(tag)})?+.*")
+    return once(flat, lambda f: F.when(f == "", _balanced(first("(.*)"), tag)).otherwise(f))
 
 
 def elements(html: Column, selector: tuple) -> Column:
     """The insides of all elements that ``selector`` means; one ends at its end tag, or where the next begins."""
-    after = F.split(html, "(?is)" + open_tag(selector), -1)
-    return F.transform(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), lambda rest: until_closed(rest, selector[0]))
+    opened = open_tag(selector)
+    after = F.regexp_extract_all(html, F.lit(rf"(?is){opened}([^<]*+(?:(?!{opened})<[^<]*+)*+)"), F.lit(1))
+    return F.transform(after, lambda rest: until_closed(rest, selector[0]))
 
 
 def runs(html: Column, tag: str) -> Column:
     """The insides of elements whose end tag is optional (list items, paragraphs): up to the next, or their end tag."""
-    after = F.split(html, rf"(?i)<{tag}(?=[\s/>])[^<>]*>", -1)
-    cut = lambda rest: F.regexp_replace(rest, rf"(?is)</{tag}(?=[\s>]).*", "")
-    return F.transform(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), cut)
+    opened = rf"<{tag}(?=[\s/>])[^<>]*>"
+    return F.regexp_extract_all(html, F.lit(rf"(?i){opened}([^<]*+(?:(?!{opened}|</{tag}[\s>])<[^<]*+)*+)"), F.lit(1))
 
 
 def page_breadcrumb(html: Column, selector: tuple) -> Column:
@@ -251,14 +275,18 @@ def own_text(fragment: Column) -> Column:
 
 def page_rating(html: Column, at: Mapping[str, tuple]) -> Column:
     """Headline score and label -> share; NULL if any part is missing."""
-    box = element(html, at["histogram"])
-    score = text_of(element(box, at["histogram_score"]))
-    rows = F.transform(
-        runs(element(box, at["histogram_table"]), "li"),
-        lambda li: F.struct(own_text(element(li, at["histogram_label"])).alias("key"), own_text(element(li, at["histogram_share"])).alias("value")),
-    )
-    whole = score.isNotNull() & F.forall(rows, lambda r: r["key"].isNotNull() & r["value"].isNotNull())
-    return F.when(whole, F.struct(score.alias("score"), F.map_from_entries(F.filter(rows, lambda r: r["key"].isNotNull())).cast(TEXT_MAP).alias("dist")))
+    def rated(box: Column) -> Column:
+        rows = F.transform(
+            runs(element(box, at["histogram_table"]), "li"),
+            lambda li: F.struct(own_text(element(li, at["histogram_label"])).alias("key"), own_text(element(li, at["histogram_share"])).alias("value")),
+        )
+        return once(text_of(element(box, at["histogram_score"])), lambda score: once(rows, lambda r: parts(score, r)))
+
+    def parts(score: Column, rows: Column) -> Column:
+        whole = score.isNotNull() & F.forall(rows, lambda r: r["key"].isNotNull() & r["value"].isNotNull())
+        return F.when(whole, F.struct(score.alias("score"), F.map_from_entries(F.filter(rows, lambda r: r["key"].isNotNull())).cast(TEXT_MAP).alias("dist")))
+
+    return once(element(html, at["histogram"]), rated)
 
 
 def page_comments(html: Column, at: Mapping[str, tuple]) -> Column:

@@ -108,7 +108,9 @@ def product_files_load(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "product-files")
     # Each task moves its own files into place; by default the driver moves them all, one after the other.
     own_commit = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
-    documents.select(text.alias("value")).write.options(maxRecordsPerFile=1, **own_commit).text(path)
+    # In a local or mounted folder no file of checksums stands beside each: Hadoop starts a process to set the mode of every file it makes.
+    plain_files = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    documents.select(text.alias("value")).write.options(maxRecordsPerFile=1, **own_commit, **plain_files).text(path)
     loaded = jobs.load_products(spark, path)
     named = F.col("product_id").rlike("^part-[0-9a-f-]+-c[0-9]+$").alias("named")
     return joined(loaded.select("product_title", "category", "alt_images", "count_alt_images", F.size("top_comments").alias("n_comments"), named), "category", "alt_images")

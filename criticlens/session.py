@@ -39,6 +39,26 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def like(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of its own with the settings of ``spark``, apart from ``settings``."""
+    other = spark.newSession()
+    known = other.conf.getAll
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if known.get(key) != value:
+            other.conf.set(key, value)
+    return other
+
+
+def in_session(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` of another session as one of ``spark``; its files are still read by the settings of the other."""
+    name = f"handed_over_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return spark.table(f"{spark.conf.get('spark.sql.globalTempDatabase', 'global_temp')}.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 

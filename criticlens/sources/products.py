@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from criticlens.schemas import PRODUCT_DOCUMENT
+from criticlens.session import in_session, like
+
+# Bytes that could be read while a small file is opened. Spark's default of 4 MB is that of a remote store's first byte; it makes
+# a task of a few documents, and starting the tasks costs more than their work.
+OPEN_COST = "128k"
 
 
 def read_products(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
@@ -14,10 +19,12 @@ def read_products(spark: SparkSession, path: str, one_per_file: bool = True) ->
     With ``one_per_file`` each file is one document named by its product id. Otherwise the files
     are JSON lines carrying the id, which is the layout for many products.
     """
-    raw = spark.read.schema(PRODUCT_DOCUMENT).option("multiLine", one_per_file).json(path)
+    # How files are packed into tasks is a setting of the session that reads them.
+    reader = like(spark, **{"spark.sql.files.openCostInBytes": OPEN_COST}) if one_per_file else spark
+    raw = reader.read.schema(PRODUCT_DOCUMENT).option("multiLine", one_per_file).json(path)
     if one_per_file:
         from_name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
-        raw = raw.withColumn("product_id", from_name)
+        raw = in_session(spark, raw.withColumn("product_id", from_name))
     return raw.where(F.col("product_title").isNotNull())
 
 

@@ -154,3 +154,28 @@ def test_character_references(spark):
     rows = [("A&#233;&#xe9;&eacute;&amp;lt;&nbsp;&unknown;&#0;&#55296;&#x1F600;&", "Aééé&lt;\u00a0&unknown;\ufffd\ufffd\U0001f600&"), ("", ""), (None, None), ("&#9999999;", "\ufffd"), ("cut &amp", "cut &"), ("&ampx &copy2 &am &#65", "&x \u00a92 &am A")]
     df = spark.createDataFrame(rows, "given string, want string")
     assert df.where(~pages.decode_references(F.col("given")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_a_fragment_is_named_once():
+    """What a helper names twice is computed twice, and helpers stand inside each other."""
+    for column in (pages.text_of(F.col("fragment")), pages.runs(F.col("fragment"), "li"), pages.elements(F.col("fragment"), ("p", None, None))):
+        assert str(column).count("fragment") == 1
+    assert str(pages.page_rating(F.col("fragment"), pages.PRODUCT)).count("fragment") == 2  # a second look only at a nested element
+
+
+def test_elements_end_where_they_should(spark):
+    div, classed = ("div", None, None), ("span", "class", "x")
+    rows = [
+        (1, "<div>a<div>b</div>c</div>d"), (2, "<DIV id=1></DIV>d"), (3, "a<div>b<p>c"), (4, "<divx>a</divx>"), (5, None), (6, ""), (7, "<div>a<div/>b</div>c</div>d"),
+        (8, "<div></div><div>b</div>"), (9, "<div>\n&amp;é😀</div >"),
+    ]
+    df = spark.createDataFrame(rows, "id int, h string")
+    found = {r["id"]: r["e"] for r in df.select("id", pages.element(F.col("h"), div).alias("e")).collect()}
+    assert found == {1: "a<div>b</div>c", 2: "", 3: "b<p>c", 4: None, 5: None, 6: None, 7: "a<div/>b</div>c", 8: "", 9: "\n&amp;é😀"}
+    text = "<span class='a x'>1<span>2</span>3</span>4<span class=x>5<ul><li>6<li/>7</li >8<LI a=1>9</ul></li>"
+    row = spark.range(1).select(
+        pages.elements(F.lit(text), classed).alias("e"), pages.runs(F.lit(text), "li").alias("r"), pages.runs(F.lit("none"), "li").alias("none"),
+        pages.decode_references(F.lit("&lt;&ampx& &#65;&bogus;&copy")).alias("d"),
+    ).first()
+    assert row["e"] == ["1<span>2</span>3", "5<ul><li>6<li/>7</li >8<LI a=1>9</ul></li>"] and row["r"] == ["6", "7", "9</ul>"] and row["none"] == []
+    assert row["d"] == "<&x& A&bogus;©"

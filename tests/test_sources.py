@@ -132,3 +132,32 @@ def test_product_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     titles = {r[0] for r in loaded.select("product_title").collect()}
     assert titles >= {f"Title {i}" for i in range(200) if i % 10 not in (4, 9)} and loaded.where("named").count() == len(titles)
     assert not titles & {f"Title {i}" for i in range(4, 200, 10)}
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Two hundred documents in as many tasks as there are cores, not in a task for each few files; the session stays as it is."""
+    for i in range(200):
+        whole = json.dumps(DOCUMENT | {"product_title": f"Title {i}"})
+        (tmp_path / f"B{i:03d}.json").write_text("{}" if i % 10 == 4 else whole[:-5] if i % 10 == 9 else whole)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+        loaded = products.read_products(spark, str(tmp_path))
+        assert loaded.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        found = {r["product_id"]: r["product_title"] for r in loaded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {f"B{i:03d}": f"Title {i}" for i in range(200) if i % 10 not in (4, 9)}
+    assert loaded.sparkSession is spark and spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("handed_over")]
+
+
+def test_product_files_have_no_files_beside_them(spark, tmp_path, monkeypatch):
+    html = F.concat(F.lit("<html><h1>Title "), F.col("id"), F.lit("</h1><p>Body</p></html>"))
+    spark.range(20).select(F.col("id").alias("page_id"), html.alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(registry, "scratch_path", lambda _, name: str(tmp_path / name))
+    loaded = registry.product_files_load(spark, str(tmp_path))
+    names = [p.name for p in (tmp_path / "product-files").iterdir()]
+    assert len([n for n in names if n.startswith("part-")]) == 20 and not [n for n in names if n.endswith(".crc") and "part-" in n]
+    assert sorted(r[0] for r in loaded.select("product_title").collect()) == sorted(f"Title {i}" for i in range(20) if i % 10 not in (4, 9))
