@@ -55,7 +55,8 @@ PAGE_FIELDS = {
 LINK = r'(?is)<a\s[^<>]*?href="([^"]*)"'
 # The content of a list item ends at the next item or the end of its list; its end tag is optional.
 LIST_ITEM = r"(?is)<li(?:\s[^<>]*)?>([^<]*+(?:<(?!/?li\b|/ul\b|/ol\b)[^<]*+)*+)"
-_INVISIBLE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<[!?][^>]*(?:>|\z)"
+# The bracket stands before the alternatives, so that they are tried where there is one only.
+_INVISIBLE = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script>|\z)|style\b.*?(?:</style>|\z)|[!?][^>]*(?:>|\z))"
 
 
 def visible_html(html: Column) -> Column:
@@ -184,24 +185,25 @@ def open_tag(selector: tuple) -> str:
     return rf"<{tag}(?=\s)(?=[^<>]*\s{attribute}\s*=\s*(?:{quoted}))[^<>]*>"
 
 
-def _inside(tag: str) -> str:
-    """Pattern of what follows an open tag, up to the first tag of its name or the end."""
-    return rf"[^<]*+(?:<(?!/?{tag}[\s/>])[^<]*+)*+"
+def _inside(tag: str, levels: int = 0) -> str:
+    """Pattern of what follows an open tag up to the first tag of its name or the end; over elements of that name, ``levels`` deep."""
+    nested = rf"{tag}[\s/>]{_inside(tag, levels - 1)}</{tag}(?=[\s/>])|" if levels else ""
+    return rf"[^<]*+(?:<(?:{nested}(?!/?{tag}[\s/>]))[^<]*+)*+"
 
 
-def _flat(tag: str) -> str:
-    """Pattern, with a group, of the inside of an element that holds none of its name: its end tag is the first tag of it."""
-    return rf"(?!</?{tag})({_inside(tag)})(?:</{tag}[\s/>]|\z)"
+def _closed(tag: str) -> str:
+    """Pattern, with a group, of the inside of an element that holds others of its name two levels deep at most."""
+    return rf"(?!</?{tag}(?![\s/>]))({_inside(tag, 2)})(?:</{tag}[\s/>]|\z)"
 
 
 def until_closed(rest: Column, tag: str) -> Column:
     """What follows an open tag up to its end tag: where tags of its name are balanced, else the end of the page.
 
     Only tags of that name count, so that elements left open inside do no harm. One pass with a small state; the
-    pieces are joined again by position. Most elements hold none of their name, and need no pieces.
+    pieces are joined again by position. Most elements hold few of their name, and are one pattern.
     """
-    flat = F.regexp_extract_all(rest, F.lit(rf"(?i)\A{_flat(tag)}"), F.lit(1))
-    return F.coalesce(F.get(flat, F.lit(0)), _balanced(rest, tag))
+    closed = F.regexp_extract_all(rest, F.lit(rf"(?i)\A{_closed(tag)}"), F.lit(1))
+    return F.coalesce(F.get(closed, F.lit(0)), _balanced(rest, tag))
 
 
 def _balanced(rest: Column, tag: str) -> Column:
@@ -222,9 +224,9 @@ def element(html: Column, selector: tuple) -> Column:
     """The inside of the first element that ``selector`` means; NULL without one."""
     tag, opened = selector[0], open_tag(selector)
     first = lambda rest: F.get(F.regexp_extract_all(html, F.lit(f"(?is){opened}{rest}"), F.lit(1)), F.lit(0))
-    # '' where the element is empty or holds others of its name.
-    flat = first(rf"(?:{_flat(tag)})?+.*")
-    return once(flat, lambda f: F.when(f == "", _balanced(first("(.*)"), tag)).otherwise(f))
+    # '' where the element is empty or holds others of its name deeper.
+    closed = first(rf"(?:{_closed(tag)})?+.*")
+    return once(closed, lambda c: F.when(c == "", _balanced(first("(.*)"), tag)).otherwise(c))
 
 
 def elements(html: Column, selector: tuple) -> Column:
